@@ -121,10 +121,10 @@ def compound_exit_returns(spark, d):
     return out.select("permno", "date", r("total_return", 8).alias("total_return"), "has_delist", "delist_return_missing")
 
 
-@query("universe_filter", "select permno, date, exit_override, round(market_cap_millions,4) cap from universe", CTES)
+@query("universe_filter", "select permno, date, exit_override, round(market_cap_millions,6) cap from universe", CTES)
 def universe_filter(spark, d):
     out = P.apply_universe(P.compound_exit_returns(D.security_months(spark, d), D.delistings(spark, d)))
-    return out.select("permno", "date", "exit_override", r("market_cap_millions", 4).alias("cap"))
+    return out.select("permno", "date", "exit_override", r("market_cap_millions", 6).alias("cap"))
 
 
 @query(
