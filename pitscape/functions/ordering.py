@@ -31,6 +31,14 @@ def order_code(value: Column, per_octave: int = CODES_PER_OCTAVE) -> Column:
     return F.when(value == 0, F.lit(0)).otherwise(F.signum(value) * magnitude).cast("int")
 
 
+def known_keys(df: DataFrame, *columns: str) -> DataFrame:
+    """Drop rows without a group.  Stated once at the source, the filter also keeps every
+    branch of a statistic identical up to its first shuffle, so the shuffle is reused."""
+    for c in columns:
+        df = df.filter(F.col(c).isNotNull())
+    return df
+
+
 def cumulate(
     df: DataFrame,
     keys: Sequence[str],
@@ -45,11 +53,12 @@ def cumulate(
     """
     keys = list(keys)
     counted = (
-        df.groupBy(*keys, value)
+        known_keys(df, *keys, value)
+        .groupBy(*keys, value)
         .agg(*[F.sum(expr).alias(name) for name, expr in sums.items()])
         .withColumn("__code", order_code(F.col(value)) if code is None else code)
     )
-    offsets = _code_offsets(counted, keys, list(sums))
+    offsets = _code_offsets(counted, keys, list(sums)).drop(*[f"__in_{n}" for n in sums])
     inside = W.partitionBy(*keys, "__code").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
     joined = counted.join(offsets, keys + ["__code"])
     for name in sums:
@@ -61,14 +70,15 @@ def cumulate(
 
 
 def _code_offsets(counted: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
-    per_code = counted.groupBy(*keys, "__code").agg(*[F.sum(n).alias(n) for n in names])
+    """Per (keys, code): the sum inside, the sum before, and the group total."""
+    per_code = counted.groupBy(*keys, "__code").agg(*[F.sum(n).alias(f"__in_{n}") for n in names])
     group = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
     before = group.orderBy("__code").rowsBetween(W.unboundedPreceding, -1)
-    out = per_code
+    out = {}
     for n in names:
-        out = out.withColumn(f"__off_{n}", F.coalesce(F.sum(n).over(before), F.lit(0)))
-        out = out.withColumn(f"{n}_total", F.sum(n).over(group))
-    return out.drop(*names)
+        out[f"__off_{n}"] = F.coalesce(F.sum(f"__in_{n}").over(before), F.lit(0))
+        out[f"{n}_total"] = F.sum(f"__in_{n}").over(group)
+    return per_code.withColumns(out)
 
 
 def quantiles(
@@ -77,26 +87,26 @@ def quantiles(
     value: str,
     probabilities: Mapping[str, float],
     weight: str | None = None,
+    code: Column | None = None,
 ) -> DataFrame:
     """Linear-interpolated quantiles per group, of value or (value, integer weight) rows."""
     keys = list(keys)
     counted = (
-        df.filter(F.col(value).isNotNull())
+        known_keys(df, *keys, value)
         .groupBy(*keys, value)
         .agg(F.sum(F.col(weight) if weight else F.lit(1)).alias("__n"))
-        .withColumn("__code", order_code(F.col(value)))
+        .withColumn("__code", order_code(F.col(value)) if code is None else code)
     )
     offsets = _code_offsets(counted, keys, ["__n"])
     position = {name: (F.col("__n_total") - 1) * F.lit(float(p)) for name, p in probabilities.items()}
     # keep only the codes in which a wanted rank lies, before any row-level sort
-    per_code = counted.groupBy(*keys, "__code").agg(F.sum("__n").alias("__in_code"))
     wanted = F.lit(False)
     for at in position.values():
         for index in (F.floor(at), F.ceil(at)):
             wanted = wanted | (
-                (index >= F.col("__off___n")) & (index < F.col("__off___n") + F.col("__in_code"))
+                (index >= F.col("__off___n")) & (index < F.col("__off___n") + F.col("__in___n"))
             )
-    chosen = offsets.join(per_code, keys + ["__code"]).filter(wanted).drop("__in_code")
+    chosen = offsets.filter(wanted).drop("__in___n")
     inside = W.partitionBy(*keys, "__code").orderBy(value).rowsBetween(W.unboundedPreceding, 0)
     ranked = (
         counted.join(chosen, keys + ["__code"])

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pitscape.functions import scalars as S
-from pitscape.functions.ordering import quantiles
+from pitscape.functions.ordering import known_keys, quantiles
 from pitscape.params import DEFAULT, Params
 
 MAD_TO_STD = 1.4826
@@ -23,7 +23,7 @@ def group_statistics(
     ``weight`` is an integer multiplicity for rows already reduced to distinct values.
     """
     keys = list(keys)
-    present = df.filter(F.col(value).isNotNull())
+    present = known_keys(df, *keys, value)
     counted = present.groupBy(*keys, value).agg(F.sum(F.col(weight) if weight else F.lit(1)).alias("__w"))
     center = quantiles(counted, keys, value, {"median": 0.5, "lower": lower, "upper": upper}, "__w")
     v, w = F.col(value), F.col("__w")
@@ -34,7 +34,7 @@ def group_statistics(
         square = w * (v - F.col("__mean")) * (v - F.col("__mean"))
         spread = counted.join(mean, keys).groupBy(*keys).agg(F.sqrt(F.sum(square) / F.sum(w)).alias("std"))
         both = mean.drop("__mean").join(spread, keys).join(center, keys)
-    deviations = counted.join(both.select(*keys, "median"), keys).select(
+    deviations = counted.join(center.select(*keys, "median"), keys).select(
         *keys, F.abs(v - F.col("median")).alias("__dev"), "__w"
     )
     return both.join(quantiles(deviations, keys, "__dev", {"mad": 0.5}, "__w"), keys)

@@ -16,6 +16,7 @@ from pitscape.params import DEFAULT
 from pitscape.plans import oracle_parts as Q
 from pitscape.plans.panel_queries import CTES as PANEL
 from pitscape.plans.registry import query, r
+from pitscape.session import cut
 from pitscape.sources import derived as D
 from pitscape.sources.tables import scan
 
@@ -79,7 +80,8 @@ def report_components(spark, d):
 
 
 def peer_frame(spark, d):
-    return C.industry_components(report_components(spark, d), "datadate")
+    """Peer table of the score phase, written once because every statistic reads it."""
+    return cut(C.industry_components(report_components(spark, d), "datadate"))
 
 
 def relative_axes(spark, d, prefix=""):
@@ -215,7 +217,7 @@ from (select c.gvkey, c.fyear, rd_intensity_observed v,
     CTES,
 )
 def impute_from_peers(spark, d):
-    out = R.impute_from_peers(report_components(spark, d), "rd_intensity_observed", "datadate", LEVELS)
+    out = R.impute_from_peers(cut(report_components(spark, d)), "rd_intensity_observed", "datadate", LEVELS)
     return out.select("gvkey", "fyear", r("rd_intensity_observed_peer_imputed", 9).alias("imputed"), "imputation_level", "imputation_peer_count")
 
 
@@ -267,9 +269,10 @@ CTES["blend"] = """select *, case when rl is null then al when al is null then r
 
 
 def proxy_levels(spark, d):
+    """Axis levels of both spaces, written once for the phases that follow."""
     rel = relative_axes(spark, d, "rel_").select(*EVENT, *[f"rel_{a}" for a in AXES])
     anc = anchored_axes(spark, d, "anch_").select(*EVENT, *[f"anch_{a}" for a in AXES])
-    return A.axis_levels(rel.join(anc, EVENT), [f"rel_{a}" for a in AXES], [f"anch_{a}" for a in AXES])
+    return cut(A.axis_levels(rel.join(anc, EVENT), [f"rel_{a}" for a in AXES], [f"anch_{a}" for a in AXES]))
 
 
 @query("axis_levels", "select gvkey, fyear, round(rl,6) relative, round(al,6) anchored, round(bl,6) blended from blend", CTES)
