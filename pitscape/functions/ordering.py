@@ -204,3 +204,25 @@ def top_fraction(df: DataFrame, keys: Sequence[str], score: str, tie: str, fract
     ).drop("__rn", "__rows_in_group")
     missing = df.filter(F.col(score).isNull()).withColumn(out, F.lit(False))
     return flagged.unionByName(missing)
+
+
+def with_previous(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str], block: Column) -> DataFrame:
+    """Add ``previous_<column>`` of the preceding row of the same key in ``order``.
+
+    ``block`` is a non-decreasing function of the order (an hour, a month): a hot key is
+    cut into its blocks, each block looks back inside itself, and only its first row
+    takes the last row of the key's previous block, found on one row per block.
+    """
+    keys, order, columns = list(keys), list(order), list(columns)
+    blocked = df.withColumn("__b", block)
+    last = blocked.groupBy(*keys, "__b").agg(F.max(F.struct(*order, *[c for c in columns if c not in order])).alias("__last"))
+    carried = last.select(*keys, "__b", F.lag("__last").over(W.partitionBy(*keys).orderBy("__b")).alias("__carry"))
+    inside = W.partitionBy(*keys, "__b").orderBy(*order)
+    looked = blocked.withColumn("__rn", F.row_number().over(inside)).withColumns(
+        {f"__in_{c}": F.lag(c).over(inside) for c in columns}
+    )
+    joined = looked.join(carried, keys + ["__b"])
+    first = F.col("__rn") == 1
+    return joined.withColumns(
+        {f"previous_{c}": F.when(first, F.col(f"__carry.{c}")).otherwise(F.col(f"__in_{c}")) for c in columns}
+    ).drop("__b", "__rn", "__carry", *[f"__in_{c}" for c in columns])
