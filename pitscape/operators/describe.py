@@ -43,15 +43,15 @@ def nonfinite_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
-def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
+def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str, weight: str | None = None) -> DataFrame:
     """Rank correlation per group over the rows with both values; NULL under three rows.
 
-    Rows are first reduced to (keys, x, y, count); the ranks of x and of y return to
+    ``weight`` is an integer multiplicity.  Rows are first reduced to (keys, x, y, count); the ranks of x and of y return to
     that table by equi-joins, so no group is sorted in one task.
     """
     keys = list(keys)
     pairs = known_keys(df, *keys, x, y).groupBy(*keys, F.col(x).alias("__x"), F.col(y).alias("__y")).agg(
-        F.count(F.lit(1)).alias("__c")
+        F.sum(F.col(weight) if weight else F.lit(1)).alias("__c")
     )
     ranked = pairs
     for col in ("__x", "__y"):
@@ -231,6 +231,40 @@ def normal_two_sided_p(z: pd.Series) -> pd.Series:
     return z.map(lambda v: None if v is None or math.isnan(v) else math.erfc(abs(v) / math.sqrt(2.0)))
 
 
+def _beta_fraction(a: float, b: float, x: float) -> float:
+    """Continued fraction of the incomplete beta function (modified Lentz)."""
+    tiny = 1e-300
+    c, d = 1.0, 1.0 - (a + b) * x / (a + 1)
+    d = 1 / (d if abs(d) > tiny else tiny)
+    out = d
+    for m in range(1, 400):
+        for step in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1 + step * d
+            d = 1 / (d if abs(d) > tiny else tiny)
+            c = 1 + step / (c if abs(c) > tiny else tiny)
+            out *= c * d
+        if abs(c * d - 1) < 1e-14:
+            break
+    return out
+
+
+def student_two_sided(t: float, df: float) -> float:
+    x = df / (df + t * t)
+    if x >= 1:
+        return 1.0
+    a, b = df / 2, 0.5
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x))
+    if x < (a + 1) / (a + b + 2):
+        return front * _beta_fraction(a, b, x) / a
+    return 1 - front * _beta_fraction(b, a, 1 - x) / b
+
+
+@F.pandas_udf(DoubleType())
+def student_p(t: pd.Series, df: pd.Series) -> pd.Series:
+    """Two-sided t p-value; used on summaries, one row per fitted line."""
+    return pd.Series([None if pd.isna(a) or pd.isna(n) else student_two_sided(float(a), float(n)) for a, n in zip(t, df)], dtype="float64")
+
+
 def newey_west_mean(df: DataFrame, keys: Sequence[str], date: str, value: str, lags: Column | int) -> DataFrame:
     """Mean of a dated series with Bartlett-weighted autocovariances: n, mean, se, t.
 

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("panel_queries", "score_queries", "label_queries", "return_queries", "geometry_queries", "model_queries")
+MODULES = (
+    "panel_queries", "score_queries", "label_queries", "return_queries", "geometry_queries", "model_queries", "audit_queries",
+)
 
 
 def load_all() -> None:

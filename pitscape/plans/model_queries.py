@@ -5,10 +5,12 @@ from __future__ import annotations
 from dataclasses import replace
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from pitscape.functions import scalars as S
 from pitscape.operators import components as C
 from pitscape.operators import dynamics as Y
+from pitscape.operators import labels as L
 from pitscape.operators import models as M
 from pitscape.operators import panel as P
 from pitscape.operators import survival as V
@@ -16,7 +18,7 @@ from pitscape.params import DEFAULT
 from pitscape.plans import oracle_parts as Q
 from pitscape.plans.geometry_queries import _scaled_points
 from pitscape.plans.label_queries import CTES as LABEL
-from pitscape.plans.label_queries import FEATURES, SHORT, split_frame
+from pitscape.plans.label_queries import FEATURES, SHORT
 from pitscape.plans.registry import query, r
 from pitscape.plans.return_queries import history
 from pitscape.plans.score_queries import report_components
@@ -177,8 +179,26 @@ def hazard_time_split(spark, d):
     return V.interval_concordance(later, "risk", "performance_failure_event")
 
 
+MODEL = replace(LOCAL, horizons_years=(1,), test_windows=((1999, 1999), (2000, 2000)))
+
+
+def lapse_split(spark, d):
+    """Does a firm report again within the horizon?  In every fold and role, written once."""
+    w = W.partitionBy("gvkey").orderBy("fyear")
+    following = F.lead("fyear").over(w)
+    base = report_components(spark, d).withColumn("__next", following)
+    each = base.withColumn("horizon_years", F.explode(F.array(*[F.lit(h) for h in MODEL.horizons_years])))
+    end = F.col("fyear") + F.col("horizon_years")
+    known = each.filter(end <= 2001).withColumn("failure_within_horizon", (F.coalesce("__next", F.lit(9999)) > end).cast("int"))
+    matrix = known.select(
+        "gvkey", "fyear", "horizon_years", "failure_within_horizon", F.col("fyear").alias("event_year"),
+        F.make_date(end, F.lit(12), F.lit(31)).alias("label_observed_date"), *FEATURES,
+    )
+    return cut(L.assign_folds(matrix, L.fold_table(spark, 1995, MODEL)))
+
+
 def predictions(spark, d, features, model, trees=100):
-    return M.nested_predictions(split_frame(spark, d), features, model, LOCAL, trees=trees)
+    return M.nested_predictions(lapse_split(spark, d), features, model, MODEL, trees=trees)
 
 
 @query("nested_ridge_predictions")
@@ -196,9 +216,9 @@ def nested_tree_predictions(spark, d):
 @query("incremental_utility_metrics")
 def incremental_utility_metrics(spark, d):
     """Metrics of a small and a large feature set on the same folds."""
-    split = split_frame(spark, d)
-    small = M.nested_predictions(split, FEATURES[:2], "ridge", LOCAL).withColumn("model", F.lit("financial"))
-    large = M.nested_predictions(split, FEATURES, "ridge", LOCAL).withColumn("model", F.lit("financial_axes"))
+    split = lapse_split(spark, d)
+    small = M.nested_predictions(split, FEATURES[:2], "ridge", MODEL).withColumn("model", F.lit("financial"))
+    large = M.nested_predictions(split, FEATURES, "ridge", MODEL).withColumn("model", F.lit("financial_axes"))
     keep = ["horizon_years", "fold", "model", "role", "probability", M.LABEL]
     return M.fold_metrics(small.select(*keep).unionByName(large.select(*keep)))
 
