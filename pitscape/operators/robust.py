@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pitscape.functions import scalars as S
 from pitscape.functions.ordering import known_keys, quantiles
 from pitscape.params import DEFAULT, Params
+from pitscape.session import cut
 
 MAD_TO_STD = 1.4826
 
@@ -24,8 +25,9 @@ def group_statistics(
     """
     keys = list(keys)
     present = known_keys(df, *keys, value)
-    counted = present.groupBy(*keys, value).agg(F.sum(F.col(weight) if weight else F.lit(1)).alias("__w"))
-    center = quantiles(counted, keys, value, {"median": 0.5, "lower": lower, "upper": upper}, "__w")
+    # every branch below reads the value counts; written once, they are shuffled once
+    counted = cut(present.groupBy(*keys, value).agg(F.sum(F.col(weight) if weight else F.lit(1)).alias("__w")))
+    center = cut(quantiles(counted, keys, value, {"median": 0.5, "lower": lower, "upper": upper}, "__w"))
     v, w = F.col(value), F.col("__w")
     if weight is None:
         both = present.groupBy(*keys).agg(F.count(v).alias("n"), F.stddev_pop(v).alias("std")).join(center, keys)
