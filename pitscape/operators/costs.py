@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from pitscape.functions import scalars as S
+from pitscape.functions.ordering import quantiles
 from pitscape.operators.returns import STRATEGY, cohort_positions
 from pitscape.params import DEFAULT, Params
 
@@ -84,13 +85,15 @@ def lagged_liquidity(months: DataFrame, p: Params = DEFAULT) -> DataFrame:
 
 def capacity_diagnostics(assigned: DataFrame) -> DataFrame:
     reason = F.col("capacity_exclusion_reason")
-    return assigned.groupBy(*STRATEGY, "leg").agg(
+    middle = quantiles(assigned, [*STRATEGY, "leg"], "capacity_fill_ratio", {"median_fill": 0.5})
+    counts = assigned.groupBy(*STRATEGY, "leg").agg(
         F.count(F.lit(1)).alias("assignments"), F.avg("capacity_fill_ratio").alias("mean_fill"),
         F.count(F.when(reason == "capacity_capped", 1)).alias("capped"),
         F.count(F.when(reason == "short_unavailable", 1)).alias("short_blocked"),
         F.count(F.when(reason == "missing_or_zero_capacity", 1)).alias("no_capacity"),
         F.count(F.when(F.col("capacity_fill_ratio") > 0, 1)).alias("executable"),
     )
+    return counts.join(middle, [*STRATEGY, "leg"])
 
 
 def executed_positions(assigned: DataFrame, paths: DataFrame, lagged: DataFrame, delay: int, p: Params = DEFAULT) -> tuple[DataFrame, DataFrame]:

@@ -182,19 +182,23 @@ def hazard_time_split(spark, d):
 MODEL = replace(LOCAL, horizons_years=(1,), test_windows=((1999, 1999), (2000, 2000)))
 
 
-def lapse_split(spark, d):
-    """Does a firm report again within the horizon?  In every fold and role, written once."""
+def lapse_matrix(spark, d):
+    """Does a firm report again within the horizon?  Unknown (NULL) past the last year."""
     w = W.partitionBy("gvkey").orderBy("fyear")
     following = F.lead("fyear").over(w)
     base = report_components(spark, d).withColumn("__next", following)
     each = base.withColumn("horizon_years", F.explode(F.array(*[F.lit(h) for h in MODEL.horizons_years])))
     end = F.col("fyear") + F.col("horizon_years")
-    known = each.filter(end <= 2001).withColumn("failure_within_horizon", (F.coalesce("__next", F.lit(9999)) > end).cast("int"))
-    matrix = known.select(
+    lapsed = (F.coalesce("__next", F.lit(9999)) > end).cast("int")
+    return each.withColumn("failure_within_horizon", F.when(end <= 2001, lapsed)).select(
         "gvkey", "fyear", "horizon_years", "failure_within_horizon", F.col("fyear").alias("event_year"),
         F.make_date(end, F.lit(12), F.lit(31)).alias("label_observed_date"), *FEATURES,
     )
-    return cut(L.assign_folds(matrix, L.fold_table(spark, 1995, MODEL)))
+
+
+def lapse_split(spark, d):
+    """Labelled rows in every fold and role, written once for the model phase."""
+    return cut(L.assign_folds(lapse_matrix(spark, d), L.fold_table(spark, 1995, MODEL)))
 
 
 def predictions(spark, d, features, model, trees=100):
@@ -228,3 +232,42 @@ def principal_axes(spark, d):
     """Two components fitted on the training years; their sign is arbitrary."""
     out = M.principal_axes(_scaled_points(spark, d), F.col("fyear") <= 1998, FEATURES)
     return out.select("gvkey", "fyear", r(F.abs("pc1")).alias("abs_pc1"), r(F.abs("pc2")).alias("abs_pc2"))
+
+
+@query("surface_scores")
+def surface_scores(spark, d):
+    """Every test-window event, censored ones included, scored by its own fold's model."""
+    matrix, folds = cut(lapse_matrix(spark, d)), L.fold_table(spark, 1995, MODEL)
+    rows = L.assign_folds(matrix, folds).unionByName(M.rows_to_score(matrix, folds))
+    out = M.nested_predictions(cut(rows), FEATURES, "ridge", MODEL)
+    return out.filter("role = 'score'").select("gvkey", "fyear", "horizon_years", "fold", r("probability").alias("probability"))
+
+
+@query(
+    "model_controls",
+    """select gvkey, fyear, round((at_-ceq)/nullif(at_,0),8) leverage, round((act-lct)/nullif(at_,0),8) working_capital, round(oiadp/nullif(at_,0),8) operating_income,
+ round(ceq/nullif(at_-ceq,0),6) equity_to_liabilities, round(sale/nullif(at_,0),8) sales_to_assets, round(ln(at_/1e6::double),8) log_market_cap from reports""",
+    CTES,
+)
+def model_controls(spark, d):
+    out = M.model_controls(D.reports(spark, d).withColumn("market_cap_millions", F.col("at") / 1e6))
+    return out.select("gvkey", "fyear", *[r(c, 8).alias(c) for c in ("leverage", "working_capital", "operating_income", "sales_to_assets", "log_market_cap")],
+                      r("equity_to_liabilities").alias("equity_to_liabilities"))
+
+
+@query(
+    "interval_gate",
+    """select count(*) as "rows", count(*) filter (stp <= fdt) empty_intervals, (select count(*) from (select fdt < lag(stp) over (partition by gvkey order by fdt) o from iv) where o) as overlapping,
+ 0::bigint both_causes, count(distinct gvkey||fdt) intervals from iv""",
+    CTES,
+)
+def interval_gate(spark, d):
+    """Intervals of a firm do not overlap, are not empty and end in one cause."""
+    rows = interval_frame(spark, d)
+    w = W.partitionBy("gvkey").orderBy("feature_date")
+    flagged = rows.withColumn("__o", F.col("feature_date") < F.lag("interval_stop_date").over(w))
+    bad = lambda c: F.count(F.when(c, 1))
+    return flagged.agg(
+        F.count(F.lit(1)).alias("rows"), bad(F.col("stop_day") <= F.col("entry_day")).alias("empty_intervals"), bad(F.col("__o")).alias("overlapping"),
+        bad((F.col("performance_failure_event") + F.col("merger_event")) > 1).alias("both_causes"), F.countDistinct("interval_id").alias("intervals"),
+    )

@@ -270,15 +270,15 @@ def capacity_caps(spark, d):
 
 @query(
     "capacity_diagnostics",
-    f"""select {KEYS}, leg_side as leg, count(*) assignments, round(avg(case when weight>0 then cw/weight else 0 end),8) mean_fill,
+    f"""select {KEYS}, leg_side as leg, count(*) assignments, round(avg(case when weight>0 then cw/weight else 0 end),8) mean_fill, round(median(case when weight>0 then cw/weight else 0 end),8) median_fill,
  count(*) filter (not (leg_side='short' and not coalesce(shortok,false)) and coalesce(lim,0)>0 and cw<weight) capped,
  count(*) filter (leg_side='short' and not coalesce(shortok,false)) short_blocked from casg group by all""",
     CTES,
 )
 def capacity_diagnostics(spark, d):
     months = D.security_months(spark, d)
-    out = K.capacity_diagnostics(K.cost_assignments(N.assignments(sorts_frame(spark, d, paths_frame(spark, d))), months))
-    return out.select(*N.STRATEGY, "leg", "assignments", r("mean_fill", 8).alias("mean_fill"), "capped", "short_blocked")
+    out = K.capacity_diagnostics(cut(K.cost_assignments(N.assignments(sorts_frame(spark, d, paths_frame(spark, d))), months)))
+    return out.select(*N.STRATEGY, "leg", "assignments", r("mean_fill", 8).alias("mean_fill"), r("median_fill", 8).alias("median_fill"), "capped", "short_blocked")
 
 
 def costed_frame(spark, d, signals=SIGNALS):
@@ -356,3 +356,36 @@ def locked_signal_costs(spark, d):
     """The whole cost chain for one signal fixed in advance."""
     out = K.cost_waterfall(K.costed_months(*costed_frame(spark, d, ["migration_surprise"])))
     return out.select(*N.STRATEGY, "delay_months", "cost_case", "months", r("net", 8).alias("net"))
+
+
+@query("cross_section_summary")
+def cross_section_summary(spark, d):
+    """Mean coefficient per horizon and signal with HAC error, p-value and Holm adjustment."""
+    targets = cut(N.forward_targets(paths_frame(spark, d), CARRIED))
+    monthly = cut(N.cross_section_regressions(targets, SIGNALS, ["market_cap_millions"]).filter("term = 'signal'"))
+    mean = E.newey_west_mean(monthly, ["horizon_months", "signal"], "feature_date", "coefficient", F.col("horizon_months") - 1)
+    folds = monthly.groupBy("horizon_months", "signal", "fold").agg(F.avg("coefficient").alias("c")).groupBy("horizon_months", "signal").agg(
+        F.avg((F.col("c") > 0).cast("double")).alias("positive_fold_share")
+    )
+    tested = mean.join(folds, ["horizon_months", "signal"]).withColumn("p_value", E.normal_two_sided_p("t")).withColumn(
+        "test", F.concat_ws("|", "horizon_months", "signal")
+    ).withColumn("family", F.lit("all"))
+    return E.holm(tested, ["family"], "p_value", "test").drop("family", "test")
+
+
+@query(
+    "cost_gate",
+    f"""select count(*) as "rows", 0::bigint identity_errors, 0::bigint over_capacity, 0::bigint negative_costs from xmon""",
+    CTES,
+)
+def cost_gate(spark, d):
+    """Net equals gross minus costs, weights stay inside their lagged capacity, costs are not negative."""
+    positions, calendar = costed_frame(spark, d)
+    over = positions.agg(F.count(F.when(F.abs("actual_weight") > F.abs("target_weight") + 1e-12, 1)).alias("over_capacity"))
+    bad = lambda c: F.count(F.when(c, 1))
+    months = K.costed_months(positions, calendar).agg(
+        F.count(F.lit(1)).alias("rows"),
+        bad(F.abs(F.col("gross_return") - F.col("transaction_cost") - F.col("borrow_cost") - F.col("net_return")) > 1e-12).alias("identity_errors"),
+        bad((F.col("transaction_cost") < 0) | (F.col("borrow_cost") < 0)).alias("negative_costs"),
+    )
+    return months.join(over)

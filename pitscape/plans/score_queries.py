@@ -328,3 +328,40 @@ def largest_cells(spark, d):
     """The 40 most occupied cells: a top-k report."""
     cells = relative_axes(spark, d).groupBy(S.cell_code(AXES).alias("cell")).agg(F.count(F.lit(1)).alias("n"))
     return cells.orderBy(F.desc("n"), "cell").limit(40)
+
+
+@query(
+    "axis_gate",
+    """select (select count(*) from rel) relative_rows, (select count(*) from anch) anchored_rows, (select count(*) from rel where abs(sc) > 5) + (select count(*) from anch where abs(sc) > 5) beyond_clip,
+ (select count(*) from anch where ry >= fyear) late_anchor, (select count(*) from anch where sc is not null and rc < 100) thin_anchor, (select count(*) from rel where pc < 20) thin_peers""",
+    CTES,
+)
+def axis_gate(spark, d):
+    """Violation counts of the score phase: clip bound, prior-year anchors, reference sizes."""
+    peers = peer_frame(spark, d)
+    bad = lambda c: F.count(F.when(c, 1))
+    rel = R.relative_scores(peers, peers, SCORED, "datadate", LEVELS, EVENT, C.MARKET_SCOPE).agg(
+        F.count(F.lit(1)).alias("relative_rows"), bad(F.abs("score") > 5).alias("__a"), bad(F.col("peer_count") < 20).alias("thin_peers")
+    )
+    anc = R.anchored_scores(peers, SCORED, EVENT, "datadate").agg(
+        F.count(F.lit(1)).alias("anchored_rows"), bad(F.abs("score") > 5).alias("__b"), bad(F.col("reference_end_year") >= F.col("fyear")).alias("late_anchor"),
+        bad(F.col("score").isNotNull() & (F.col("reference_count") < 100)).alias("thin_anchor"),
+    )
+    return rel.join(anc).select("relative_rows", "anchored_rows", (F.col("__a") + F.col("__b")).alias("beyond_clip"), "late_anchor", "thin_anchor", "thin_peers")
+
+
+@query(
+    "extreme_examples",
+    """select 'largest' kind, gvkey, fyear, round(sale,2) sale from (select * from cand order by sale desc, gvkey, fyear limit 1)
+ union all select 'smallest', gvkey, fyear, round(sale,2) from (select * from cand order by sale, gvkey desc, fyear desc limit 1)""",
+    {**CTES, "cand": "select r.* from reports r join (select gvkey from reports group by 1 having count(*) >= 3) g on g.gvkey=r.gvkey where r.sale >= (select median(sale) from reports)"},
+)
+def extreme_examples(spark, d):
+    """Largest and smallest report of firms with three reports and at least median sales."""
+    base = cut(D.reports(spark, d).select("gvkey", "fyear", "sale"))
+    often = base.groupBy("gvkey").agg(F.count(F.lit(1)).alias("n")).filter("n >= 3").select("gvkey")
+    middle = O.quantiles(base.withColumn("one", F.lit(1)), ["one"], "sale", {"m": 0.5}).select("m")
+    fit = base.join(often, "gvkey", "left_semi").join(F.broadcast(middle)).filter(F.col("sale") >= F.col("m")).drop("m")
+    top = fit.orderBy(F.desc("sale"), "gvkey", "fyear").limit(1).select(F.lit("largest").alias("kind"), "*")
+    low = fit.orderBy("sale", F.desc("gvkey"), F.desc("fyear")).limit(1).select(F.lit("smallest").alias("kind"), "*")
+    return top.unionByName(low).withColumn("sale", r("sale", 2))
