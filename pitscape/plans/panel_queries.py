@@ -10,6 +10,7 @@ from pitscape.functions import scalars as S
 from pitscape.operators import panel as P
 from pitscape.params import DEFAULT
 from pitscape.plans.registry import query, r
+from pitscape.session import cut
 from pitscape.sources import derived as D
 from pitscape.sources.tables import scan
 
@@ -68,9 +69,10 @@ def _known(spark, d):
 
 
 def build_panel(spark, d, filtered=True):
-    base = D.reports(spark, d)
+    """The raw-table stand-ins are written once; the panel is one lazy plan over them."""
+    base = cut(D.reports(spark, d))
     return P.firm_month_panel(
-        D.security_months(spark, d), D.delistings(spark, d), D.links(spark, d), base, D.filings(spark, d, base), filtered=filtered
+        cut(D.security_months(spark, d)), D.delistings(spark, d), D.links(spark, d), base, D.filings(spark, d, base), filtered=filtered
     )
 
 

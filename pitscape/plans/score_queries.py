@@ -194,12 +194,12 @@ def point_in_time_peer_score(spark, d):
     spend = scan(spark, d, "orders", ["o_custkey", "o_orderdate", "o_totalprice"]).groupBy(
         F.col("o_custkey").cast("string").alias("gvkey"), F.last_day(F.col("o_orderdate").cast("date")).alias("month")
     ).agg(F.sum(F.col("o_totalprice").cast("decimal(12,2)")).cast("double").alias("spend"))
-    base = D.reports(spark, d)
+    base = cut(D.reports(spark, d))
     known = P.report_availability(base, D.filings(spark, d, base))
     joined = P.asof_join(spend, known, "gvkey", "month", "formation_date", ["formation_date", "sic2", "sic1", "at"], ["datadate", "fyear"])
     fresh = S.completed_months("month", "formation_date").between(0, DEFAULT.max_staleness_months)
-    peers = joined.filter(fresh & (F.col("at") > 0)).withColumn("v", F.col("spend") / F.col("at"))
-    scores = R.relative_scores(peers, peers, ["v"], "month", LEVELS, ["gvkey", "month"])
+    peers = cut(joined.filter(fresh & (F.col("at") > 0)).select("gvkey", "month", "sic2", "sic1", (F.col("spend") / F.col("at")).alias("v")))
+    scores = cut(R.relative_scores(peers, peers, ["v"], "month", LEVELS, ["gvkey", "month"]))
     flagged = O.top_fraction(scores, ["month"], "score", "gvkey", 0.1, "is_alert")
     return flagged.select("gvkey", "month", "level", r("score", 7).alias("score"), "is_alert")
 
