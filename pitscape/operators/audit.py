@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from pitscape.functions.ordering import quantiles, top_fraction
+from pitscape.functions.ordering import top_fraction
 from pitscape.operators.describe import clustered_slope, prediction_metrics, slope_from_cluster_sums, spearman, student_p
-from pitscape.params import DEFAULT, Params
+from pitscape.params import DEFAULT
 
 
 def drift_events(candidates: DataFrame, truth: DataFrame, scores: Sequence[str], benchmark: str, truth_score: str, scenario: str, years: tuple[int, int], fraction: float = DEFAULT.alert_fraction) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window as W
 
 from pitscape.functions import scalars as S
-from pitscape.functions.ordering import average_ranks, cumulate, known_keys, quantiles
+from pitscape.functions.ordering import cumulate, known_keys, quantiles
 
 
 def missingness(df: DataFrame, columns: Sequence[str], section: str) -> DataFrame:

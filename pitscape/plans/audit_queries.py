@@ -11,7 +11,7 @@ from pitscape.operators import contracts as K
 from pitscape.operators import panel as P
 from pitscape.plans import oracle_parts as Q
 from pitscape.plans.geometry_queries import CTES as GEO
-from pitscape.plans.geometry_queries import peer_frames, recall_frame
+from pitscape.plans.geometry_queries import recall_frame
 from pitscape.plans.panel_queries import build_panel
 from pitscape.plans.registry import query, r
 from pitscape.session import cut

@@ -7,10 +7,8 @@ from pyspark.sql import functions as F
 from pitscape.functions import ordering as O
 from pitscape.functions import scalars as S
 from pitscape.operators import archetypes as T
-from pitscape.operators import describe as E
 from pitscape.operators import neighbours as X
 from pitscape.operators import robust as R
-from pitscape.plans import oracle_parts as Q
 from pitscape.plans.label_queries import CTES as LABEL
 from pitscape.plans.label_queries import FEATURES, label_frame
 from pitscape.plans.registry import query, r

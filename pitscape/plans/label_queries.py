@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from pitscape.functions import ordering as O
 from pitscape.functions import scalars as S
-from pitscape.operators import components as C
 from pitscape.operators import describe as E
 from pitscape.operators import labels as L
 from pitscape.params import DEFAULT

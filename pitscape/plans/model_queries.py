@@ -7,7 +7,6 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from pitscape.functions import scalars as S
 from pitscape.operators import components as C
 from pitscape.operators import dynamics as Y
 from pitscape.operators import labels as L

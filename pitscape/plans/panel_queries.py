@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
-
 from pyspark.sql import functions as F
 
 from pitscape.functions import scalars as S
 from pitscape.operators import panel as P
-from pitscape.params import DEFAULT
 from pitscape.plans.registry import query, r
 from pitscape.session import cut
 from pitscape.sources import derived as D

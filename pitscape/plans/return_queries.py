@@ -2,22 +2,17 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
-
 from pyspark.sql import functions as F
 
-from pitscape.functions import ordering as O
 from pitscape.operators import costs as K
 from pitscape.operators import describe as E
 from pitscape.operators import panel as P
 from pitscape.operators import returns as N
-from pitscape.params import DEFAULT
 from pitscape.plans import oracle_parts as Q
 from pitscape.plans.panel_queries import CTES as PANEL
 from pitscape.plans.registry import query, r
 from pitscape.session import cut
 from pitscape.sources import derived as D
-from pitscape.sources.tables import scan
 
 SIGNALS = ["migration_surprise", "viability_velocity", "historical_success_density"]
 KEYS = "horizon_months, signal, weighting, industry_neutral"
