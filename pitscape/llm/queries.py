@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pitscape.llm import compression, licences, mixing, reputation, warc
+from pitscape.llm import compression, licences, mixing, pii, quantised, reputation, tiling, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -49,3 +49,18 @@ def op7(spark, sf_dir):
 @_query("op9_compression_quality")
 def op9(spark, sf_dir):
     return compression.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+@_query("op6_private_spans")
+def op6(spark, sf_dir):
+    return pii.private_spans(_table(spark, sf_dir, "documents"))
+
+
+@_query("op4_greedy_tiling")
+def op4(spark, sf_dir):
+    return tiling.matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+@_query("op8_quantised_neighbours")
+def op8(spark, sf_dir):
+    return quantised.near_duplicates(_table(spark, sf_dir, "embeddings"))
