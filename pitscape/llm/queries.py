@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pitscape.llm import compression, licences, mixing, pii, quantised, reputation, tiling, warc
+from pitscape.llm import compression, licences, mixing, ngram_join, pii, quantised, reputation, tiling, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -64,3 +64,8 @@ def op4(spark, sf_dir):
 @_query("op8_quantised_neighbours")
 def op8(spark, sf_dir):
     return quantised.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
+@_query("op1_ngram_groups")
+def op1(spark, sf_dir):
+    return ngram_join.similar_groups(_table(spark, sf_dir, "documents"))
