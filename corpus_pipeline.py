@@ -1,10 +1,14 @@
-"""From raw documents to a training mix."""
+"""From raw documents to a training mix, in five stages.
+
+Every stage works on all that its predecessor kept, written as Parquet and read again; all but the
+last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pitscape.llm import compression, mixing
+from pitscape.llm import compression, mixing, ngram_join, pii, tiling
 from pitscape.llm.common import saved
 
 
@@ -13,12 +17,33 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return compression.reject_low_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 1: of each group of similar documents the one with the smallest id stays."""
+    return ngram_join.one_of_each_group(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 4: documents that cover at least half of a benchmark item go."""
+    return tiling.decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 6: personal data is replaced by its kind in brackets; ``n_chars`` follows."""
+    return pii.redacted(docs)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 2: the documents that the mix takes, and how many times it takes them."""
+    """Operator 2: the documents that the mix takes, and ``times``, how often it takes them."""
     return mixing.mixed_documents(docs)
 
 
-STAGES = [("quality", quality), ("mix", mix)]
+STAGES = [
+    ("quality", quality),
+    ("near duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("personal data", personal_data),
+    ("mix", mix),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,5 +53,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
-#: SQL cannot express the compression classifier and the joins on shingles; the stages are tested against brute force.
+#: SQL cannot express the trained stages and the joins on shingles; the stages are tested against brute force.
 ORACLE_SQL = None

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pitscape.llm import compression, licences, mixing, ngram_join, pii, quantised, reputation, tiling, warc
+from pitscape.llm import compression, licences, mixing, ngram_join, pii, quantised, reputation, suffixes, tiling, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -69,3 +69,8 @@ def op8(spark, sf_dir):
 @_query("op1_ngram_groups")
 def op1(spark, sf_dir):
     return ngram_join.similar_groups(_table(spark, sf_dir, "documents"))
+
+
+@_query("op10_repeated_bytes")
+def op10(spark, sf_dir):
+    return suffixes.deduplicated(_table(spark, sf_dir, "documents"), with_kept=False)
