@@ -16,7 +16,8 @@ from pitscape.session import checkpoint_folder, cut
 __all__ = ["cut", "saved", "columns", "Words", "chunks", "mix", "doc_sets", "components", "packed_text", "unpack", "tasks_for"]
 
 #: Text bytes that a task holds as arrays at a time; longer single texts are still taken whole.
-CHUNK = 3_000_000
+CHUNK = 1_000_000
+BATCH_ROWS = 500
 _U = np.uint64
 
 
@@ -42,6 +43,13 @@ def tasks_for(spark: SparkSession, rows: int, per_task: int) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // per_task))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Rows of texts and of packed arrays are long, so that few of them make a batch for Python; a smaller setting stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 # --- texts as arrays ------------------------------------------------------------------------
 
 _SPACE = np.zeros(256, bool)
@@ -153,6 +161,7 @@ def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def packed_text(docs: DataFrame) -> DataFrame:
     """doc_id and the text compressed, for exchanges that must carry texts; null ids are left out."""
+    small_batches(docs.sparkSession)
     return columns(docs, "doc_id", "text").where("doc_id is not null").mapInArrow(_squeeze, "doc_id long, packed binary")
 
 

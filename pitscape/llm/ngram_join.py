@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pitscape.llm.common import chunks, columns, components, doc_sets, mix, packed_text, saved, tasks_for, unpack
+from pitscape.llm.common import chunks, columns, components, doc_sets, mix, packed_text, saved, small_batches, tasks_for, unpack
 
 WIDTH = 5
 BANDS, ROWS = 6, 3
@@ -38,7 +38,7 @@ BLOCK = 64
 #: Groups with more classes skip the count of step 2 and go on to step 3 (their tokens would all ask for an answer).
 GIANT = 1000
 #: Prefix tokens that a task turns into rows of the exchange at a time, and that one bucket should hold.
-FLUSH, BUCKET = 1_000_000, 1_000_000
+FLUSH, BUCKET = 400_000, 1_000_000
 _U = np.uint64
 _PERM = np.random.default_rng(5).integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) * _U(2) + _U(1)
 
@@ -299,6 +299,7 @@ def matrix_links(docs: DataFrame, may: DataFrame) -> DataFrame:
 
 def similar_groups(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs``."""
+    small_batches(docs.sparkSession)
     own = saved(signatures(docs))
     usable = own.where("doc_id is not null and n > 0")
     classes = usable.groupBy("n", "low", "high").agg(F.min("doc_id").alias("rep"))
