@@ -6,8 +6,8 @@
    tokens of their prefixes. A class with fewer than ``need`` prefix tokens that occur in another group cannot link outside its
    own group and is done. That is nearly every class.
 3. For the rest the matrix of whole sets is built: groups are cut into blocks of bounded size, each block stores the union of its
-   members' tokens, rare tokens of a query name the blocks worth a look, the overlap with a block's union
-   bounds the similarity with all its members, and only blocks that reach the bound are opened and compared member by member.
+   members' tokens, rare tokens of a block's queries name the blocks worth a look, a query's overlap with a block's union
+   bounds its similarity with all members, and only blocks that reach the bound are opened and compared with each member.
 
 Links join groups, and the components of all links are the answer. Links within a group need no comparison, so that a large group of near
 copies costs its size, not its square.
@@ -26,15 +26,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pitscape.llm.common import chunks, columns, components, doc_sets, mix, packed_text, saved, small_batches, tasks_for, unpack
 
 WIDTH = 5
 BANDS, ROWS = 6, 3
-#: Members of a block, and of a leader's share of followers in one task's turn.
-BLOCK = 64
+#: Followers of a leader in one share; members and tokens of a block; blocks that ask another in one share.
+FOLLOWERS, BLOCK, BLOCK_TOKENS, QUERIES = 256, 1024, 400_000, 64
 #: Groups with more classes skip the count of step 2 and go on to step 3 (their tokens would all ask for an answer).
 GIANT = 1000
 #: Prefix tokens that a task turns into rows of the exchange at a time, and that one bucket should hold.
@@ -102,7 +102,7 @@ def star_links(docs: DataFrame, reps: DataFrame) -> DataFrame:
     lead = placed.groupBy("key").agg(F.min(F.struct("doc_id", "n")).alias("lead"))
     pairs = placed.join(lead, "key").where("doc_id <> lead.doc_id and 4 * least(n, lead.n) >= 3 * greatest(n, lead.n)")
     pairs = saved(pairs.select("doc_id", F.col("lead.doc_id").alias("lead")).distinct())
-    shares = pairs.groupBy("lead").agg(F.ceil(F.count("*") / F.lit(4 * BLOCK)).cast("int").alias("shares"))
+    shares = pairs.groupBy("lead").agg(F.ceil(F.count("*") / F.lit(FOLLOWERS)).cast("int").alias("shares"))
     follower = pairs.join(shares, "lead").select("lead", F.pmod(F.xxhash64("doc_id"), F.col("shares")).cast("int").alias("salt"), "doc_id", F.lit(1).alias("turn"))
     leader = shares.select("lead", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("salt"), F.col("lead").alias("doc_id"), F.lit(0).alias("turn"))
     wanted = saved(follower.union(leader))
@@ -264,34 +264,81 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["doc_id", "group", "tokens"])
 
 
+class _Block:
+    """A block of the matrix: its union of tokens, and for each token the members that hold it."""
+
+    def __init__(self, rows: list[tuple[int, int, int, np.ndarray]]):
+        self.ids, self.groups, self.n = (np.array([r[k] for r in rows], np.int64) for k in range(3))
+        token = np.concatenate([r[3] for r in rows])
+        member = np.repeat(np.arange(len(rows)), [len(r[3]) for r in rows])
+        order = np.argsort(token, kind="stable")
+        self.member = member[order]
+        self.union, first = np.unique(token[order], return_index=True)
+        self.first = np.concatenate([first, [len(token)]])
+
+    def links(self, doc: int, group: int, n: int, tokens: np.ndarray) -> Iterator[tuple[int, int]]:
+        at = np.minimum(np.searchsorted(self.union, tokens), len(self.union) - 1)
+        at = at[self.union[at] == tokens]
+        if 4 * len(at) < 3 * n:  # the bound: no member shares more than the union does
+            return
+        low, count = self.first[at], self.first[at + 1] - self.first[at]
+        pick = np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum())
+        common = np.bincount(self.member[pick], minlength=len(self.ids))
+        for k in np.flatnonzero((100 * common >= 75 * (n + self.n - common)) & (self.groups != group)):
+            yield doc, int(self.ids[k])
+
+
+def _open_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in the order of (block, salt, members before queries): links of queries with members."""
+    key, rows, block, out = None, [], None, []
+    for batch in batches:
+        own, salt, turn, doc, group, n = (batch.column(k).to_pylist() for k in range(6))
+        lists = batch.column(6)
+        at, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+        for i in range(batch.num_rows):
+            tokens = flat[at[i] : at[i + 1]]
+            if key != (own[i], salt[i]):
+                key, rows, block = (own[i], salt[i]), [], None
+            if turn[i] == 0:
+                rows.append((doc[i], group[i], n[i], tokens))
+            elif rows:
+                block = block or _Block(rows)
+                out += block.links(doc[i], group[i], n[i], tokens)
+        rows = [(*r[:3], r[3].copy()) for r in rows] if block is None else rows
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
+            out = []
+
+
 def matrix_links(docs: DataFrame, may: DataFrame) -> DataFrame:
     """Links (a, b) between different groups among the classes of ``may``."""
     whole = saved(packed_text(docs).join(may, "doc_id").select("doc_id", "group", "packed").mapInArrow(_sets, "doc_id long, group long, tokens array<long>"))
-    n = F.size("tokens")
-    token = whole.select("doc_id", "group", n.alias("n"), F.explode("tokens").alias("token"))
+    token = whole.select("doc_id", "group", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
     # tokens of more than one group; the number of classes makes an order, rare first
     shared = token.groupBy("token").agg(F.min("group").alias("g1"), F.max("group").alias("g2"), F.count("*").alias("f")).where("g1 <> g2").select("token", "f")
-    token = token.join(shared, "token")
-    enough = token.groupBy("doc_id").agg(F.count("*").alias("m"), F.first("n").alias("n")).where("4 * m >= 3 * n").select("doc_id", "m")
-    size = whole.groupBy("group").agg(F.count("*").alias("members"))
-    block = F.concat_ws(":", "group", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("members") / BLOCK)))
-    row = saved(token.join(enough, "doc_id").join(size, "group").select("doc_id", "group", "n", "m", "token", "f", block.alias("block")))
-    asked = F.ceil(F.col("n") * 3 / 4)
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("f", "token"))
-    probe = row.withColumn("rank", rank).where(F.col("rank") <= F.col("m") - asked + 1).select("doc_id", "group", "token")
-    union = saved(row.select("token", "block", "group").distinct())
-    target = union.select("token", "block", F.col("group").alias("other"))
-    named = probe.join(target, "token").where("group <> other").select("doc_id", "block").distinct()
-    # the bound: no member can share more of the query than the block's union does
-    mine = row.select("doc_id", "token", asked.alias("asked"))
-    overlap = named.join(mine, "doc_id").join(target.select("token", "block"), ["token", "block"]).groupBy("doc_id", "block").agg(F.count("*").alias("c"), F.first("asked").alias("asked"))
-    opened = overlap.where("c >= asked").select(F.col("doc_id").alias("a"), "block")
-    member = row.select("block", F.col("doc_id").alias("b"), F.col("n").alias("nb")).distinct()
-    size_a = row.select(F.col("doc_id").alias("a"), F.col("n").alias("na")).distinct()
-    pairs = opened.join(member, "block").join(size_a, "a").where("4 * least(na, nb) >= 3 * greatest(na, nb)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    left, right = whole.select(F.col("doc_id").alias("a"), F.col("tokens").alias("ta")), whole.select(F.col("doc_id").alias("b"), F.col("tokens").alias("tb"))
-    common = F.size(F.array_intersect("ta", "tb"))
-    return pairs.join(left, "a").join(right, "b").where(100 * common >= 75 * (F.size("ta") + F.size("tb") - common)).select("a", "b")
+    held = token.join(shared, "token").groupBy("doc_id", "group", "n").agg(F.collect_list(F.struct("f", "token")).alias("t"))
+    # a class without three quarters of its tokens in other groups has no link outside its own
+    held = held.where(4 * F.size("t") >= 3 * F.col("n"))
+    plain = F.transform(F.array_sort("t"), lambda x: x["token"])
+    held = saved(held.select("doc_id", "group", "n", plain.alias("tokens"), F.array_min(F.transform("t", lambda x: F.xxhash64(x["token"]))).alias("key")))
+    # similar classes share the least hash with the probability of their similarity; blocks are bounded in members and tokens
+    load = held.groupBy("key").agg(F.ceil(F.greatest(F.count("*") / F.lit(BLOCK), F.sum(F.size("tokens")) / F.lit(BLOCK_TOKENS))).alias("shares"))
+    row = saved(held.join(load, "key").withColumn("block", F.xxhash64("key", F.pmod(F.xxhash64("doc_id"), "shares"))).select("doc_id", "group", "n", "tokens", "block"))
+    union = row.select("block", F.explode("tokens").alias("token")).distinct()
+    # of m tokens, 3n/4 of which a partner has, it has one of the rarest m - 3n/4 + 1
+    rare = F.slice("tokens", F.lit(1), (F.size("tokens") - F.ceil(F.col("n") * 3 / 4) + 1).cast("int"))
+    probe = row.select(F.col("block").alias("query"), F.explode(rare).alias("token")).distinct()
+    named = probe.join(union, "token").where("query < block").select("query", "block").distinct()
+    inside = row.groupBy("block").agg(F.countDistinct("group").alias("g")).where("g > 1").select(F.col("block").alias("query"), "block")
+    named = saved(named.union(inside))
+    shares = named.groupBy("block").agg(F.ceil(F.count("*") / F.lit(QUERIES)).cast("int").alias("shares"))
+    cells = ("doc_id", "group", "n", "tokens")
+    member = row.join(shares, "block").select("block", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("salt"), F.lit(0).alias("turn"), *cells)
+    asking = named.join(shares, "block").select(F.col("block").alias("to"), F.pmod(F.xxhash64("query"), "shares").cast("int").alias("salt"), F.col("query").alias("block"))
+    query = row.join(asking, "block").select(F.col("to").alias("block"), "salt", F.lit(1).alias("turn"), *cells)
+    tasks = tasks_for(docs.sparkSession, named.count(), 5_000)
+    both = member.union(query).repartition(tasks, "block", "salt").sortWithinPartitions("block", "salt", "turn")
+    return both.mapInArrow(_open_blocks, "a long, b long")
 
 
 # --- the join -------------------------------------------------------------------------------
