@@ -16,8 +16,7 @@ Prefix lemma: of n tokens in a fixed order, with an overlap of at least a = ceil
 the first k common tokens; a partner has at least 3n/4 tokens, so both prefixes share at least ceil(3n/16).
 
 Defined cases: null and empty texts have no shingles and link with nothing; texts of fewer than five words are one shingle; rows with
-a null id have a null component and are not compared; rows that repeat an id count once with the union of links (one row is returned per row);
-an empty table gives an empty result.
+a null id have a null component and are not compared; rows that repeat an id are taken to repeat its text (one row is returned per row); an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -188,8 +187,8 @@ _PACKED = ["bucket", "tokens", "docs", "groups", "lengths", "known", "counts"]
 _PACKED_SHAPE = "bucket long, " + ", ".join(f"{c} binary" for c in _PACKED[1:])
 
 
-def _count_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in the order of buckets: per class the number of its tokens of this task's buckets that another group holds."""
+def _count_shared(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    """Rows in the order of buckets: per class the number of its tokens of this task's buckets that another group holds, packed by part."""
     total: dict[int, int] = {}
     bucket, held = None, []
 
@@ -222,7 +221,25 @@ def _count_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     if held:
         settle()
     if total:
-        yield pa.RecordBatch.from_arrays([pa.array(total.keys(), pa.int64()), pa.array(total.values(), pa.int64())], ["doc_id", "shared"])
+        docs, counts = np.fromiter(total.keys(), np.int64, len(total)), np.fromiter(total.values(), np.int64, len(total))
+        part = (mix(docs.astype(np.uint64)) % _U(parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        docs, counts, part = docs[order], counts[order], part[order]
+        new = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+        rows = [(int(part[a]), docs[a:b].tobytes(), counts[a:b].tobytes()) for a, b in zip(new, [*new[1:], len(part)], strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.binary(), pa.binary()), strict=True)], ["part", "docs", "counts"])
+
+
+def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per class from the packed counts of a part."""
+    docs, counts = [], []
+    for batch in batches:
+        docs += [np.frombuffer(x, np.int64) for x in batch.column(1).to_pylist()]
+        counts += [np.frombuffer(x, np.int64) for x in batch.column(2).to_pylist()]
+    if docs:
+        own, at = np.unique(np.concatenate(docs), return_inverse=True)
+        shared = np.bincount(at, weights=np.concatenate(counts)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(shared)], ["doc_id", "shared"])
 
 
 def open_classes(docs: DataFrame, grouped: DataFrame) -> DataFrame:
@@ -246,8 +263,8 @@ def open_classes(docs: DataFrame, grouped: DataFrame) -> DataFrame:
             yield made.rows()
 
     rows = packed_text(docs).join(grouped, "doc_id").select("doc_id", "group", "members", "packed").mapInArrow(deal, _PACKED_SHAPE)
-    counts = rows.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(_count_shared, "doc_id long, shared long")
-    counts = counts.groupBy("doc_id").agg(F.sum("shared").alias("shared"))
+    counted = rows.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(lambda b: _count_shared(b, tasks), "part long, docs binary, counts binary")
+    counts = counted.repartition(tasks, "part").mapInArrow(_add_up, "doc_id long, shared long")
     asked = F.greatest(F.lit(1), F.ceil(F.col("n") * 3 / 16))
     may = (F.col("members") > GIANT) | (F.coalesce("shared", F.lit(0)) >= asked)
     return grouped.join(counts, "doc_id", "left").where(may).select("doc_id", "group")
@@ -316,7 +333,7 @@ def matrix_links(docs: DataFrame, may: DataFrame) -> DataFrame:
     token = whole.select("doc_id", "group", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
     # tokens of more than one group; the number of classes makes an order, rare first
     shared = token.groupBy("token").agg(F.min("group").alias("g1"), F.max("group").alias("g2"), F.count("*").alias("f")).where("g1 <> g2").select("token", "f")
-    held = token.join(shared, "token").groupBy("doc_id", "group", "n").agg(F.collect_list(F.struct("f", "token")).alias("t"))
+    held = token.join(shared, "token").groupBy("doc_id", "group", "n").agg(F.collect_set(F.struct("f", "token")).alias("t"))
     # a class without three quarters of its tokens in other groups has no link outside its own
     held = held.where(4 * F.size("t") >= 3 * F.col("n"))
     plain = F.transform(F.array_sort("t"), lambda x: x["token"])
@@ -350,7 +367,6 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     own = saved(signatures(docs))
     usable = own.where("doc_id is not null and n > 0")
     classes = usable.groupBy("n", "low", "high").agg(F.min("doc_id").alias("rep"))
-    # one row per class; of rows that repeat an id with other texts the class of each is linked through the id
     member = saved(usable.select("doc_id", "n", "low", "high").distinct().join(classes, ["n", "low", "high"]).select("doc_id", "rep"))
     reps = saved(usable.join(member.where("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
     links = saved(star_links(docs, reps).distinct())
