@@ -385,7 +385,8 @@ def similar_groups(docs: DataFrame) -> DataFrame:
 def one_of_each_group(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of its group, one row per id; rows with a null id stay."""
     found = saved(similar_groups(docs))
-    drop = found.where("doc_id <> component_id").select(F.col("doc_id").alias("drop_id")).distinct()
+    # a table of its own, so that the planner knows how few ids go
+    drop = saved(found.where("doc_id <> component_id").select(F.col("doc_id").alias("drop_id")).distinct())
     kept = docs.join(drop, docs["doc_id"] == drop["drop_id"], "left_anti")
     again = saved(found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("again_id")))
     if again.isEmpty():
