@@ -73,10 +73,12 @@ def composite_key(*parts) -> Column:
 def letter_label(index) -> Column:
     """0 -> A, 25 -> Z, 26 -> AA, as spreadsheet columns; -1 (noise) stays NULL."""
     i = _c(index).cast("int")
-    letter = lambda n: F.char((n + 65).cast("long"))
-    return F.when(i < 0, F.lit(None).cast("string")).when(i < 26, letter(i)).otherwise(
-        F.concat(letter(F.floor(i / 26).cast("int") - 1), letter(i % 26))
+    # bijective base 26: take the last letter, go on with what is left; seven letters hold every int
+    step = lambda a, _: F.when(a["n"] < 0, a).otherwise(
+        F.struct((F.floor(a["n"] / 26) - 1).cast("long").alias("n"), F.concat(F.char(a["n"] % 26 + 65), a["s"]).alias("s"))
     )
+    start = F.struct(i.cast("long").alias("n"), F.lit("").alias("s"))
+    return F.when(i < 0, F.lit(None).cast("string")).otherwise(F.aggregate(F.sequence(F.lit(1), F.lit(7)), start, step, lambda a: a["s"]))
 
 
 def three_way_digit(value, low, high, missing: int = 1) -> Column:

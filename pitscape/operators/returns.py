@@ -252,9 +252,11 @@ def portfolio_summary(monthly: DataFrame, keys: Sequence[str], date: str, value:
     )
 
 
-def hac_regression(monthly: DataFrame, keys: Sequence[str], date: str, y: str, regressors: Sequence[str], lags: int) -> DataFrame:
+def hac_regression(monthly: DataFrame, keys: Sequence[str], date: str, y: str, regressors: Sequence[str], lags: int | str) -> DataFrame:
     """Time-series regression with Bartlett-weighted errors per strategy.
 
+    ``lags``: a number, or the key column that holds the horizon, whose overlap is horizon - 1.
+
     A series has one row per month, so each group is calendar-bounded; the solve of one
     series is a grouped Arrow batch.
     """
@@ -269,9 +271,10 @@ def hac_regression(monthly: DataFrame, keys: Sequence[str], date: str, y: str, r
         beta = bread @ (x.T @ yy)
         u = x * (yy - x @ beta)[:, None]
         meat = u.T @ u
-        for lag in range(1, min(lags, len(u) - 1) + 1):
+        most = int(pdf[lags].iloc[0]) - 1 if isinstance(lags, str) else lags
+        for lag in range(1, min(most, len(u) - 1) + 1):
             g = u[lag:].T @ u[:-lag]
-            meat += (1 - lag / (lags + 1)) * (g + g.T)
+            meat += (1 - lag / (most + 1)) * (g + g.T)
         se = np.sqrt(np.clip(np.diag(bread @ meat @ bread), 0, None))
         head = {k: [pdf[k].iloc[0]] * len(names) for k in keys}
         return pd.DataFrame({**head, "term": names, "coefficient": beta, "se": se, "months": len(pdf)})

@@ -229,7 +229,7 @@ def portfolio_summary(spark, d):
 def factor_regression(spark, d):
     """Time-series regression with HAC errors; a matrix solve, checked in the tests."""
     monthly = monthly_frame(spark, d).join(D.factors(spark, d).withColumnRenamed("date", "holding_date"), "holding_date")
-    return N.hac_regression(monthly, N.STRATEGY, "holding_date", "long_short_return", ["mkt_excess", "smb", "hml", "rmw", "cma", "mom"], 5)
+    return N.hac_regression(monthly, N.STRATEGY, "holding_date", "long_short_return", ["mkt_excess", "smb", "hml", "rmw", "cma", "mom"], "horizon_months")
 
 
 @query("cross_section_regressions")

@@ -309,7 +309,7 @@ def cell_occupancy(spark, d):
 
 @query(
     "axis_mean_by_decade",
-    "select cast(floor(fyear/10)*10 as int) decade, " + ", ".join(f"round(avg({a}),6) {a}" for a in AXES) + " from raxes group by 1",
+    "select cast(floor(fyear/10)*10 as int) as decade, " + ", ".join(f"round(avg({a}),6) {a}" for a in AXES) + " from raxes group by 1",
     CTES,
 )
 def axis_mean_by_decade(spark, d):
