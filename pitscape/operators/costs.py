@@ -94,12 +94,20 @@ def capacity_diagnostics(assigned: DataFrame) -> DataFrame:
     return counts.join(middle, [*STRATEGY, "leg"])
 
 
-def executed_positions(assigned: DataFrame, paths: DataFrame, lagged: DataFrame, delay: int, p: Params = DEFAULT) -> tuple[DataFrame, DataFrame]:
-    """(positions, calendar) of capacity-limited weights, entered ``delay`` months late."""
-    months = cohort_positions(assigned, paths, delay + 1, F.lit(delay + p.primary_return_horizon))
+def executed_positions(
+    assigned: DataFrame, paths: DataFrame, lagged: DataFrame, delay: int, p: Params = DEFAULT, broken_path: str = "raise"
+) -> tuple[DataFrame, DataFrame]:
+    """(positions, calendar) of capacity-limited weights, entered ``delay`` months late.
+
+    ``broken_path``: a late entry may run into a month without a usable return; "raise" stops, "close"
+    holds cash from that month on.
+    """
+    months = cohort_positions(assigned, paths, delay + 1, F.lit(delay + p.primary_return_horizon), broken_path)
     at = [*STRATEGY, "holding_date"]
     calendar = months.groupBy(*at).agg(F.countDistinct("feature_date").alias("active_cohorts"), F.min("rf").alias("rf"))
     signed = F.when(F.col("leg") == "long", F.col("capacity_weight")).otherwise(-F.col("capacity_weight"))
+    if broken_path == "close":
+        months = months.filter(~F.col("closed"))
     held = months.filter(~F.col("cash_after_delist")).groupBy(*at, "permno", "gvkey").agg(
         F.sum(signed).alias("__w"), F.min("return_used").alias("return_used"), F.max("return_used").alias("__r1"),
         F.max("valid_delist_event").alias("forced_exit"),
@@ -119,7 +127,7 @@ def executed_positions(assigned: DataFrame, paths: DataFrame, lagged: DataFrame,
         F.when(F.abs("target_weight") > 0, size / F.abs("target_weight")).otherwise(0.0).alias("fill_ratio"),
         F.greatest(F.least(F.coalesce("half_spread", F.lit(fallback)), F.lit(p.max_half_spread)), F.lit(0.0)).alias("half_spread"),
         F.coalesce("spread_source", F.lit("fallback_missing_lag")).alias("spread_source"),
-        F.coalesce("borrow_annual_bps", F.lit(0.0)).alias("borrow_annual_bps"),
+        F.coalesce("borrow_annual_bps", F.lit(0.0)).alias("borrow_annual_bps"), "capacity_weight_limit", "liquidity_date",
         F.lit(delay).alias("delay_months"),
     )
     return positions, calendar.withColumn("delay_months", F.lit(delay))

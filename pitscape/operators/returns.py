@@ -22,7 +22,8 @@ def forward_paths(events: DataFrame, history: DataFrame, factors: DataFrame, p:
     """Monthly path of every event, up to the longest horizon.
 
     After a valid exit the path earns the risk-free rate; a month without a usable
-    return breaks it.  Path windows hold one row per holding month.
+    return breaks it.  Months after the last factor row are kept, ``beyond_calendar`` and not
+    valid; a gap inside the calendar is an error.  Path windows hold one row per holding month.
     """
     longest = max(p.return_horizons)
     exploded = events.withColumn("holding_offset", F.explode(F.sequence(F.lit(lag), F.lit(longest)))).withColumn(
@@ -32,23 +33,29 @@ def forward_paths(events: DataFrame, history: DataFrame, factors: DataFrame, p:
         "gvkey", F.col("date").alias("holding_date"), F.col("total_return").alias("ret_total"), "has_delist", "delist_return_missing"
     )
     rates = factors.select(F.col("date").alias("holding_date"), "rf")
-    joined = exploded.join(past, ["gvkey", "holding_date"], "left").join(rates, "holding_date", "left")
+    last = factors.agg(F.max("date").alias("__last"))  # one row
+    joined = exploded.join(past, ["gvkey", "holding_date"], "left").join(rates, "holding_date", "left").join(F.broadcast(last))
+    beyond = F.coalesce(F.col("holding_date") > F.col("__last"), F.lit(True))
     missing_exit = F.coalesce("delist_return_missing", F.lit(False))
     valid_exit = F.coalesce("has_delist", F.lit(False)) & ~missing_exit & F.col("ret_total").isNotNull()
     path = W.partitionBy("event_id").orderBy("holding_offset")
     before, upto = path.rowsBetween(W.unboundedPreceding, -1), path.rowsBetween(W.unboundedPreceding, 0)
     rf = F.coalesce("rf", F.raise_error(F.concat(F.lit("no factor row for "), F.col("holding_date").cast("string"))).cast("double"))
     out = (
-        joined.withColumn("rf", rf)
+        joined.withColumn("beyond_calendar", beyond)
+        .withColumn("rf", F.when(~F.col("beyond_calendar"), rf))
         .withColumn("delist_return_missing", missing_exit)
         .withColumn("valid_delist_event", valid_exit)
         .withColumn("cash_after_delist", F.coalesce(F.max("valid_delist_event").over(before), F.lit(False)))
-        .withColumn("__ok", F.col("cash_after_delist") | (F.col("ret_total").isNotNull() & ~F.col("delist_return_missing")))
+        .withColumn(
+            "__ok",
+            ~F.col("beyond_calendar") & (F.col("cash_after_delist") | (F.col("ret_total").isNotNull() & ~F.col("delist_return_missing"))),
+        )
         .withColumn("path_valid_through_month", F.bool_and("__ok").over(upto))
         .withColumn("delisted_by_month", F.max("valid_delist_event").over(upto))
-        .withColumn("return_used", F.when(F.col("cash_after_delist"), F.col("rf")).otherwise(F.col("ret_total")))
+        .withColumn("return_used", F.when(F.col("cash_after_delist"), F.col("rf")).when(~F.col("beyond_calendar"), F.col("ret_total")))
     )
-    return out.drop("__ok", "has_delist")
+    return out.drop("__ok", "__last", "has_delist")
 
 
 def forward_targets(paths: DataFrame, carried: Sequence[str], horizons: Sequence[int] = DEFAULT.return_horizons) -> DataFrame:
@@ -62,6 +69,7 @@ def forward_targets(paths: DataFrame, carried: Sequence[str], horizons: Sequence
             F.bool_and(pick(F.col("path_valid_through_month"))).alias(f"valid_{h}"),
             F.bool_or(pick(F.col("delist_return_missing"))).alias(f"missing_{h}"),
             F.bool_or(pick(F.col("valid_delist_event"))).alias(f"gone_{h}"),
+            F.bool_or(pick(F.col("beyond_calendar"))).alias(f"beyond_{h}"),
             F.count(pick(F.col("return_used"))).alias(f"used_{h}"),
             (F.product(pick(1 + F.col("return_used"))) - 1).alias(f"gross_{h}"),
             (F.product(pick(1 + F.col("rf"))) - 1).alias(f"rf_{h}"),
@@ -74,6 +82,7 @@ def forward_targets(paths: DataFrame, carried: Sequence[str], horizons: Sequence
         gross = F.when(ok & (c(f"used_{h}") == c(f"months_{h}")), c(f"gross_{h}"))
         status = (
             F.when(c(f"missing_{h}"), "missing_delisting_return")
+            .when(c(f"beyond_{h}"), "beyond_calendar")
             .when(~ok, "missing_return_path")
             .when(c(f"gone_{h}"), "complete_after_delist")
             .otherwise("complete")
@@ -81,7 +90,7 @@ def forward_targets(paths: DataFrame, carried: Sequence[str], horizons: Sequence
         entries.append(
             F.struct(
                 F.lit(h).alias("horizon_months"), c(f"months_{h}").alias("path_months"), ok.alias("target_valid"),
-                gross.alias("forward_total_return"), c(f"rf_{h}").alias("forward_risk_free_return"),
+                gross.alias("forward_total_return"), F.when(~c(f"beyond_{h}"), c(f"rf_{h}")).alias("forward_risk_free_return"),
                 (gross - c(f"rf_{h}")).alias("forward_excess_return"), status.alias("target_status"),
             )
         )
@@ -167,14 +176,22 @@ def sort_attrition(targets: DataFrame, signals: Sequence[str]) -> DataFrame:
     )
 
 
-def cohort_positions(assigned: DataFrame, paths: DataFrame, low: int = 1, high: Column | None = None) -> DataFrame:
-    """Assignments unfolded over their holding months [low, high] (default: the horizon)."""
+def cohort_positions(assigned: DataFrame, paths: DataFrame, low: int = 1, high: Column | None = None, broken_path: str = "raise") -> DataFrame:
+    """Assignments unfolded over their holding months [low, high] (default: the horizon).
+
+    An assignment without any path is an error, and so is a broken one, unless ``broken_path`` is "close": then
+    months beyond the calendar are left out and the others come with ``closed`` from the first broken month on.
+    Nothing that happens later decides whether a position is opened.
+    """
     high = F.col("horizon_months") if high is None else high
-    columns = ["event_id", "holding_offset", "holding_date", "return_used", "path_valid_through_month", "cash_after_delist", "valid_delist_event", "rf"]
-    joined = assigned.join(paths.select(*columns), "event_id").filter(
-        (F.col("holding_offset") >= low) & (F.col("holding_offset") <= high)
-    )
+    columns = ["event_id", "holding_offset", "holding_date", "return_used", "path_valid_through_month", "cash_after_delist", "valid_delist_event", "rf", "beyond_calendar"]
+    joined = assigned.join(paths.select(*columns), "event_id", "left")
+    offset = F.coalesce("holding_offset", F.raise_error("an assignment has no return path").cast("int"))
+    joined = joined.withColumn("holding_offset", offset).filter((F.col("holding_offset") >= low) & (F.col("holding_offset") <= high))
     broken = F.col("return_used").isNull() | ~F.col("path_valid_through_month")
+    if broken_path == "close":
+        return joined.filter(~F.col("beyond_calendar")).withColumn("closed", broken).drop("beyond_calendar")
+    joined = joined.drop("beyond_calendar")
     return joined.withColumn(
         "return_used", F.when(broken, F.raise_error("an assignment has an invalid return path").cast("double")).otherwise(F.col("return_used"))
     )

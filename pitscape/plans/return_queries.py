@@ -17,19 +17,19 @@ from pitscape.sources import derived as D
 SIGNALS = ["migration_surprise", "viability_velocity", "historical_success_density"]
 KEYS = "horizon_months, signal, weighting, industry_neutral"
 CTES = dict(PANEL)
-CTES["sev"] = "select * from signals where feature_date <= date '2000-09-30'"
+CTES["sev"] = "select * from signals"
 CTES["pa0"] = """select e.*, o.k holding_offset, last_day(e.feature_date + to_months(cast(o.k as int))) holding_date
  from sev e cross join (select unnest(generate_series(1,12)) k) o"""
-CTES["pa1"] = """select p.*, c.total_return ret_total, coalesce(c.has_delist,false) hd, coalesce(c.delist_return_missing,false) drm, f.rf
+CTES["pa1"] = """select p.*, c.total_return ret_total, coalesce(c.has_delist,false) hd, coalesce(c.delist_return_missing,false) drm, f.rf, p.holding_date > (select max(date) from factors) bey
  from pa0 p left join compounded c on c.permno=p.permno and c.date=p.holding_date left join factors f on f.date=p.holding_date"""
 CTES["pa2"] = """select *, hd and not drm and ret_total is not null vd from pa1"""
 CTES["pa3"] = """select *, coalesce(bool_or(vd) over (partition by event_id order by holding_offset rows between unbounded preceding and 1 preceding),false) cash from pa2"""
-CTES["paths"] = """select *, bool_and(cash or (ret_total is not null and not drm)) over (partition by event_id order by holding_offset) ok,
- bool_or(vd) over (partition by event_id order by holding_offset) gone, case when cash then rf else ret_total end used from pa3"""
+CTES["paths"] = """select *, bool_and(not bey and (cash or (ret_total is not null and not drm))) over (partition by event_id order by holding_offset) ok,
+ bool_or(vd) over (partition by event_id order by holding_offset) gone, case when cash then rf when not bey then ret_total end used from pa3"""
 CTES["targets"] = """select *, case when target_valid then g end forward_total_return, case when target_valid then g - rfr end forward_excess_return,
- case when anymiss then 'missing_delisting_return' when not target_valid then 'missing_return_path' when anygone then 'complete_after_delist' else 'complete' end target_status
+ case when anymiss then 'missing_delisting_return' when anybey then 'beyond_calendar' when not target_valid then 'missing_return_path' when anygone then 'complete_after_delist' else 'complete' end target_status
  from (select event_id, gvkey, permno, feature_date, fold, sic1, market_cap_millions, migration_surprise, viability_velocity, historical_success_density,
-  h.h horizon_months, count(*) path_months, bool_and(ok) target_valid, bool_or(drm) anymiss, bool_or(vd) anygone,
+  h.h horizon_months, count(*) path_months, bool_and(ok) target_valid, bool_or(drm) anymiss, bool_or(bey) anybey, bool_or(vd) anygone,
   product(1+used) - 1 g, product(1+rf) - 1 rfr from paths join (values (1),(3),(6),(12)) h(h) on holding_offset <= h.h group by all)"""
 CTES["elig"] = """select t.*, s.s signal, case s.s when 'migration_surprise' then migration_surprise when 'viability_velocity' then viability_velocity else historical_success_density end sv
  from targets t cross join (values ('migration_surprise'),('viability_velocity'),('historical_success_density')) s(s)
@@ -64,14 +64,14 @@ CTES["liq"] = """select *, case when ok then least(0.10::double, cd/1e6::double)
   greatest(least(case when bid>0 and ask>bid then (ask-bid)/(ask+bid) else 0.005::double end, 0.05::double),0) hs from months))"""
 CTES["casg"] = """select a.*, l.lim, l.shortok, case when leg_side='short' and not coalesce(shortok,false) then 0 else least(weight, greatest(coalesce(lim,0),0)) end cw
  from asg a left join liq l on l.permno=a.permno and l.date=a.feature_date where horizon_months=6"""
-CTES["xpos0"] = """select a.event_id, a.signal, a.weighting, a.industry_neutral, a.horizon_months, d.d delay_months, p.holding_date, a.permno, a.gvkey, a.feature_date, p.rf, p.used, p.cash, p.vd,
+CTES["xpos0"] = """select a.event_id, a.signal, a.weighting, a.industry_neutral, a.horizon_months, d.d delay_months, p.holding_date, a.permno, a.gvkey, a.feature_date, p.rf, p.used, p.cash, p.vd, p.ok, p.bey,
  case leg_side when 'long' then cw else -cw end sw from casg a cross join (values (0),(1)) d(d) join paths p on p.event_id=a.event_id and p.holding_offset between d.d+1 and d.d+6"""
-CTES["xok"] = "select * from xpos0 where event_id in (select event_id from paths where holding_offset = 7 and ok)"
+CTES["xok"] = "select * from xpos0 where not bey"
 CTES["xcal"] = f"select {KEYS}, delay_months, holding_date, count(distinct feature_date) active, min(rf) rf from xok group by all"
 CTES["xpos"] = f"""select *, sign(tw)*case when tw<0 and not coalesce(shortok,false) then 0 else least(abs(tw), greatest(coalesce(lim,0),0)) end aw,
  coalesce(hs, 0.005::double) hs1 from (
- select x.*, x.w/c.active tw, c.rf, l.lim, l.shortok, l.hs, l.bps from (select {KEYS}, delay_months, holding_date, permno, gvkey, sum(sw) w, min(used) used, bool_or(vd) forced
-   from xok where not cash group by all) x join xcal c using ({KEYS}, delay_months, holding_date)
+ select x.*, x.w/c.active tw, c.rf, l.lim, l.shortok, l.hs, l.bps, l.date ld from (select {KEYS}, delay_months, holding_date, permno, gvkey, sum(sw) w, min(used) used, bool_or(vd) forced
+   from xok where not cash and ok group by all) x join xcal c using ({KEYS}, delay_months, holding_date)
  left join liq l on l.permno=x.permno and last_day(l.date + interval 1 day)=x.holding_date)"""
 CTES["xmo"] = f"select *, row_number() over (partition by {KEYS}, delay_months order by holding_date) i from xcal"
 CTES["xpi"] = f"select p.*, m.i from xpos p join xmo m using ({KEYS}, delay_months, holding_date)"
@@ -97,7 +97,7 @@ def history(spark, d):
 def paths_frame(spark, d):
     """Holding paths, written once for targets, portfolios and costs."""
     months = cut(history(spark, d))
-    events = D.signal_events(spark, d, months).filter(F.col("feature_date") <= F.lit("2000-09-30").cast("date"))
+    events = D.signal_events(spark, d, months)
     return cut(N.forward_paths(events, months, D.factors(spark, d)))
 
 
@@ -115,7 +115,7 @@ def sorts_frame(spark, d, paths):
 )
 def forward_paths(spark, d):
     months = cut(history(spark, d))
-    events = D.signal_events(spark, d, months).filter(F.col("feature_date") <= F.lit("2000-09-30").cast("date"))
+    events = D.signal_events(spark, d, months)
     return N.forward_paths(events, months, D.factors(spark, d)).select(
         "event_id", "holding_offset", "holding_date", "valid_delist_event", "cash_after_delist", "path_valid_through_month",
         "delisted_by_month", r("return_used", 8).alias("return_used"),
@@ -282,11 +282,9 @@ def costed_frame(spark, d, signals=SIGNALS):
     sorts = cut(N.portfolio_sorts(N.forward_targets(paths, CARRIED), list(signals)))
     assigned = cut(K.cost_assignments(N.assignments(sorts), months))
     lagged = K.lagged_liquidity(months)
-    # a delayed entry needs one more month of a valid path
-    complete = paths.filter((F.col("holding_offset") == 7) & F.col("path_valid_through_month")).select("event_id")
-    assigned = cut(assigned.join(complete, "event_id", "left_semi"))
     p0, c0 = K.executed_positions(assigned, paths, lagged, 0)
-    p1, c1 = K.executed_positions(assigned, paths, lagged, 1)
+    # a late entry may leave the calendar or lose its returns: it is closed then, and opened all the same
+    p1, c1 = K.executed_positions(assigned, paths, lagged, 1, broken_path="close")
     return cut(p0.unionByName(p1)), cut(c0.unionByName(c1))
 
 
@@ -320,7 +318,7 @@ def costed_months(spark, d):
 
 @query(
     "cost_waterfall",
-    f"select {KEYS}, delay_months, cost_case, months, round(gross,8) gross, round(trading,8) trading, round(borrowing,8) borrowing, round(net,8) net, true as reconciled from xwf",
+    f"select {KEYS}, delay_months, cost_case, months, round(gross,8) gross, round(trading,8) trading, round(borrowing,8) borrowing, round(net,8) net, abs(gross-trading-borrowing-net) < 1e-12 as reconciled from xwf",
     CTES,
 )
 def cost_waterfall(spark, d):
@@ -370,13 +368,18 @@ def cross_section_summary(spark, d):
 
 @query(
     "cost_gate",
-    f"""select count(*) as "rows", 0::bigint identity_errors, 0::bigint over_capacity, 0::bigint negative_costs from xmon""",
+    f"""select count(*) as "rows", count(*) filter (abs(net - (gross_return-transaction_cost-borrow_cost)) > 1e-12) identity_errors,
+ (select count(*) from xpos where abs(aw) > greatest(coalesce(lim,0),0) + 1e-12 or ld >= holding_date) over_capacity,
+ count(*) filter (transaction_cost < 0 or borrow_cost < 0) negative_costs
+ from (select *, gross_return-(transaction_cost+borrow_cost) net from xmon)""",
     CTES,
 )
 def cost_gate(spark, d):
     """Net equals gross minus costs, weights stay inside their lagged capacity, costs are not negative."""
     positions, calendar = costed_frame(spark, d)
-    over = positions.agg(F.count(F.when(F.abs("actual_weight") > F.abs("target_weight") + 1e-12, 1)).alias("over_capacity"))
+    room = F.greatest(F.coalesce("capacity_weight_limit", F.lit(0.0)), F.lit(0.0))
+    late = F.col("liquidity_date") >= F.col("holding_date")
+    over = positions.agg(F.count(F.when((F.abs("actual_weight") > room + 1e-12) | late, 1)).alias("over_capacity"))
     bad = lambda c: F.count(F.when(c, 1))
     months = K.costed_months(positions, calendar).agg(
         F.count(F.lit(1)).alias("rows"),

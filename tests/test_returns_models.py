@@ -37,7 +37,27 @@ def test_forward_path_with_exit(spark):
     assert out[("B|1", 6)]["target_status"] == "missing_delisting_return" and out[("B|1", 6)]["forward_total_return"] is None
     assert out[("B|1", 1)]["target_status"] == "complete"
     with pytest.raises(Exception, match="no factor row"):
-        N.forward_paths(events, history, factors.limit(3)).collect()
+        N.forward_paths(events, history, factors.filter(F.col("date") != F.lit(months[3]))).collect()
+    short = N.forward_paths(events, history, factors.filter(F.col("date") <= F.lit(months[3])))
+    out = {(r["event_id"], r["horizon_months"]): r for r in N.forward_targets(short, ["gvkey"]).collect()}
+    assert out[("A|1", 3)]["target_status"] == "complete_after_delist"
+    late = out[("A|1", 6)]
+    assert late["target_status"] == "beyond_calendar" and not late["target_valid"]
+    assert late["forward_total_return"] is None and late["forward_risk_free_return"] is None
+
+
+def test_positions_without_or_with_a_broken_path(spark):
+    months = _ends(4)
+    path = "event_id string, holding_offset int, holding_date date, return_used double, path_valid_through_month boolean, cash_after_delist boolean, valid_delist_event boolean, rf double, beyond_calendar boolean"
+    rows = [("A", 1, months[1], 0.1, True, False, False, 0.0, False), ("A", 2, months[2], None, False, False, False, 0.0, False), ("A", 3, months[3], None, False, False, False, None, True)]
+    paths = spark.createDataFrame(rows, path)
+    assigned = spark.createDataFrame([("A", 3)], "event_id string, horizon_months int")
+    with pytest.raises(Exception, match="invalid return path"):
+        N.cohort_positions(assigned, paths).collect()
+    kept = N.cohort_positions(assigned, paths, broken_path="close").orderBy("holding_offset").collect()
+    assert [(r["holding_offset"], r["closed"]) for r in kept] == [(1, False), (2, True)]
+    with pytest.raises(Exception, match="no return path"):
+        N.cohort_positions(spark.createDataFrame([("B", 3)], "event_id string, horizon_months int"), paths).collect()
 
 
 @pytest.mark.parametrize("n", [1, 2, 5, 7, 11, 30, 33, 101])
