@@ -63,17 +63,14 @@ def exit_reconciliation(intervals: DataFrame) -> DataFrame:
     )
 
 
-_LEVELS = 17  # days since the origin stay below 2**17
-
-
 def interval_concordance(intervals: DataFrame, risk: str, event: str, firm: str = "gvkey") -> DataFrame:
     """Share of (event, other firm at risk) pairs in which the failing firm has more risk.
 
     An interval j is at risk at t if start_j <= t < stop_j.  Pairs are counted, never
     listed: the intervals below a risk that started by t, minus those that stopped by t.
-    A count over days [0, t] splits into at most 17 power-of-two blocks of days; in each
-    block the lower risks are a running count over the risk order.  So rows multiply by
-    the fixed number of levels only, and every count is hot-safe.
+    A count over days [0, t] splits into one power-of-two block of days per bit of the last day; in
+    each block the lower risks are a running count over the risk order.  So rows multiply by
+    the number of bits only, and every count is hot-safe.  Days before the origin are refused.
     """
     base = intervals.select(F.col(firm).alias("firm"), "entry_day", "stop_day", F.col(risk).cast("double").alias("risk"), F.col(event).alias("event")).filter(
         F.col("risk").isNotNull()
@@ -82,7 +79,10 @@ def interval_concordance(intervals: DataFrame, risk: str, event: str, firm: str
     marks = base.select("risk", F.inline(F.array(
         F.struct(F.col("entry_day").alias("day"), F.lit(1).alias("w")), F.struct(F.col("stop_day").alias("day"), F.lit(-1).alias("w")),
     )))
-    levels = F.sequence(F.lit(0), F.lit(_LEVELS - 1))
+    first, last = base.agg(F.min(F.least("entry_day", "stop_day")), F.max(F.greatest("entry_day", "stop_day"))).first()
+    if first is not None and first < 0:
+        raise ValueError(f"an interval begins or ends on day {first}, before the origin")
+    levels = F.sequence(F.lit(0), F.lit(max(1, (int(last or 0) + 1).bit_length()) - 1))
     block = lambda day, l: F.floor(day / F.pow(F.lit(2.0), l)).cast("int")
     points = marks.select("risk", "w", F.explode(F.transform(levels, lambda l: F.struct(l.alias("l"), block(F.col("day"), l).alias("b")))).alias("x"))
     points = points.select(F.col("x.l").alias("l"), F.col("x.b").alias("b"), "risk", F.col("w").alias("w"), F.lit(0).alias("q"))
