@@ -7,7 +7,8 @@ Reading: the text reader cuts the archives at the magic ``WARC/1.1``, in splits
 size and wherever it occurs, also inside payloads. Each piece is a candidate record at a byte offset
 (pieces before it in its split, plus the sizes of the splits before); its header names the offset of its
 successor. Pointer jumping from the start of each file keeps the offsets that the chain reaches. Pieces
-that it does not reach belong to the payload of the record before them.
+that it does not reach belong to the payload of the record before them. All joins of the verification are on
+offsets; payloads are exchanged only where a magic inside one has to be healed, or a repeated one be named.
 
 Defined cases: a null html is an empty payload; a null url leaves its header out; control
 characters in a url, and the magic in one, are percent-encoded, so they cannot end a header; a page without
@@ -18,11 +19,15 @@ are written and returned each; an empty table writes an empty archive and gives
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pitscape.llm.common import columns, saved
+from pitscape.llm.common import columns, saved, small_batches
 from pitscape.session import checkpoint_folder
 
 MAGIC = "WARC/1.1\r\n"
@@ -49,9 +54,10 @@ def deduplicated(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """page_id, url, payload, digest, bytes and ``refers_to``: null for the smallest id of a payload and for short payloads."""
     p = columns(pages, "page_id", "url", "html").select("page_id", "url", F.coalesce("html", F.lit("")).alias("payload"))
     p = p.withColumns({"digest": base32_sha1(F.col("payload")), "bytes": F.octet_length("payload").cast("long")})
-    first = p.groupBy("digest").agg(F.min("page_id").alias("first"))
+    # a table of its own, so that the planner knows how many payloads repeat
+    first = saved(p.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first"))
     refers = F.when((F.col("bytes") >= least_bytes) & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
-    return p.join(first, "digest").withColumn("refers_to", refers).drop("first")
+    return p.join(first, "digest", "left").withColumn("refers_to", refers).drop("first")
 
 
 def records(pages: DataFrame) -> DataFrame:
@@ -83,19 +89,36 @@ def write_archives(pages: DataFrame, path: str) -> None:
     records(pages).write.option("lineSep", END).text(path)
 
 
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds to rows in the order of their split: ``inside``, the bytes before them in it, and ``n``, their own."""
+    key, at = None, 0
+    for batch in batches:
+        path, split = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        n = pc.binary_length(batch.column(2)).to_numpy(zero_copy_only=False).astype(np.int64) + len(MAGIC)
+        inside = np.zeros(len(n), np.int64)
+        begin = 0
+        for i in range(1, len(n) + 1):
+            if i == len(n) or (path[i], split[i]) != (path[begin], split[begin]):
+                if key != (path[begin], split[begin]):
+                    key, at = (path[begin], split[begin]), 0
+                inside[begin:i] = at + np.cumsum(n[begin:i]) - n[begin:i]
+                at += int(n[begin:i].sum())
+                begin = i
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(inside), pa.array(n)], ["path", "split", "value", "inside", "n"])
+
+
 def _pieces(spark: SparkSession, path: str) -> DataFrame:
     """path, off (of its magic) and text of every piece between magics."""
+    small_batches(spark)
     raw = spark.read.option("lineSep", MAGIC).option("recursiveFileLookup", "true").text(path)
-    raw = raw.select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("i"))
-    light = saved(raw.select("path", "split", "i", (F.octet_length("value") + len(MAGIC)).cast("long").alias("n"), "value"))
-    splits = light.groupBy("path", "split").agg(F.sum("n").alias("n"))
+    raw = raw.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("split"), "value")
+    placed = saved(raw.mapInArrow(_places, "path string, split long, value string, inside long, n long"))
+    splits = placed.groupBy("path", "split").agg(F.sum("n").alias("n"))
     ahead = Window.partitionBy("path").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
-    splits = splits.select("path", "split", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("base"))
-    within = Window.partitionBy("path", "split").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-    inside = light.select("path", "split", "i", F.coalesce(F.sum("n").over(within), F.lit(0)).alias("inside"), "value")
+    splits = saved(splits.select("path", "split", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("base")))
     # the magic stands before its piece; the first piece of a file is the empty text before its first magic
     off = F.col("base") + F.col("inside") - len(MAGIC)
-    return inside.join(splits, ["path", "split"]).select("path", off.alias("off"), "value").where("off >= 0")
+    return placed.join(splits, ["path", "split"]).select("path", off.alias("off"), "value").where("off >= 0")
 
 
 def chain(candidates: DataFrame) -> DataFrame:
@@ -117,7 +140,7 @@ def chain(candidates: DataFrame) -> DataFrame:
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """page_id, record_type, refers_to, payload_bytes, payload_digest and payload (null for revisits) of every record."""
-    pieces = saved(_pieces(spark, path))
+    pieces = _pieces(spark, path)
     head = F.instr("value", END)
     length = F.expr(r"try_cast(regexp_extract(substring(value, 1, instr(value, '\r\n\r\n') + 1), '(?:^|\r\n)Content-Length: ([0-9]{1,18})\r\n', 1) as bigint)")
     header_bytes = F.octet_length(F.substring_index("value", END, 1))
@@ -126,10 +149,13 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     starts = chain(candidates).withColumn("start", F.col("off"))
     upto = Window.partitionBy("path").orderBy("off").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     owner = candidates.select("path", "off").join(starts, ["path", "off"], "left").select("path", "off", F.last("start", ignorenulls=True).over(upto).alias("start"))
-    whole = (
-        pieces.join(owner, ["path", "off"]).groupBy("path", "start")
-        .agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("off", "value"))), lambda x: x["value"]), MAGIC).alias("record"))
-    )
+    owner = saved(owner)
+    # pieces that are not a whole record: parts of a healed one, or before any record
+    healed = owner.where("off <> start").select("path", "start").distinct()
+    odd = saved(owner.join(healed, ["path", "start"]).select("path", "off", "start").union(owner.where("start is null").select("path", "off", "start")))
+    parts_of = F.transform(F.sort_array(F.collect_list(F.struct("off", "value"))), lambda x: x["value"])
+    joined = pieces.join(odd.where("start is not null"), ["path", "off"]).groupBy("path", "start").agg(F.array_join(parts_of, MAGIC).alias("record"))
+    whole = pieces.join(odd, ["path", "off"], "left_anti").select(F.col("value").alias("record")).union(joined.select("record"))
     field = lambda name, pattern: F.regexp_extract("header", rf"(?:^|\r\n){name}: {pattern}(?:\r\n|$)", 1)
     parts = whole.select(F.substring_index("record", END, 1).alias("header"), F.expr(r"substring(record, instr(record, '\r\n\r\n') + 4)").alias("block"))
     parts = parts.select("header", F.expr(r"substring_index(block, '\r\n\r\n', 1)").alias("http"), F.expr(r"substring(block, instr(block, '\r\n\r\n') + 4)").alias("payload"))
