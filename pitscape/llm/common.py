@@ -21,15 +21,15 @@ BATCH_ROWS = 500
 _U = np.uint64
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read again.
+def saved(df: DataFrame, codec: str | None = None) -> DataFrame:
+    """``df`` written as Parquet in the shared folder and read again; ``codec``: its compression, if not the session's.
 
     Cuts the lineage like a checkpoint, keeps columns prunable, and tells the
     planner the true size, so that small tables are broadcast by Spark's own check.
     """
     spark = df.sparkSession
     path = f"{checkpoint_folder(spark)}/llm-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -112,7 +112,7 @@ def _pieces(spark: SparkSession, path: str) -> DataFrame:
     small_batches(spark)
     raw = spark.read.option("lineSep", MAGIC).option("recursiveFileLookup", "true").text(path)
     raw = raw.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("split"), "value")
-    placed = saved(raw.mapInArrow(_places, "path string, split long, value string, inside long, n long"))
+    placed = saved(raw.mapInArrow(_places, "path string, split long, value string, inside long, n long"), "zstd")  # the one copy of the payloads
     splits = placed.groupBy("path", "split").agg(F.sum("n").alias("n"))
     ahead = Window.partitionBy("path").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
     splits = saved(splits.select("path", "split", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("base")))
