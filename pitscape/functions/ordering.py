@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from pitscape.session import cut
+
 CODES_PER_OCTAVE = 256
 _OFFSET = 2_000_000  # above the largest |log2| of a double times the codes per octave
 
@@ -158,6 +160,14 @@ def with_average_rank(df: DataFrame, keys: Sequence[str], value: str, out: str,
     return df.join(table.select(*columns), keys + [value], "left")
 
 
+def _by_range(df: DataFrame, keys: list[str], value: Column, tie: str) -> DataFrame:
+    """Rows in ranges of (keys, value, tie), with ``__range`` and an ``__id`` that rises along each."""
+    dealt = df.withColumns({"__v": value.cast("double"), "__t": F.col(tie).cast("string")})
+    dealt = dealt.repartitionByRange(*keys, "__v", "__t").sortWithinPartitions(*keys, "__v", "__t").drop("__v", "__t")
+    # the upper bits of the id are the range, the lower 33 the place in it
+    return dealt.withColumn("__id", F.monotonically_increasing_id()).withColumn("__range", F.shiftright("__id", 33))
+
+
 def with_row_number(
     df: DataFrame,
     keys: Sequence[str],
@@ -168,28 +178,23 @@ def with_row_number(
 ) -> DataFrame:
     """Exact row number by (value, tie) inside a group, without sorting a group in one task.
 
-    ``value`` must be non-null.  Rows at exactly zero, the usual mass point, are
-    subdivided by the leading characters of the tie-breaker.
+    ``value`` must be non-null.  Rows are dealt by ranges of (keys, value, tie) and sorted
+    there, so neither a hot group nor a tied value is one task; a row's number is its
+    place in its range plus the rows of its group in the ranges before.
     """
     keys = list(keys)
-    coded = df.withColumn("__v", value.cast("double")).withColumn("__code", order_code(F.col("__v")))
-    part = F.substring(F.col(tie).cast("string"), 1, 2)
-    coded = coded.withColumn("__part", F.when(F.col("__v") == 0, part).otherwise(F.lit("")))
-    per_code = coded.groupBy(*keys, "__code", "__part").agg(F.count(F.lit(1)).alias("__n"))
+    placed = cut(_by_range(known_keys(df, *keys), keys, value, tie))  # written once, since it is read twice
+    ranges = placed.groupBy(*keys, "__range").agg(F.min("__id").alias("__first"), F.count(F.lit(1)).alias("__n"))
     group = W.partitionBy(*keys)
-    before = group.orderBy("__code", "__part").rowsBetween(W.unboundedPreceding, -1)
-    offsets = per_code.select(
+    before = group.orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
+    offsets = ranges.select(
         *keys,
-        "__code",
-        "__part",
-        F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"),
+        "__range",
+        (F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__first") + 1).alias("__off"),
         F.sum("__n").over(group).alias(rows_out or "__rows"),
     )
-    inside = W.partitionBy(*keys, "__code", "__part").orderBy("__v", F.col(tie).cast("string"))
-    numbered = coded.join(offsets, keys + ["__code", "__part"]).withColumn(
-        out, F.col("__off") + F.row_number().over(inside)
-    )
-    return numbered.drop("__v", "__code", "__part", "__off", "__rows")
+    numbered = placed.join(offsets, keys + ["__range"]).withColumn(out, F.col("__id") + F.col("__off"))
+    return numbered.drop("__id", "__range", "__off", "__rows")
 
 
 def top_fraction(df: DataFrame, keys: Sequence[str], score: str, tie: str, fraction: float, out: str) -> DataFrame:

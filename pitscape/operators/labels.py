@@ -102,10 +102,13 @@ def smoothed_rates(split: DataFrame, keys: Sequence[str], group: str, prior_rows
 
 
 def tertile_cells(split: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """Base-3 cell of each row from the tertiles of the train rows; missing -> median."""
+    """Base-3 cell of each row.  Missing values take the median of the train rows first;
+    the tertiles are those of the filled train rows."""
     keys = list(keys)
     long = split.filter(F.col("role") == "train").unpivot(keys, list(columns), "component", "value")
-    edges = quantiles(long, [*keys, "component"], "value", {"t1": 1 / 3, "t2": 2 / 3, "mid": 0.5})
+    mid = quantiles(long, [*keys, "component"], "value", {"mid": 0.5})
+    filled = long.join(mid, [*keys, "component"]).withColumn("value", F.coalesce("value", "mid"))
+    edges = quantiles(filled, [*keys, "component"], "value", {"t1": 1 / 3, "t2": 2 / 3}).join(mid, [*keys, "component"])
     wide = edges.groupBy(*keys).agg(
         *[F.max(F.when(F.col("component") == c, F.struct("t1", "t2", "mid"))).alias(f"__{c}") for c in columns]
     )

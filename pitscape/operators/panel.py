@@ -41,9 +41,11 @@ def report_availability(reports: DataFrame, filings: DataFrame | None, fallback_
 
 
 def compound_exit_returns(months: DataFrame, exits: DataFrame) -> DataFrame:
-    """Compound the ordinary return with the exit return in the exit month."""
+    """Compound the ordinary return with the exit return in the exit month; two exits of
+    a security in one month stop the job."""
+    twice = F.raise_error("two exits of a security in one month")
     dated = exits.groupBy("permno", F.last_day("dlstdt").alias("date")).agg(
-        F.max("dlret").alias("dlret"), F.lit(True).alias("has_delist")
+        F.max("dlret").alias("dlret"), F.when(F.count(F.lit(1)) > 1, twice.cast("boolean")).otherwise(True).alias("has_delist")
     )
     r, x = F.col("ret"), F.col("dlret")
     return months.join(dated, ["permno", "date"], "left").select(

@@ -213,13 +213,17 @@ def smoothed_group_rates(spark, d):
 
 
 _TF = FEATURES[:3]
-_TERT = ", ".join(f"quantile_cont({c}, 1.0::double/3) t1_{c}, quantile_cont({c}, 2.0::double/3) t2_{c}, median({c}) m_{c}" for c in _TF)
+_MED = ", ".join(f"median({c}) k_{c}" for c in _TF)
+_TERT = ", ".join(
+    f"quantile_cont(coalesce({c}, k_{c}), 1.0::double/3) t1_{c}, quantile_cont(coalesce({c}, k_{c}), 2.0::double/3) t2_{c}, any_value(k_{c}) m_{c}" for c in _TF
+)
 _TC = " || ".join(f"cast((coalesce({c}, m_{c}) >= t1_{c})::int + (coalesce({c}, m_{c}) >= t2_{c})::int as varchar)" for c in _TF)
 
 
 @query(
     "tertile_cell_rates",
-    f"""select * from (with c as (select s.*, {_TC} cell from split s join (select horizon_years, fold, {_TERT} from split where role='train' group by 1,2) t
+    f"""select * from (with c as (select s.*, {_TC} cell from split s join (select horizon_years, fold, {_TERT}
+  from split join (select horizon_years, fold, {_MED} from split where role='train' group by 1,2) using (horizon_years, fold) where role='train' group by 1,2) t
   on t.horizon_years=s.horizon_years and t.fold=s.fold)
  select c.gvkey, c.fyear, c.horizon_years, c.fold, c.role, c.cell, round(coalesce((g.s + 20*a.m)/(g.n+20), a.m),9) probability
  from c join (select horizon_years, fold, avg(y) m from c where role='train' group by 1,2) a on a.horizon_years=c.horizon_years and a.fold=c.fold

@@ -52,6 +52,19 @@ def test_row_number_total_order(skewed):
     assert (out.set_index("id")["rn"].sort_index() == ref.set_index("id")["rn"].sort_index()).all()
 
 
+def test_row_number_splits_ties_and_equal_prefixes(spark):
+    """One tied value, ids that begin alike: no task sorts more than a few ranges."""
+    df = spark.range(40_000).select(F.lit("g").alias("g"), F.lit(7.5).alias("v"), F.format_string("same%08d", "id").alias("tie"), "id")
+    out = O.with_row_number(df, ["g"], F.col("v"), "tie", "rn", "n").cache()
+    assert out.filter((F.col("rn") != F.col("id") + 1) | (F.col("n") != 40_000)).isEmpty() and out.count() == 40_000
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # it would join ranges as small as these
+    try:
+        largest = O._by_range(df, ["g"], F.col("v"), "tie").groupBy("__range").count().agg(F.max("count")).first()[0]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert largest < 15_000
+
+
 def test_order_code_is_monotone(spark):
     rng = np.random.default_rng(1)
     v = np.concatenate([rng.normal(0, 10.0**e, 200) for e in range(-8, 9)] + [[0.0, 5e-324, -5e-324, 1e308, -1e308]])

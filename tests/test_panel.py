@@ -48,6 +48,8 @@ def test_exit_returns(spark):
     exits = spark.createDataFrame([(1, D("2020-01-10"), -0.5), (2, D("2020-01-20"), -0.3), (3, D("2020-01-05"), None)], "permno long, dlstdt date, dlret double")
     out = {r["permno"]: r for r in P.compound_exit_returns(months, exits).collect()}
     assert out[1]["total_return"] == pytest.approx(1.1 * 0.5 - 1) and out[2]["total_return"] == -0.3 and out[3]["delist_return_missing"]
+    with pytest.raises(Exception, match="two exits"):
+        P.compound_exit_returns(months, exits.unionByName(exits)).collect()
 
 
 def test_asof_ties_and_no_look_ahead(spark):

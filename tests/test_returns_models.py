@@ -208,6 +208,15 @@ def test_gates_truth_table(spark):
         U.eligibility_audit(spark.createDataFrame([(1, 0.1)], "fyear int, forward_return double"), ["forward_return"], ["candidate"])
 
 
+def test_tertiles_of_filled_values(spark):
+    """Six of ten train values are missing, so the median fills both tertiles; tertiles of the present ones would be 3 and 5."""
+    values = [1.0, 3.0, 5.0, 100.0] + [None] * 6
+    rows = [(1, "train", i, v) for i, v in enumerate(values)] + [(1, "test", 10, None), (1, "test", 11, 3.9), (1, "test", 12, 4.5)]
+    split = spark.createDataFrame(rows, "k int, role string, id int, x double")
+    got = {r["id"]: r["cell"] for r in L.tertile_cells(split, ["k"], ["x"]).collect()}
+    assert (got[10], got[11], got[12], got[0]) == ("2", "0", "2", "0")
+
+
 def test_every_query_has_a_stable_schema():
     import __spark_entry__ as entry
 
