@@ -184,7 +184,7 @@ def realized_check(spark, d):
 def bootstrap_power(spark, d):
     """Cluster bootstrap over effect sizes; the draws are hashes, so no SQL twin."""
     rows = change_frame(spark, d).select("gvkey", F.col("primary_score").alias("observable"), (F.col("truth_value") / 100).alias("injected"), (F.col("benchmark") / 1e5).alias("outcome")).dropna()
-    return U.power_gates(U.bootstrap_power(cut(rows), [1.0, 4.0], 5, 12000, 0.5))
+    return U.power_gates(U.bootstrap_power(cut(rows), [1.0, 2.0, 4.0, 6.0, 8.0, 10.0], 100, 12000, 0.5))
 
 
 @query(

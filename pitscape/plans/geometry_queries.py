@@ -182,29 +182,31 @@ def _scaled_points(spark, d):
     return cut(scaled.select("gvkey", "fyear", _report_id().alias("id"), F.array(*FEATURES).alias("v"), *FEATURES))
 
 
+def _training(points):
+    return points.filter("fyear <= 1998")
+
+
 @query("archetype_assignments")
 def archetype_assignments(spark, d):
-    """Density archetypes fitted on the hashed training sample, applied to every report."""
+    """Density archetypes fitted on all training reports, applied to every report."""
     points = _scaled_points(spark, d)
-    sample = T.hashed_sample(points.filter("fyear <= 1998"), "id", 7, 25_000)
-    _, clusters = T.density_clusters(sample, 10, 20)
-    out = T.assignment_table(T.assign_nearest(points, clusters), 1998)
+    _, clusters = T.density_clusters(_training(points), 10, 20)
+    out = T.assignment_table(T.assign_by_search(points, clusters), 1998)
     return out.select("gvkey", "fyear", "archetype", "role", "is_noise", r("confidence").alias("confidence"))
 
 
 @query("archetype_profiles")
 def archetype_profiles(spark, d):
     points = _scaled_points(spark, d)
-    _, clusters = T.density_clusters(T.hashed_sample(points.filter("fyear <= 1998"), "id", 7, 25_000), 10, 20)
-    return T.profiles(cut(T.assignment_table(T.assign_nearest(points, clusters), 1998)), FEATURES)
+    _, clusters = T.density_clusters(_training(points), 10, 20)
+    return T.profiles(cut(T.assignment_table(T.assign_by_search(points, clusters), 1998)), FEATURES)
 
 
 @query("archetype_stability")
 def archetype_stability(spark, d):
-    points = _scaled_points(spark, d)
-    sample = cut(T.hashed_sample(points.filter("fyear <= 1998"), "id", 7, 25_000))
-    labels, _ = T.density_clusters(sample, 10, 20)
-    return T.cluster_stability(sample, cut(labels), 10, 20, refits=2)
+    points = _training(_scaled_points(spark, d))
+    labels, _ = T.density_clusters(points, 10, 20)
+    return T.cluster_stability(points, cut(labels), 10, 20)
 
 
 @query(

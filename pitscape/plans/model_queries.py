@@ -212,7 +212,7 @@ def nested_ridge_predictions(spark, d):
 
 @query("nested_tree_predictions")
 def nested_tree_predictions(spark, d):
-    out = predictions(spark, d, FEATURES, "trees", trees=10)
+    out = predictions(spark, d, FEATURES, "trees")
     return out.select("gvkey", "fyear", "horizon_years", "fold", "role", "model", r("probability").alias("probability"))
 
 

@@ -68,6 +68,30 @@ def test_archetypes_find_separated_groups(spark):
     assert T.adjusted_rand(pairs, "label", "b").first()["adjusted_rand"] == pytest.approx(1.0)
 
 
+def test_small_archetypes_stay_in_large_training_sets(spark, monkeypatch):
+    from pitscape.plans import geometry_queries as Q
+
+    # 50,000 training reports, far more than 25,000; the archetype of 22 would lose about half of its reports in a sample
+    i = F.col("id")
+    x = F.when(i < 22, 7.0).otherwise((i % 12).cast("double") / 2)
+    points = spark.range(50_000).select(
+        F.lpad(i.cast("string"), 6, "0").alias("gvkey"), F.lit(1997).alias("fyear"), i.cast("string").alias("id"),
+        F.array(x, *[F.lit(0.0)] * 5).alias("v"), *[(x if c == Q.FEATURES[0] else F.lit(0.0)).alias(c) for c in Q.FEATURES],
+    )
+    monkeypatch.setattr(Q, "_scaled_points", lambda *_: points)
+    out = Q.archetype_assignments(spark, "").groupBy("archetype").agg(F.count("*").alias("n"), F.min("gvkey").alias("first")).collect()
+    sizes = {row["archetype"]: row["n"] for row in out}
+    assert len(sizes) == 13 and "noise" not in sizes and min(sizes.values()) == 22 and sizes["M"] == 22
+
+
+def test_search_assigns_like_the_packed_table(spark):
+    rng = np.random.default_rng(8)
+    centres = spark.createDataFrame([(i, [float(a) for a in v], 0.8) for i, v in enumerate(rng.normal(size=(700, 2)))], "label int, centroid array<double>, radius double")
+    pts = spark.createDataFrame([(str(i), [float(a) for a in v]) for i, v in enumerate(rng.normal(size=(300, 2)) * 2)], "id string, v array<double>")
+    key = lambda df: sorted((p["id"], p["label"], round(p["confidence"], 9), round(p["distance"], 9)) for p in df.collect())
+    assert key(T.assign_by_search(pts, centres)) == key(T.assign_nearest(pts, centres))
+
+
 def _intervals(n=400, seed=2):
     rng = np.random.default_rng(seed)
     start = rng.integers(30_000, 30_060, n)
