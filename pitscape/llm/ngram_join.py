@@ -15,7 +15,7 @@ copies costs its size, not its square.
 Prefix lemma: of n tokens in a fixed order, with an overlap of at least a = ceil(3n/4) asked for and k = ceil(n/4), the first n - a + k hold
 the first k common tokens; a partner has at least 3n/4 tokens, so both prefixes share at least ceil(3n/16).
 
-Defined cases: null and empty texts have no shingles and link with nothing; texts of fewer than five words are one shingle; rows with
+Defined cases: ids are any long, in their signed order; null and empty texts have no shingles and link with nothing; texts of fewer than five words are one shingle; rows with
 a null id have a null component and are not compared; rows that repeat an id are taken to repeat its text (one row is returned per row); an empty table gives an empty result.
 """
 
@@ -160,30 +160,31 @@ class _Prefixes:
         # of tokens that do not ask, one entry for the smallest and one for the largest group
         silent = ~known & (np.bincount(run[keep], minlength=len(start)) == 0)
         t = np.concatenate([token[keep], token[start[known]], token[start[known]], token[start[silent]]])
-        d = np.concatenate([ids[who[keep]], np.full(2 * known.sum() + silent.sum(), -1)])
+        d = np.concatenate([ids[who[keep]], np.zeros(2 * known.sum() + silent.sum(), np.int64)])
+        asking = np.arange(len(d)) < keep.sum()
         g = np.concatenate([group[keep], low[known], high[known], low[silent]])
         bucket = ((t >> _U(32)) * _U(self.buckets) >> _U(32)).astype(np.int64)
-        order = np.lexsort((g, d, bucket))
-        t, d, g, bucket = t[order], d[order], g[order], bucket[order]
-        new = np.flatnonzero(np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (d[1:] != d[:-1]) | (g[1:] != g[:-1])])) if len(t) else np.zeros(0, np.int64)
+        order = np.lexsort((g, d, asking, bucket))
+        t, d, g, asking, bucket = t[order], d[order], g[order], asking[order], bucket[order]
+        new = np.flatnonzero(np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (asking[1:] != asking[:-1]) | (d[1:] != d[:-1]) | (g[1:] != g[:-1])])) if len(t) else np.zeros(0, np.int64)
         length = np.diff(np.concatenate([new, [len(t)]]))
         out = []
         runs = np.flatnonzero(np.concatenate([[True], bucket[new][1:] != bucket[new][:-1]])) if len(new) else []
         for a, b in zip(runs, [*runs[1:], len(new)], strict=True):
             x, y = new[a], new[b] if b < len(new) else len(t)
             # the bucket is the leading bits, so the low 32 and the bucket tell tokens apart well enough: a clash only asks for more work
-            out.append((int(bucket[x]), t[x:y].astype(np.uint32).tobytes(), d[new[a:b]].tobytes(), (g[new[a:b]] - np.maximum(d[new[a:b]], 0)).tobytes(), length[a:b].astype(np.uint32).tobytes(), b"", b""))
+            out.append((int(bucket[x]), t[x:y].astype(np.uint32).tobytes(), d[new[a:b]].tobytes(), (g[new[a:b]] - d[new[a:b]]).tobytes(), length[a:b].astype(np.uint32).tobytes(), np.packbits(asking[new[a:b]]).tobytes(), b"", b""))
         some = np.flatnonzero(count)
         if len(some):
-            out.append((int(ids[some[0]]) % self.buckets, b"", b"", b"", b"", ids[some].tobytes(), count[some].astype(np.int64).tobytes()))
+            out.append((int(ids[some[0]]) % self.buckets, b"", b"", b"", b"", b"", ids[some].tobytes(), count[some].astype(np.int64).tobytes()))
         self.clear()
         return pa.RecordBatch.from_arrays(
-            [pa.array(c, pa.int64() if k == 0 else pa.binary()) for k, c in enumerate(zip(*out, strict=True))] if out else [pa.array([], pa.int64())] + [pa.array([], pa.binary())] * 6,
+            [pa.array(c, pa.int64() if k == 0 else pa.binary()) for k, c in enumerate(zip(*out, strict=True))] if out else [pa.array([], pa.int64())] + [pa.array([], pa.binary())] * 7,
             _PACKED,
         )
 
 
-_PACKED = ["bucket", "tokens", "docs", "groups", "lengths", "known", "counts"]
+_PACKED = ["bucket", "tokens", "docs", "groups", "lengths", "asking", "known", "counts"]
 _PACKED_SHAPE = "bucket long, " + ", ".join(f"{c} binary" for c in _PACKED[1:])
 
 
@@ -195,8 +196,10 @@ def _count_shared(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.
     def settle() -> None:
         tokens = np.concatenate([np.frombuffer(h[0], np.uint32) for h in held])
         docs = np.concatenate([np.frombuffer(h[1], np.int64) for h in held])
-        groups = np.concatenate([np.frombuffer(h[2], np.int64) for h in held]) + np.maximum(docs, 0)
+        groups = np.concatenate([np.frombuffer(h[2], np.int64) for h in held]) + docs
         lengths = np.concatenate([np.frombuffer(h[3], np.uint32) for h in held]).astype(np.int64)
+        # the entries without a class only say that a group holds a token
+        asking = np.concatenate([np.unpackbits(np.frombuffer(h[4], np.uint8), count=len(h[3]) // 4) for h in held]).astype(bool)
         run = np.repeat(np.arange(len(docs)), lengths)
         order = np.argsort(tokens, kind="stable")
         t, g = tokens[order], groups[run[order]]
@@ -204,9 +207,9 @@ def _count_shared(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.
         shared = np.minimum.reduceat(g, start) != np.maximum.reduceat(g, start)
         flag = np.repeat(shared, np.diff(np.concatenate([start, [len(t)]])))
         count = np.bincount(run[order[flag]], minlength=len(docs))
-        for d, c in zip(docs[count > 0].tolist(), count[count > 0].tolist(), strict=True):
-            if d >= 0:
-                total[d] = total.get(d, 0) + c
+        told = asking & (count > 0)
+        for d, c in zip(docs[told].tolist(), count[told].tolist(), strict=True):
+            total[d] = total.get(d, 0) + c
 
     for batch in batches:
         for row in zip(*[batch.column(k).to_pylist() for k in range(len(_PACKED))], strict=True):
@@ -215,8 +218,8 @@ def _count_shared(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.
                 held = []
             bucket = row[0]
             if row[1]:
-                held.append(row[1:5])
-            for d, c in zip(np.frombuffer(row[5], np.int64).tolist(), np.frombuffer(row[6], np.int64).tolist(), strict=True):
+                held.append(row[1:6])
+            for d, c in zip(np.frombuffer(row[6], np.int64).tolist(), np.frombuffer(row[7], np.int64).tolist(), strict=True):
                 total[d] = total.get(d, 0) + c
     if held:
         settle()

@@ -17,7 +17,7 @@ passes its runs on directly; so no task gets more of a hot bucket than two entri
 
 A suffix array of all places would move each of them (a shuffle of more than 12 bytes a byte); steps 1 and 2 move about half a byte a byte.
 
-Defined cases: null and empty texts have 0 bytes; texts under 100 bytes keep everything; rows that repeat an id have the same place in the
+Defined cases: ids are any long, in their signed order; null and empty texts have 0 bytes; texts under 100 bytes keep everything; rows that repeat an id have the same place in the
 order and are no earlier copies of each other (their texts are taken to be equal); rows with a null id are neither judged nor copied from; cuts may
 fall inside a character, since matches are bytes; an empty table gives an empty result.
 """
@@ -113,7 +113,7 @@ def _first(*keys: np.ndarray) -> np.ndarray:
     return new
 
 
-#: An entry of the exchange: bucket key, key of its content, place (id, byte), and what its step needs besides.
+#: An entry of the exchange: bucket key, key of its content, place (id, byte), number of suffixes (0 in a sign), and what its step needs besides.
 _ENTRY = np.dtype([("bucket", "<u8"), ("content", "<u8"), ("doc", "<i8"), ("start", "<u4"), ("n", "u1"), ("off", "u1"), ("left", "<u8"), ("right", "<u8")])
 _SMALL = np.dtype([("bucket", "<u8"), ("content", "<u8"), ("doc", "<i8"), ("start", "<u4"), ("n", "u1"), ("off", "u1")])
 #: What comes back, in the packed columns of a row: repeats (start, n) and, for step 1, runs to look at (start, n, off).
@@ -186,7 +186,7 @@ def _deal(entries: np.ndarray, parts: int, slices: bool) -> pa.RecordBatch:
     _pass_on(answers, kept[many], slices)
     sign = np.concatenate([bucket[count >= MANY], bucket[count >= MANY] + 1])
     signs = kept[sign].copy()
-    signs["doc"] = -1
+    signs["doc"], signs["n"] = 0, 0
     sent = np.concatenate([kept[~many], signs])
     part = ((sent["bucket"] >> _U(40)) * _U(parts) >> _U(24)).astype(np.int64)
     order = np.lexsort((sent["start"], sent["doc"], part))
@@ -215,13 +215,13 @@ def _resolve(slices: bool):
                 at += size
             blocks.append(block)
         e = np.concatenate(blocks)
-        # signs (doc -1) come first in their content and are no place
+        # signs (n = 0, which no run or slice has; ids may be negative) are no place
         e = e[np.lexsort((e["start"], e["doc"], e["content"], e["bucket"]))]
         answers = _Answers()
         bucket, content = _first(e["bucket"]), _first(e["bucket"], e["content"])
         different = np.add.reduceat(content.astype(np.int64), np.flatnonzero(bucket)) >= 2
         mixed = np.repeat(different, np.diff(np.concatenate([np.flatnonzero(bucket), [len(e)]])))
-        real = e["doc"] >= 0
+        real = e["n"] > 0
         group = np.cumsum(content) - 1
         lead = np.full(group[-1] + 1, len(e))
         np.minimum.at(lead, group[real], np.flatnonzero(real))

@@ -83,6 +83,24 @@ def test_repeated_bytes_match_brute_force(spark):
     assert sum(r.n_removed for r in got) > 0
 
 
+def test_negative_ids_are_documents_like_others(spark):
+    # ids as 64-bit hashes: half of them, and -1, are negative; over several partitions, so that copies meet in the exchange
+    sign = lambda i: -1 if i == 7 else (i + 1) * 0x1E3779B97F4A7C15 % 2**64 - 2**63
+    for rows in (corpus(3, 60), corpus(5, 60)):
+        rows = [(sign(i), t, s) for i, t, s in rows]
+        docs = table(spark, rows).repartition(8)
+        want = brute.repeats([(i, t) for i, t, _ in sorted(rows)])
+        assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.deduplicated(docs).collect()} == want
+
+
+def test_negative_ids_keep_their_prefix_tokens(spark):
+    # near copies in groups of their own: only the exchange of the prefixes finds that they share tokens
+    rows = [(i, " ".join(f"w{k % 40}{k // 2 + i // 2 * 50}" for k in range(80)) + f" end{i}", "a") for i in range(-8, 8)]
+    docs = table(spark, rows).repartition(8)
+    grouped = ngram_join.signatures(docs).select("doc_id", "n", F.col("doc_id").alias("group"), F.lit(1).cast("long").alias("members"))
+    assert {r.doc_id for r in ngram_join.open_classes(docs, grouped).collect()} == set(range(-8, 8))
+
+
 def test_base_spans_match_python_patterns(spark):
     texts = [
         "a@b.c_d@e.f x@y", "", None, "1.2.3.4.5.6.7.8 999.1.1.1 0001.2.3.00004", "4111 1111 1111 1111-2 4111-1111-1111-1111 1 2 3", "+1 (22) 333-4444 +123 +12",
