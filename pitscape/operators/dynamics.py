@@ -99,10 +99,10 @@ def unexpected_motion(
     (value or 0, missing flag) are summed once, map-side.  Imputing by the training
     median, scaling and industry dummies are linear maps of those moments, so adding up
     the earlier years and one small solve per year gives the exact fit.  Medians come
-    from distinct values served to later years.
+    from distinct values served to later years.  A control without any value in the earlier
+    years is left out of that year's fit; the others are fitted.
     """
     numeric = list(numeric)
-    k = len(numeric)
     rows = df.filter(F.col(target).isNotNull())
     cols = []
     for c in numeric:
@@ -122,25 +122,27 @@ def unexpected_motion(
     wide = medians.groupBy("horizon_years", F.col("__serves").alias("serves")).agg(
         F.array(*[F.max(F.when(F.col("component") == c, F.col("median"))) for c in numeric]).alias("medians")
     )
-    alpha, minimum = p.surprise_alpha, p.min_surprise_train
+    wide = years.withColumnRenamed("__serves", "serves").join(wide, ["horizon_years", "serves"], "left")
+    alpha, minimum = p.surprise_alpha, max(1, p.min_surprise_train)
 
     def solve(moments_: pd.DataFrame, meds: pd.DataFrame) -> pd.DataFrame:
         out = []
         for _, row in meds.iterrows():
             part = moments_[moments_["__y"] < row["serves"]].groupby("__ind", sort=True).sum(numeric_only=True)
             n = part["n"].sum() if len(part) else 0
-            med = np.asarray(row["medians"], dtype=float)
-            if n < minimum or np.isnan(med).any():
+            if n < minimum:
                 continue
-            d = len(part)
+            med = np.full(m // 2, np.nan) if row["medians"] is None else np.asarray(row["medians"], dtype=float)
+            known = np.flatnonzero(~np.isnan(med))
+            k, d = len(known), len(part)
             s = part[[f"s{i}" for i in range(m)]].to_numpy(float)
             q = np.zeros((m, m))
             for i in range(m):
                 for j in range(i, m):
                     q[i, j] = q[j, i] = part[f"q{i}_{j}"].sum()
             lift = np.zeros((k + 1, m))  # imputed numerics and the target from the raw vector
-            for i in range(k):
-                lift[i, 2 * i], lift[i, 2 * i + 1] = 1.0, med[i]
+            for i, j in enumerate(known):
+                lift[i, 2 * j], lift[i, 2 * j + 1] = 1.0, med[j]
             lift[k, m - 1] = 1.0
             total, cross = lift @ s.sum(axis=0), lift @ q @ lift.T
             mean = total / n
@@ -162,7 +164,9 @@ def unexpected_motion(
             beta = np.linalg.solve(a + alpha * np.eye(size), b)
             raw = beta[:k] / sd
             const = mean[k] - raw @ mean[:k] - beta[k:] @ share
-            out.append((int(moments_["horizon_years"].iloc[0]), int(row["serves"]), float(const), list(raw), list(med), dict(zip(part.index, map(float, beta[k:]))), int(n)))
+            coef, med = np.zeros(m // 2), np.nan_to_num(med)
+            coef[known] = raw
+            out.append((int(moments_["horizon_years"].iloc[0]), int(row["serves"]), float(const), list(coef), list(med), dict(zip(part.index, map(float, beta[k:]))), int(n)))
         return pd.DataFrame(out, columns=["horizon_years", "serves", "const", "coef", "medians", "effects", "train_rows"])
 
     left, right = yearly, wide.select(F.col("horizon_years").alias("h"), "serves", "medians")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pitscape.functions import scalars as S
@@ -29,7 +29,7 @@ def single_exit(exits: DataFrame) -> DataFrame:
 
 
 def fixed_horizon_labels(
-    events: DataFrame, exits: DataFrame, followup: DataFrame, sample_end: str, horizons: Sequence[int] = DEFAULT.horizons_years
+    events: DataFrame, exits: DataFrame, followup: DataFrame, sample_end: str | Column, horizons: Sequence[int] = DEFAULT.horizons_years
 ) -> DataFrame:
     """1 failure in (t, t+h], 0 survived with follow-up, NULL competing exit or censored."""
     base = events.join(exits, "gvkey", "left").join(followup.select("gvkey", "last_observed_date"), "gvkey", "left")

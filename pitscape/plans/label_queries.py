@@ -45,8 +45,10 @@ CTES["split"] = "select l.*, f.fold, f.role from lab l join folds f on f.fh = l.
 def label_frame(spark, d):
     events = report_components(spark, d).withColumn("feature_date", F.last_day(F.add_months("datadate", 3)))
     exits = D.firm_exits(spark, d)
+    last = D.reports(spark, d).agg(F.max("fyear")).first()[0]
+    sample_end = F.make_date(F.lit(last).cast("int"), F.lit(12), F.lit(31))
     return L.fixed_horizon_labels(
-        events, L.single_exit(exits), exits.select("gvkey", "last_observed_date"), "2001-12-31", SHORT.horizons_years
+        events, L.single_exit(exits), exits.select("gvkey", "last_observed_date"), sample_end, SHORT.horizons_years
     ).withColumn("event_year", F.year("feature_date"))
 
 

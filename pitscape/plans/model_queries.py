@@ -182,14 +182,16 @@ MODEL = replace(LOCAL, horizons_years=(1,), test_windows=((1999, 1999), (2000, 2
 
 
 def lapse_matrix(spark, d):
-    """Does a firm report again within the horizon?  Unknown (NULL) past the last year."""
+    """Does a firm report again within the horizon?  Unknown (NULL) past the last year of the reports."""
     w = W.partitionBy("gvkey").orderBy("fyear")
     following = F.lead("fyear").over(w)
-    base = report_components(spark, d).withColumn("__next", following)
+    reports = report_components(spark, d)
+    last = reports.agg(F.max("fyear").alias("__last"))
+    base = reports.withColumn("__next", following).join(F.broadcast(last))
     each = base.withColumn("horizon_years", F.explode(F.array(*[F.lit(h) for h in MODEL.horizons_years])))
     end = F.col("fyear") + F.col("horizon_years")
     lapsed = (F.coalesce("__next", F.lit(9999)) > end).cast("int")
-    return each.withColumn("failure_within_horizon", F.when(end <= 2001, lapsed)).select(
+    return each.withColumn("failure_within_horizon", F.when(end <= F.col("__last"), lapsed)).select(
         "gvkey", "fyear", "horizon_years", "failure_within_horizon", F.col("fyear").alias("event_year"),
         F.make_date(end, F.lit(12), F.lit(31)).alias("label_observed_date"), *FEATURES,
     )
@@ -201,28 +203,28 @@ def lapse_split(spark, d):
 
 
 def predictions(spark, d, features, model, trees=100):
-    return M.nested_predictions(lapse_split(spark, d), features, model, MODEL, trees=trees)
+    return M.nested_predictions(lapse_split(spark, d), features, model, MODEL, trees, L.fold_table(spark, 1995, MODEL))
 
 
 @query("nested_ridge_predictions")
 def nested_ridge_predictions(spark, d):
     out = predictions(spark, d, FEATURES, "ridge")
-    return out.select("gvkey", "fyear", "horizon_years", "fold", "role", "model", r("probability").alias("probability"))
+    return out.select("gvkey", "fyear", "horizon_years", "fold", "role", "model", r("probability").alias("probability"), "status")
 
 
 @query("nested_tree_predictions")
 def nested_tree_predictions(spark, d):
     out = predictions(spark, d, FEATURES, "trees")
-    return out.select("gvkey", "fyear", "horizon_years", "fold", "role", "model", r("probability").alias("probability"))
+    return out.select("gvkey", "fyear", "horizon_years", "fold", "role", "model", r("probability").alias("probability"), "status")
 
 
 @query("incremental_utility_metrics")
 def incremental_utility_metrics(spark, d):
     """Metrics of a small and a large feature set on the same folds."""
-    split = lapse_split(spark, d)
-    small = M.nested_predictions(split, FEATURES[:2], "ridge", MODEL).withColumn("model", F.lit("financial"))
-    large = M.nested_predictions(split, FEATURES, "ridge", MODEL).withColumn("model", F.lit("financial_axes"))
-    keep = ["horizon_years", "fold", "model", "role", "probability", M.LABEL]
+    split, folds = lapse_split(spark, d), L.fold_table(spark, 1995, MODEL)
+    small = M.nested_predictions(split, FEATURES[:2], "ridge", MODEL, folds=folds).withColumn("model", F.lit("financial"))
+    large = M.nested_predictions(split, FEATURES, "ridge", MODEL, folds=folds).withColumn("model", F.lit("financial_axes"))
+    keep = ["horizon_years", "fold", "model", "role", "probability", "status", M.LABEL]
     return M.fold_metrics(small.select(*keep).unionByName(large.select(*keep)))
 
 
@@ -238,8 +240,8 @@ def surface_scores(spark, d):
     """Every test-window event, censored ones included, scored by its own fold's model."""
     matrix, folds = cut(lapse_matrix(spark, d)), L.fold_table(spark, 1995, MODEL)
     rows = L.assign_folds(matrix, folds).unionByName(M.rows_to_score(matrix, folds))
-    out = M.nested_predictions(cut(rows), FEATURES, "ridge", MODEL)
-    return out.filter("role = 'score'").select("gvkey", "fyear", "horizon_years", "fold", r("probability").alias("probability"))
+    out = M.nested_predictions(cut(rows), FEATURES, "ridge", MODEL, folds=folds)
+    return out.filter("role in ('score', 'skipped')").select("gvkey", "fyear", "horizon_years", "fold", r("probability").alias("probability"), "status")
 
 
 @query(

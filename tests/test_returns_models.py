@@ -185,6 +185,47 @@ def test_nested_ridge_finds_a_signal(spark):
     assert m["roc_auc"] > 0.8 and m["expected_calibration_error"] < 0.12
 
 
+def test_skipped_cells_keep_a_status_row_and_empty_splits_stop(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for fold, sizes in ((1, (600, 300, 300)), (2, (40, 300, 300))):
+        for role, n in zip(("train", "validation", "test"), sizes):
+            rows += [(1, fold, role, float(x), int(rng.random() < 1 / (1 + np.exp(-x)))) for x in rng.normal(size=n)]
+    split = spark.createDataFrame(rows, "horizon_years int, fold int, role string, a double, failure_within_horizon int")
+    p = replace(DEFAULT, ridge_grid=(1.0,))
+    out = M.nested_predictions(split, ["a"], "ridge", p)
+    status = [(r["fold"], r["status"]) for r in out.filter("role = 'skipped'").collect()]
+    assert len(status) == 1 and status[0][0] == 2 and status[0][1].startswith("too few train rows")
+    metrics = {r["fold"]: r for r in M.fold_metrics(out).collect()}
+    assert metrics[1]["status"] == "fitted" and metrics[1]["roc_auc"] > 0.6 and metrics[2]["status"].startswith("too few") and metrics[2]["roc_auc"] is None
+    with pytest.raises(ValueError, match="empty test split of horizon 1, fold 2"):
+        M.nested_predictions(split.filter("fold = 1 or role <> 'test'"), ["a"], "ridge", p)
+    folds = spark.createDataFrame([(1, 1), (1, 3)], "horizon_years int, fold int")
+    with pytest.raises(ValueError, match="horizon 1, fold 3"):
+        M.nested_predictions(split, ["a"], "ridge", p, folds=folds)
+
+
+def test_unexpected_motion_leaves_out_only_the_control_without_history(spark):
+    rng = np.random.default_rng(9)
+    n = 500
+    p = pd.DataFrame({"horizon_years": 5, "yr": rng.integers(2000, 2003, n), "ind": 1, "a": rng.normal(size=n)})
+    p["y"] = 2 * p["a"] + rng.normal(size=n) * 0.1
+    df = spark.createDataFrame(p).withColumns({"horizon_years": F.col("horizon_years").cast("int"), "yr": F.col("yr").cast("int")})
+    df = df.withColumn("late", F.when(F.col("yr") == 2002, F.col("a") * 3))  # its first values are those of the last year
+    small = replace(DEFAULT, min_surprise_train=100)
+    got = [Y.unexpected_motion(df, "y", controls, "ind", "yr", small).filter("yr = 2002").orderBy("a").toPandas()["expected_velocity"].to_numpy(float) for controls in (["a", "late"], ["a"])]
+    assert np.isfinite(got[0]).all() and np.allclose(*got)
+
+
+def test_labels_go_on_to_the_last_year_of_the_reports(spark, monkeypatch):
+    from pitscape.plans import model_queries as Q
+
+    reports = spark.createDataFrame([("A", y, *[0.0] * len(Q.FEATURES)) for y in (2001, 2002, 2004)], "gvkey string, fyear int, " + ", ".join(f"{c} double" for c in Q.FEATURES))
+    monkeypatch.setattr(Q, "report_components", lambda *_: reports)
+    got = {r["fyear"]: r["failure_within_horizon"] for r in Q.lapse_matrix(spark, "").collect()}
+    assert got == {2001: 0, 2002: 1, 2004: None}
+
+
 def test_bootstrap_power_finds_strong_effect_and_keeps_null(spark):
     rng = np.random.default_rng(2)
     n = 1200
