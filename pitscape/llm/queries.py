@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pitscape.llm import compression, licences, mixing, ngram_join, pii, quantised, reputation, suffixes, tiling, warc
+from pitscape.llm import compression, infill, licences, mixing, ngram_join, pii, quantised, reputation, suffixes, tiling, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -74,3 +74,8 @@ def op1(spark, sf_dir):
 @_query("op10_repeated_bytes")
 def op10(spark, sf_dir):
     return suffixes.deduplicated(_table(spark, sf_dir, "documents"), with_kept=False)
+
+
+@_query("op11_fill_in_middle", infill.ORACLE)
+def op11(spark, sf_dir):
+    return infill.digests(_table(spark, sf_dir, "documents"))
