@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pitscape.llm import compression, infill, licences, mixing, ngram_join, pii, quantised, reputation, suffixes, tiling, warc
+from pitscape.llm import compression, infill, licences, mixing, ngram_join, pii, quantised, reputation, suffixes, tiling, warc, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -79,3 +79,8 @@ def op10(spark, sf_dir):
 @_query("op11_fill_in_middle", infill.ORACLE)
 def op11(spark, sf_dir):
     return infill.digests(_table(spark, sf_dir, "documents"))
+
+
+@_query("op12_whitened_embeddings")
+def op12(spark, sf_dir):
+    return whitening.whitened(_table(spark, sf_dir, "embeddings"))
