@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pitscape.llm import compression, infill, licences, mixing, ngram_join, pii, quantised, reputation, suffixes, tiling, warc, whitening
+from pitscape.llm import compression, infill, language, licences, mixing, ngram_join, pii, quantised, reputation, suffixes, tiling, warc, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -84,3 +84,8 @@ def op11(spark, sf_dir):
 @_query("op12_whitened_embeddings")
 def op12(spark, sf_dir):
     return whitening.whitened(_table(spark, sf_dir, "embeddings"))
+
+
+@_query("op13_language")
+def op13(spark, sf_dir):
+    return language.predicted_languages(_table(spark, sf_dir, "documents"))

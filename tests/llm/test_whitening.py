@@ -71,7 +71,7 @@ def test_repeated_eigenvalues_and_lean_directions(spark):
 
 
 def test_lengths_apart_repeats_and_no_variance(spark):
-    one = [(1, [1.0, 2.0]), (1, [1.0, 2.0]), (None, [3.0, 5.0]), (4, [0.0, 0.5])]
+    one = [(1, [1.0, 2.0]), (1, [1.0, 2.0]), (None, [3.0, 5.0]), (4, [0.0, 0.75])]
     other = [(7, [1.0, 2.0, 3.0]), (8, [1.0, 2.0, 3.0])]
     out = whitening.whitened(table(spark, one + other)).collect()
     assert sorted(str(r.vec_id) for r in out) == sorted(["1", "1", "1", "1", "None", "None", "4", "4"])
