@@ -91,16 +91,30 @@ def runs_of(data: np.ndarray, at: np.ndarray) -> tuple[Rolling, np.ndarray, np.n
     return roll, text[new], start[new], start[last], anchor[new]
 
 
-def _batches_of_text(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Slices of the batches, their texts as one buffer, and where each begins and ends in it."""
+def _windows_of_text(batches: Iterator[pa.RecordBatch], column: int, before: int, behind: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Texts as one buffer after the other: the batch, the rows, where each row's bytes begin and end in the buffer, and from which byte of its text on.
+
+    A text of more than ``CHUNK`` bytes comes as several windows, each with ``before`` bytes more in front and ``behind`` bytes more at the end,
+    so that what is held does not grow with the text.
+    """
+    pack = lambda held: (np.frombuffer(b"".join(held), np.uint8), np.concatenate([[0], np.cumsum([len(h) for h in held], dtype=np.int64)]))
     for batch in batches:
-        begin, held, size = 0, [], 0
+        rows, held, size = [], [], 0
         for i in range(batch.num_rows):
-            held.append(unpack([batch.column(column)[i]])[0])
-            size += len(held[-1])
-            if size >= CHUNK or i == batch.num_rows - 1:
-                yield batch.slice(begin, i + 1 - begin), np.frombuffer(b"".join(held), np.uint8), np.concatenate([[0], np.cumsum([len(h) for h in held])])
-                begin, held, size = i + 1, [], 0
+            text = unpack([batch.column(column)[i]])[0]
+            if len(text) > CHUNK:
+                for begin in range(0, len(text), CHUNK):
+                    low = max(0, begin - before)
+                    yield batch, np.array([i]), *pack([text[low : begin + CHUNK + behind]]), np.array([low])
+                continue
+            rows.append(i)
+            held.append(text)
+            size += len(text)
+            if size >= CHUNK:
+                yield batch, np.array(rows), *pack(held), np.zeros(len(rows), np.int64)
+                rows, held, size = [], [], 0
+        if rows:
+            yield batch, np.array(rows), *pack(held), np.zeros(len(rows), np.int64)
 
 
 def _first(*keys: np.ndarray) -> np.ndarray:
@@ -196,7 +210,7 @@ def _deal(entries: np.ndarray, parts: int, slices: bool) -> pa.RecordBatch:
     for a, b in zip(new, [*new[1:], len(part)], strict=True):
         # column by column, so that the exchange's compression finds the repeated bytes
         rows.append((int(part[a]), b"".join(np.ascontiguousarray(sent[c][a:b]).tobytes() for c in sent.dtype.names), None, None, None, None))
-    rows += [(r[0] % parts, None, *r) for r in answers.rows]
+    rows += [(int(r[0]) % parts, None, *r) for r in answers.rows]
     types = [pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], _NAMES)
 
@@ -204,17 +218,16 @@ def _deal(entries: np.ndarray, parts: int, slices: bool) -> pa.RecordBatch:
 def _resolve(slices: bool):
     dtype = _ENTRY if slices else _SMALL
 
-    def settle(held: list[bytes]) -> list[tuple]:
-        blocks = []
-        for raw in held:
+    def settle(held: list[bytes]) -> Iterator[pa.RecordBatch]:
+        e = np.zeros(sum(len(raw) for raw in held) // dtype.itemsize, dtype)
+        begin = 0
+        while held:
+            raw = held.pop(0)
             n, at = len(raw) // dtype.itemsize, 0
-            block = np.zeros(n, dtype)
             for c in dtype.names:
-                size = n * dtype[c].itemsize
-                block[c] = np.frombuffer(raw[at : at + size], dtype[c])
-                at += size
-            blocks.append(block)
-        e = np.concatenate(blocks)
+                e[c][begin : begin + n] = np.frombuffer(raw, dtype[c], n, at)
+                at += n * dtype[c].itemsize
+            begin += n
         # signs (n = 0, which no run or slice has; ids may be negative) are no place
         e = e[np.lexsort((e["start"], e["doc"], e["content"], e["bucket"]))]
         answers = _Answers()
@@ -228,30 +241,31 @@ def _resolve(slices: bool):
         lead = np.minimum(lead[group], len(e) - 1)
         later = real & (np.arange(len(e)) != lead) & ((e["doc"] != e["doc"][lead]) | (e["start"] != e["start"][lead]))
         answers.add(1, e["doc"][later], _runs(e[later]))
+        yield from emit(answers)
         _pass_on(answers, e[real & ~later & mixed], slices)
-        return answers.rows
+        yield from emit(answers)
+
+    def emit(answers: _Answers) -> Iterator[pa.RecordBatch]:
+        rows, answers.rows = answers.rows, []
+        for k in range(0, len(rows), 5000):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k : k + 5000], strict=True), types, strict=True)], _NAMES[2:])
+
+    types = [pa.int64(), pa.binary(), pa.binary(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = [pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-        emit = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], _NAMES[2:])
-        part, held, rows = None, [], []
+        held, answers = [], _Answers()
         for batch in batches:
-            for row in zip(*[batch.column(k).to_pylist() for k in range(6)], strict=True):
-                if row[0] != part and held:
-                    rows += settle(held)
-                    held = []
-                part = row[0]
+            for i in range(batch.num_rows):  # row by row: a row packs up to a megabyte
+                row = [batch.column(k)[i].as_py() for k in range(6)]
                 if row[1]:
                     held.append(row[1])
                 else:
-                    rows.append(row[2:])
-                if len(rows) > 20_000:
-                    yield emit(rows)
-                    rows = []
+                    answers.rows.append(tuple(row[2:]))
+                    if len(answers.rows) >= 5000:
+                        yield from emit(answers)
         if held:
-            rows += settle(held)
-        if rows:
-            yield emit(rows)
+            yield from settle(held)
+        yield from emit(answers)
 
     return run
 
@@ -259,14 +273,14 @@ def _resolve(slices: bool):
 def _anchor_entries(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-        for batch, data, at in _batches_of_text(batches, 1):
-            ids = np.array(batch.column(0).to_pylist(), np.int64)
+        for batch, rows, data, at, low in _windows_of_text(batches, 1, 0, LENGTH - 1):
+            ids = batch.column(0).to_numpy(zero_copy_only=False)[rows]
             roll, text, first, last, anchor = runs_of(data, at)
             e = np.zeros(len(text), _SMALL)
             if len(text):
                 e["bucket"] = roll.of(anchor, anchor + ANCHOR)
                 e["content"] = mix(roll.of(first, last + LENGTH) + (anchor - first).astype(np.uint64))
-                e["doc"], e["start"], e["n"], e["off"] = ids[text], first - at[text], last - first + 1, anchor - first
+                e["doc"], e["start"], e["n"], e["off"] = ids[text], first - at[text] + low[text], last - first + 1, anchor - first
             held.append(e)
             size += len(e)
             if size >= FLUSH:
@@ -281,11 +295,16 @@ def _anchor_entries(parts: int):
 def _slice_entries(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-        for batch, data, at in _batches_of_text(batches, 1):
-            ids = batch.column(0).to_pylist()
+        for batch, rows, data, at, low in _windows_of_text(batches, 1, STEP, 256 + LENGTH + STEP):
+            ids = batch.column(0).to_numpy(zero_copy_only=False)[rows]
             roll = Rolling(data)
-            for k, packs in enumerate(batch.column(2).to_pylist()):
-                r = np.frombuffer(b"".join(packs), _RUN)
+            for k, row in enumerate(rows):
+                r = np.frombuffer(b"".join(batch.column(2)[int(row)].as_py()), _RUN)
+                if len(rows) == 1:  # perhaps one window of several: the runs that begin in it
+                    begin = -(-low[k] // CHUNK) * CHUNK
+                    r = r[(r["start"] >= begin) & (r["start"] < begin + CHUNK)]
+                if not len(r):
+                    continue
                 start, n = r["start"].astype(np.int64), r["n"].astype(np.int64)
                 suffix = np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())
                 anchor = np.repeat(start + r["off"], n)
@@ -293,10 +312,11 @@ def _slice_entries(parts: int):
                 new = np.flatnonzero(_first(anchor, step))
                 count = np.diff(np.concatenate([new, [len(suffix)]]))
                 e = np.zeros(len(new), _ENTRY)
-                base = anchor[new] + step[new] * STEP + at[k]  # the slice's first suffix, if it is one of the run
+                shift = at[k] - low[k]
+                base = anchor[new] + step[new] * STEP + shift  # the slice's first suffix, if it is one of the run
                 core = base + STEP - 1
                 e["bucket"] = mix(roll.of(core, base + LENGTH) + _PLACE[64])
-                e["doc"], e["start"], e["n"], e["off"] = ids[k], suffix[new], count, suffix[new] + at[k] - base
+                e["doc"], e["start"], e["n"], e["off"] = ids[k], suffix[new], count, suffix[new] + shift - base
                 # outer bytes that some suffix of the slice has
                 for i in range(STEP - 1):
                     has = i >= e["off"]
@@ -334,13 +354,13 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 r = np.frombuffer(b"".join(packs or []), _RUN)
                 begin_at = np.concatenate([r["start"].astype(np.int64), np.array(starts or [], np.int64)])
                 end_at = np.minimum(len(text), np.concatenate([r["start"].astype(np.int64) + r["n"] - 1, np.array(starts or [], np.int64)]) + LENGTH)
-                edge = np.zeros(len(text) + 1, np.int32)
-                np.add.at(edge, begin_at, 1)
-                np.add.at(edge, end_at, -1)
-                gone = np.cumsum(edge[:-1]) > 0
-                spans = int((gone & ~np.concatenate([[False], gone[:-1]])).sum()) if len(gone) else 0
-                kept = np.frombuffer(text, np.uint8)[~gone].tobytes()
-                out.append((doc, len(text), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), kept))
+                order = np.argsort(begin_at, kind="stable")
+                begin_at, end_at = begin_at[order], np.maximum.accumulate(end_at[order])
+                # a span goes on as long as the next string begins in it or right behind it
+                new = np.flatnonzero(np.concatenate([[True], begin_at[1:] > end_at[:-1]])) if len(order) else np.zeros(0, np.int64)
+                span_from, span_to = begin_at[new].tolist(), end_at[np.append(new[1:], len(order)) - 1].tolist() if len(order) else []
+                kept = b"".join(text[a:b] for a, b in zip([0, *span_to], [*span_from, len(text)], strict=True))
+                out.append((doc, len(text), len(text) - len(kept), len(span_from), hashlib.sha256(kept).hexdigest(), kept))
             types = [pa.int64()] * 4 + [pa.string(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
@@ -352,10 +372,10 @@ def deduplicated(docs: DataFrame, with_kept: bool = True) -> DataFrame:
     total = columns(docs, "text").agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0
     parts = tasks_for(spark, total, 40_000_000)
     first = packed.mapInArrow(_anchor_entries(4 * parts), _PACKED)
-    first = saved(first.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_resolve(False), _OUT))
+    first = saved(first.repartitionById(4 * parts, F.col("part").cast("int")).mapInArrow(_resolve(False), _OUT))
     look = first.where("open is not null").groupBy("doc_id").agg(F.collect_list("open").alias("open"))
     second = packed.join(look, "doc_id").select("doc_id", "packed", "open").mapInArrow(_slice_entries(4 * parts), _PACKED)
-    second = saved(second.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_resolve(True), _OUT))
+    second = saved(second.repartitionById(4 * parts, F.col("part").cast("int")).mapInArrow(_resolve(True), _OUT))
     window = second.where("windows is not null").select("doc_id", "windows").mapInArrow(_explode_windows, "class long, doc_id long, start long")
     place = F.struct("doc_id", "start")
     lead = window.groupBy("class").agg(F.min(place).alias("lead"), F.count("*").alias("n")).where("n > 1").select("class", "lead")

@@ -8,6 +8,7 @@ import random
 import sys
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -93,6 +94,31 @@ def test_negative_ids_are_documents_like_others(spark):
         assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.deduplicated(docs).collect()} == want
 
 
+def test_long_texts_come_in_windows(spark, monkeypatch):
+    # windows of 256 bytes: runs, slices and spans are cut by them, results are not
+    rnd = random.Random(9)
+    base = "".join(rnd.choice("abc d") for _ in range(3000))
+    rows = [(4, base, "a"), (-3, base[500:1700] + "x" + base[1650:2500], "a"), (9, base[100:220] * 12 + "é" * 300, "b"), (2, "ab" * 900, "a")]
+    want = brute.repeats([(i, t) for i, t, _ in sorted(rows)])
+    packed = suffixes.packed_text(table(spark, rows)).toArrow().to_batches()
+    monkeypatch.setattr(suffixes, "CHUNK", 256)
+    entries = [b for b in suffixes._anchor_entries(1)(iter(packed))]
+    first = [r for b in suffixes._resolve(False)(iter(entries)) for r in b.to_pylist()]
+    opened = {i: [r["open"] for r in first if r["open"] and r["doc_id"] == i] for i, *_ in rows}
+    texts = {r["doc_id"]: r["packed"] for b in packed for r in b.to_pylist()}
+    look = [pa.RecordBatch.from_pylist([{"doc_id": i, "packed": texts[i], "open": opened[i]} for i in texts if opened[i]])]
+    second = [r for b in suffixes._resolve(True)(suffixes._slice_entries(1)(iter(look))) for r in b.to_pylist()]
+    window = [w for b in suffixes._explode_windows(iter([pa.RecordBatch.from_pylist([{"doc_id": r["doc_id"], "windows": r["windows"]} for r in second if r["windows"]])])) for w in b.to_pylist()]
+    lead = {}
+    for w in window:
+        lead[w["class"]] = min(lead.get(w["class"], (w["doc_id"], w["start"])), (w["doc_id"], w["start"]))
+    late = {i: sorted({w["start"] for w in window if w["doc_id"] == i and lead[w["class"]] != (i, w["start"])}) for i in texts}
+    whole = {i: [r["repeats"] for r in first + second if r["repeats"] and r["doc_id"] == i] for i in texts}
+    last = pa.RecordBatch.from_pylist([{"doc_id": i, "packed": texts[i], "repeats": whole[i], "starts": late[i]} for i in texts])
+    got = [r for b in suffixes._finish(iter([last])) for r in b.to_pylist()]
+    assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got} == want
+
+
 def test_negative_ids_keep_their_prefix_tokens(spark):
     # near copies in groups of their own: only the exchange of the prefixes finds that they share tokens
     rows = [(i, " ".join(f"w{k % 40}{k // 2 + i // 2 * 50}" for k in range(80)) + f" end{i}", "a") for i in range(-8, 8)]
