@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -9,7 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from pitscape.functions.ordering import top_fraction
+from pitscape.operators import power
+from pitscape.operators.contracts import checked_join
 from pitscape.operators.describe import clustered_slope, prediction_metrics, slope_from_cluster_sums, spearman, student_p
+from pitscape.session import cut
 from pitscape.params import DEFAULT
 
 
@@ -183,6 +187,48 @@ def eligibility_audit(rows: DataFrame, candidates: Sequence[str], allowed: Seque
     return counts.select("fyear", "events", F.inline(F.array(*[F.struct(F.lit(c).alias("candidate"), F.col(c).alias("eligible")) for c in candidates])))
 
 
+def proxy_eligibility(
+    candidates: DataFrame, targets: DataFrame, truth: DataFrame, keys: Sequence[str], selected: str, benchmark: str, horizon: int, year: str = "fyear",
+    calibration: tuple[int, int] = (2002, 2012), holdout: tuple[int, int] = (2013, 2018), blocks: Sequence[tuple[int, int]] = ((2013, 2015), (2016, 2018)),
+    min_overall: float = 0.35, min_improvement: float = 0.10, min_period: float = 0.30, min_block: float = 0.20, min_coverage: float = 0.95,
+) -> DataFrame:
+    """A locked proxy and its benchmark on the keys that have a valid target, without a look at any target's value; five gates for the proxy.
+
+    ``truth`` has the keys and ``truth``. Joins are one to one and enforced; no eligible row, or an eligible key without truth, stops the job.
+    That no value is read can be shown by ``operators.lineage``. A correlation without rows is null and its gate fails.
+    """
+    keys = list(keys)
+    eligible = targets.filter((F.col("horizon_months") == horizon) & F.col("target_valid")).select(*keys)
+    known = truth.select(*keys, F.col("truth").alias("__truth"))
+    joined = checked_join(checked_join(eligible, candidates.select(*keys, year, selected, benchmark), keys, "left", "one_to_one"), known, keys, "left", "one_to_one")
+    lost = F.raise_error("an eligible key has no truth").cast("double")
+    rows = joined.withColumn("__truth", F.coalesce(F.col("__truth").cast("double"), lost)).filter(
+        F.col(benchmark).isNotNull() & F.col(year).between(calibration[0], holdout[1])
+    ).select(year, selected, benchmark, "__truth")
+    periods = {"overall": (calibration[0], holdout[1]), "calibration": calibration, "held_out": holdout, **{f"block{k}": b for k, b in enumerate(blocks, 1)}}
+    found = proxy_metrics(rows, [selected, benchmark], "__truth", periods, year)
+    wide = found.groupBy("candidate").agg(*[F.max(F.when(F.col("period") == p, F.col("spearman"))).alias(f"{p}_spearman") for p in periods])
+    if rows.isEmpty():
+        raise ValueError("no eligible row has the benchmark")
+    sizes = rows.agg(F.count(F.lit(1)).alias("__n"), F.count(selected).alias("__s"))
+    bench = wide.filter(F.col("candidate") == benchmark).select(F.col("overall_spearman").alias("__b"))
+    own = F.col("candidate") == selected
+    out = wide.join(F.broadcast(sizes)).join(F.broadcast(bench)).select(  # one row each
+        "candidate", *[f"{p}_spearman" for p in periods], F.when(own, F.col("__s")).otherwise(F.col("__n")).alias("eligible_rows"),
+        (F.when(own, F.col("__s")).otherwise(F.col("__n")) / F.col("__n")).alias("coverage_vs_benchmark"), (F.col("overall_spearman") - F.col("__b")).alias("overall_improvement"),
+        (~own).alias("is_benchmark"),
+    )
+    gate = lambda c: F.when(own, F.coalesce(c, F.lit(False)))
+    stable = lambda names, low: F.least(*[F.coalesce(f"{n}_spearman", F.lit(-2.0)) for n in names]) >= low
+    return out.withColumns(
+        {
+            "overall_gate": gate(F.col("overall_spearman") >= min_overall), "improvement_gate": gate(F.col("overall_improvement") >= min_improvement),
+            "period_gate": gate(stable(["calibration", "held_out"], min_period)), "block_gate": gate(stable([f"block{k}" for k in range(1, len(blocks) + 1)], min_block)),
+            "coverage_gate": gate(F.col("coverage_vs_benchmark") >= min_coverage),
+        }
+    )
+
+
 def subgroup_metrics(predictions: DataFrame, probability: str, event: str, firm: str = "gvkey") -> DataFrame:
     """Discrimination and Brier score by decade and by broad industry."""
     dims = F.array(
@@ -211,8 +257,8 @@ def bootstrap_power(rows: DataFrame, multipliers: Sequence[float], replicates: i
     """Cluster bootstrap of detection rates and rank correlations over effect sizes.
 
     A draw is a seeded hash, so a lost task redraws the same clusters.  The slopes need
-    only nine sums per cluster; the rank correlations use the drawn multiplicities as
-    row weights.  Every draw of a cluster counts as a cluster of its own.
+    only nine sums per cluster; for the rank correlations each variable is sorted once, with the multiplicities
+    of all replicates as a vector per row (``operators.power``).  Every draw of a cluster counts as a cluster of its own.
     """
     spark = rows.sparkSession
     o, i = F.col("o"), F.col("i")
@@ -221,31 +267,9 @@ def bootstrap_power(rows: DataFrame, multipliers: Sequence[float], replicates: i
         F.count(F.lit(1)).alias("n"), F.sum("o").alias("so"), F.sum("i").alias("si"), F.sum("e").alias("se"), F.sum(o * o).alias("soo"),
         F.sum(i * i).alias("sii"), F.sum(o * F.col("e")).alias("soe"), F.sum(i * F.col("e")).alias("sie"), F.sum(o * i).alias("soi"),
     )
-    numbered, G = _numbered_clusters(sums, "cluster")
-    draws = spark.range(replicates * G).select(
-        F.floor(F.col("id") / G).cast("int").alias("replicate"), F.col("id").alias("draw"), F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(G)).alias("idx")
-    )
-    taken = draws.join(numbered, "idx")
-    c = F.col
-
-    def line(kind: str, m: float, sx: Column, sy: Column, sxx: Column, sxy: Column) -> Column:
-        named = {"kind": F.lit(kind), "multiplier": F.lit(m), "sx": sx, "sy": sy, "sxx": sxx, "sxy": sxy}
-        return F.struct(*[e.alias(n) for n, e in named.items()])
-
-    lines = [line("null", 0.0, c("so"), c("se"), c("soo"), c("soe"))]
-    for m in map(float, multipliers):
-        moved = c("se") + fraction * m * c("si")
-        lines.append(line("oracle", m, m * c("si"), moved, m * m * c("sii"), m * c("sie") + fraction * m * m * c("sii")))
-        lines.append(line("observable", m, c("so"), moved, c("soo"), c("soe") + fraction * m * c("soi")))
-    long = taken.select("replicate", "draw", "n", F.inline(F.array(*lines)))
-    fits = slope_from_cluster_sums(long, ["replicate", "kind", "multiplier"])
-    found = fits.withColumn("detected", ((c("slope") > 0) & (student_p("t", (c("clusters") - 1).cast("double")) < 0.05)).cast("double"))
-    rates = found.groupBy("kind", "multiplier").agg(F.avg("detected").alias("rate"), F.median("slope").alias("median_slope"))
-    weights = draws.groupBy("replicate", "idx").agg(F.count(F.lit(1)).alias("w")).join(numbered.select("idx", "cluster"), "idx")
-    y = [F.struct(F.lit(k).alias("kind"), F.lit(float(m)).alias("multiplier"), (float(m) * i if k == "oracle" else o).alias("x"), (F.col("e") + fraction * float(m) * i).alias("y")) for m in multipliers for k in ("oracle", "observable")]
-    weighted = base.join(weights, "cluster").select("replicate", "w", F.inline(F.array(*y)))
-    ic = spearman(weighted, ["replicate", "kind", "multiplier"], "x", "y", "w").groupBy("kind", "multiplier").agg(F.median("spearman").alias("median_rank_ic"))
-    return rates.join(ic, ["kind", "multiplier"], "left").withColumn("replicates", F.lit(replicates))
+    numbered, count = _numbered_clusters(sums, "cluster")
+    found = power.bootstrap(base, numbered, count, multipliers, replicates, seed, fraction)
+    return spark.createDataFrame(found, "kind string, multiplier double, rate double, median_slope double, median_rank_ic double, replicates int")  # a row a line
 
 
 def power_gates(power: DataFrame) -> DataFrame:
@@ -263,14 +287,28 @@ def power_gates(power: DataFrame) -> DataFrame:
     )
 
 
+def expected_fraction(horizon: int = 6, decay: int = 12) -> float:
+    """Share of an injection, which fades by a quarter power of e a month, that falls into the horizon."""
+    faded = [math.exp(-k / 4.0) for k in range(decay)]
+    return sum(faded[:horizon]) / sum(faded)
+
+
 def calibrate_power(rows: DataFrame, multipliers: Sequence[float], calibration_replicates: int, evaluation_replicates: int, fraction: float, seeds=(12000, 22000)) -> DataFrame:
-    """Smallest multiplier that passes every gate, then the same gates on fresh draws."""
-    first = power_gates(bootstrap_power(rows, multipliers, calibration_replicates, seeds[0], fraction)).withColumn("stage", F.lit("calibration"))
+    """Smallest multiplier that passes every gate, then the same gates for it on fresh draws.
+
+    A row per calibrated multiplier, ``selected`` on the chosen one, and, if there is one, a row of stage ``evaluation``, whose
+    ``passes`` is the verdict. The multipliers must be positive, the draws at least two each.
+    """
+    if not multipliers or min(multipliers) <= 0 or min(calibration_replicates, evaluation_replicates) < 2:
+        raise ValueError("multipliers must be positive, and draws at least two")
+    base = cut(rows)
+    first = cut(power_gates(bootstrap_power(base, multipliers, calibration_replicates, seeds[0], fraction)).withColumn("stage", F.lit("calibration")))
     chosen = first.filter("passes").agg(F.min("multiplier")).first()[0]
+    first = first.withColumn("selected", F.coalesce(F.col("multiplier") == F.lit(chosen), F.lit(False)))
     if chosen is None:
         return first
-    second = power_gates(bootstrap_power(rows, [chosen], evaluation_replicates, seeds[1], fraction)).withColumn("stage", F.lit("evaluation"))
-    return first.unionByName(second)
+    second = power_gates(bootstrap_power(base, [chosen], evaluation_replicates, seeds[1], fraction)).withColumn("stage", F.lit("evaluation"))
+    return first.unionByName(second.withColumn("selected", F.lit(True)))
 
 
 def realized_check(rows: DataFrame, candidate: str, truth: str, oracle: str, outcome: str, cluster: str = "gvkey") -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -154,3 +155,33 @@ def path_gate(events: DataFrame, paths: DataFrame, targets: DataFrame, p: Params
     for part in parts[1:]:
         out = out.unionByName(part)
     return out
+
+
+def dynamics_gate(frame: DataFrame, entity: Sequence[str] = ("gvkey", "horizon_years"), frontier: float = DEFAULT.frontier, clip: float = DEFAULT.probability_clip, tolerance: float = 1e-9) -> DataFrame:
+    """(check, rows, violations) of a dynamics table: its levels, log odds, margins, hazards, velocities and surprises from its own levels again.
+
+    The previous event of each one is found by counting, not by a lag: events are numbered by date in their entity and joined to the number before.
+    """
+    entity = list(entity)
+    odds = lambda p: F.log(p / (1 - p))
+    level = F.greatest(F.least(F.col("viability_level"), F.lit(1 - clip)), F.lit(clip))
+    limit = min(max(frontier, clip), 1 - clip)
+    number = F.row_number().over(W.partitionBy(*entity).orderBy("feature_date", "datadate"))
+    rows = frame.withColumn("__i", number)
+    before = rows.select(*entity, (F.col("__i") + 1).alias("__i"), F.col("feature_date").alias("__d"), F.col("fold").alias("__f"), F.col("viability_level").alias("__p"))
+    both = rows.join(before, [*entity, "__i"], "left")
+    elapsed = F.datediff("feature_date", "__d") / 365.25
+    same = F.coalesce((F.col("__f") == F.col("fold")) & (elapsed > 0), F.lit(False))
+    earlier = F.greatest(F.least(F.col("__p"), F.lit(1 - clip)), F.lit(clip))
+    speed = F.when(same, (odds(level) - odds(earlier)) / elapsed)
+    far = lambda saved, again: F.coalesce(F.abs(F.col(saved) - again) > tolerance * F.greatest(F.lit(1.0), F.abs(again)), F.col(saved).isNull() != again.isNull())
+    checks = {
+        "level_outside_unit_interval": (F.lit(True), ~F.coalesce(F.col("viability_level").between(0, 1), F.lit(False))),
+        "log_odds": (F.lit(True), far("viability_log_odds", odds(level))),
+        "frontier_margin": (F.lit(True), far("frontier_margin", odds(level) - float(np.log(limit / (1 - limit))))),
+        "constant_hazard": (F.lit(True), far("constant_hazard", -F.log(F.greatest(F.least(F.col("viability_level"), F.lit(1.0)), F.lit(clip))) / F.col("horizon_years"))),
+        "velocity_inside_a_vintage": (same, same & far("velocity_log_odds", speed)),
+        "velocity_across_vintages": (~same, ~same & F.col("velocity_log_odds").isNotNull()),
+    }
+    wide = both.agg(*[e for k, (all_, bad) in enumerate(checks.values()) for e in (F.count(F.when(all_, 1)).alias(f"n{k}"), F.count(F.when(bad, 1)).alias(f"v{k}"))])
+    return wide.select(F.inline(F.array(*[F.struct(F.lit(n).alias("check"), F.col(f"n{k}").alias("rows"), F.col(f"v{k}").alias("violations")) for k, n in enumerate(checks)])))

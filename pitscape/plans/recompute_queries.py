@@ -2,15 +2,26 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
+from pitscape.operators import audit as U
+from pitscape.operators import dynamics as Y
+from pitscape.operators import lineage as G
 from pitscape.operators import recompute as A
 from pitscape.operators import returns as N
 from pitscape.params import DEFAULT
-from pitscape.plans.registry import query
+from pitscape.plans import oracle_parts as Q
+from pitscape.plans.label_queries import FEATURES
+from pitscape.plans.model_queries import CTES as MODELS
+from pitscape.plans.model_queries import LOCAL, surface_frame
+from pitscape.plans.registry import query, r
 from pitscape.plans.return_queries import CARRIED, CTES as RETURNS
 from pitscape.plans.return_queries import KEYS, SIGNALS, history, monthly_frame
-from pitscape.session import cut
+from pitscape.plans.score_queries import report_components
+from pitscape.session import checkpoint_folder, cut
 from pitscape.sources import derived as D
 
 CTES = dict(RETURNS)
@@ -98,3 +109,102 @@ def portfolio_gate(spark, d):
     )
     ladder = months.select(*N.STRATEGY).distinct().agg((F.lit(_LADDER) - F.count(F.lit(1))).alias("missing_strategies"))
     return ladder.join(rows)
+
+
+@query(
+    "dynamics_gate",
+    """select 'level_outside_unit_interval' as "check", count(*) as "rows", count(*) filter (predicted_survival is null or predicted_survival not between 0 and 1) violations from m
+ union all select 'log_odds', count(*), count(*) filter (abs(lo - o) > 1e-9) from m
+ union all select 'frontier_margin', count(*), count(*) filter (abs(mg - (o - ln(0.5::double/0.5::double))) > 1e-9) from m
+ union all select 'constant_hazard', count(*), count(*) filter (abs(hz + ln(greatest(least(predicted_survival,1),1e-6::double))/horizon_years) > 1e-9) from m
+ union all select 'velocity_inside_a_vintage', count(*) filter (s), count(*) filter (s and abs(vl - (o - plo)/el) > 1e-9) from m
+ union all select 'velocity_across_vintages', count(*) filter (not s), count(*) filter (not s and vl is not null) from m""",
+    {**MODELS, "m": "select *, ln(pc/(1-pc)) o, coalesce(pf = fold and el > 0, false) s from mot"},
+)
+def dynamics_gate(spark, d):
+    """Levels, log odds, margins, hazards and velocities of the dynamics table, computed again from its levels."""
+    return A.dynamics_gate(Y.motion(surface_frame(spark, d)), frontier=LOCAL.frontier)
+
+
+_PERIODS = {"overall": (1996, 2000), "calibration": (1996, 1998), "held_out": (1999, 2000), "block1": (1999, 1999), "block2": (2000, 2000)}
+_CAND = ("migration_surprise", "viability_velocity")
+CTES["elg"] = """select s.*, year(s.feature_date) fyear, s.historical_success_density truth from sev s semi join (select event_id from targets where horizon_months = 6 and target_valid) t using (event_id)
+ where viability_velocity is not null and year(s.feature_date) between 1996 and 2000"""
+CTES["elc"] = " union all ".join(
+    f"select '{c}' candidate, '{n}' period, corr(a, b) s from (select {Q.avg_rank(c)} a, {Q.avg_rank('truth')} b from elg where {c} is not null and fyear between {lo} and {hi})" for c in _CAND for n, (lo, hi) in _PERIODS.items()
+)
+CTES["elw"] = "select candidate, " + ", ".join(f"max(s) filter (period = '{n}') {n}_spearman" for n in _PERIODS) + " from elc group by 1"
+CTES["elx"] = """select w.*, case when candidate = 'migration_surprise' then (select count(migration_surprise) from elg) else (select count(*) from elg) end eligible_rows,
+ overall_spearman - (select overall_spearman from elw where candidate = 'viability_velocity') gain, candidate = 'migration_surprise' own from elw w"""
+
+
+def _eligibility(events, targets):
+    candidates = events.select("event_id", F.year("feature_date").alias("fyear"), *_CAND)
+    truth = events.select("event_id", F.col("historical_success_density").alias("truth"))
+    return U.proxy_eligibility(
+        candidates, targets, truth, ["event_id"], *_CAND, 6, calibration=_PERIODS["calibration"], holdout=_PERIODS["held_out"], blocks=(_PERIODS["block1"], _PERIODS["block2"]),
+    )
+
+
+@query(
+    "proxy_eligibility",
+    "select candidate, " + ", ".join(f"round({n}_spearman, 8) {n}_spearman" for n in _PERIODS)
+    + """, eligible_rows, round(eligible_rows / (select count(*) from elg), 8) coverage_vs_benchmark, round(gain, 8) overall_improvement, not own is_benchmark,
+ case when own then overall_spearman >= 0.35 end overall_gate, case when own then gain >= 0.10 end improvement_gate, case when own then least(calibration_spearman, held_out_spearman) >= 0.30 end period_gate,
+ case when own then least(block1_spearman, block2_spearman) >= 0.20 end block_gate, case when own then eligible_rows / (select count(*) from elg) >= 0.95 end coverage_gate from elx""",
+    CTES,
+)
+def proxy_eligibility(spark, d):
+    """A locked signal against its benchmark where targets are valid; the targets' values are never read."""
+    months = cut(history(spark, d))
+    events = cut(D.signal_events(spark, d, months))
+    targets = N.forward_targets(N.forward_paths(events, months, D.factors(spark, d)), [])
+    out = _eligibility(events, targets)
+    return out.withColumns({c: r(c, 8) for c in out.columns if c.endswith(("_spearman", "_improvement", "_benchmark")) and c != "is_benchmark"})
+
+
+OUTCOMES = ["surface.exit_date", "surface.exit_category", "surface.next_sale", "targets.forward_total_return", "targets.forward_excess_return", "targets.forward_risk_free_return", "targets.target_status"]
+
+
+@query("leakage_audit")
+def leakage_audit(spark, d):
+    """Outcome columns stand in the tables that the operators are given; their analysed plans show that none is reached. Tests plant leaks."""
+    folder = f"{checkpoint_folder(spark)}/audit-{uuid.uuid4().hex}"
+
+    def kept(name, df):
+        df.write.parquet(f"{folder}/{name}.parquet")
+        return lambda: spark.read.schema(df.schema).parquet(f"{folder}/{name}.parquet")
+
+    base = D.reports(spark, d)
+    following = F.lead("sale").over(W.partitionBy("gvkey").orderBy("fyear"))
+    outcomes = base.select("gvkey", "fyear", following.alias("next_sale")).join(D.firm_exits(spark, d).select("gvkey", "exit_date", "exit_category"), "gvkey")
+    surface = kept("surface", D.risk_surface(spark, d, base).join(outcomes, ["gvkey", "fyear"]))
+    controls = kept("controls", report_components(spark, d).select("gvkey", "fyear", *FEATURES[:4]))
+    months = cut(history(spark, d))
+    events = kept("events", D.signal_events(spark, d, months))
+    targets = kept("targets", N.forward_targets(N.forward_paths(events(), months, D.factors(spark, d)), []))
+    position = lambda: Y.frontier_position(surface(), LOCAL)
+    moved = lambda: Y.motion(position()).withColumn("feature_year", F.year("feature_date"))
+    core = ["gvkey", "datadate", "horizon_years", "viability_log_odds", "constant_hazard", "frontier_margin", "viability_percentile"]
+    speed = ["gvkey", "datadate", "horizon_years", "velocity_log_odds", "acceleration_log_odds", "frontier_crossing"]
+    surprise = lambda: Y.unexpected_motion(moved().join(controls(), ["gvkey", "fyear"], "left").drop("exit_date", "exit_category", "next_sale"), "velocity_log_odds", FEATURES[:4], "sic2", "feature_year", LOCAL)
+    operators = {
+        "frontier_position": lambda: position().select(*core), "motion": lambda: moved().select(*speed),
+        "unexpected_motion": lambda: surprise().select("gvkey", "datadate", "horizon_years", "expected_velocity", "migration_surprise"), "proxy_eligibility": lambda: _eligibility(events(), targets()),
+    }
+    return G.leakage_audit(spark, operators, OUTCOMES)
+
+
+@query("power_calibration")
+def power_calibration(spark, d):
+    """An injection of known size, half of it noise, planted along a signal into six-month returns: calibrated on 100 draws, held out on 50 fresh ones.
+
+    The draws are hashes, so there is no SQL twin; the tests compare every replicate with rows that are really copied.
+    """
+    months = cut(history(spark, d))
+    events = D.signal_events(spark, d, months)
+    targets = N.forward_targets(N.forward_paths(events, months, D.factors(spark, d)), ["gvkey", "migration_surprise"])
+    noise = (F.crc32(F.col("event_id").cast("binary")) % 1000 / 1000.0 - 0.5) / 5
+    rows = targets.filter("target_valid and horizon_months = 6").select("gvkey", F.col("migration_surprise").alias("observable"), ((F.col("migration_surprise") + noise) / 20).alias("injected"), "forward_excess_return")
+    share = U.expected_fraction()
+    return U.calibrate_power(rows.withColumn("outcome", F.col("forward_excess_return") + share * F.col("injected")), [1.0, 2.0, 4.0, 6.0, 8.0, 10.0], 100, 50, share)

@@ -9,6 +9,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from pitscape.operators import audit as U
+from pitscape.operators import dynamics as Y
+from pitscape.operators import lineage as G
 from pitscape.operators import recompute as A
 from pitscape.operators import returns as N
 
@@ -105,3 +108,52 @@ def test_path_gate_finds_what_is_planted(spark):
     assert read(events.union(events.limit(1)), wrong, invalid.where("not (horizon_months = 3 and event_id = 'late|0')")) == {
         "repeated_event": 1, "incomplete_path": 1, "cash_differs_from_rate": 1, "incomplete_ladder": 1, "invalid_with_return": n - 1,
     }
+
+
+def test_dynamics_gate_finds_what_is_planted(spark):
+    rnd = random.Random(3)
+    rows = [(str(g), dt.date(2000 + y, 12, 31), 2000 + y, 5, dt.date(2001 + y, 6, 30), y // 3, rnd.random()) for g in range(12) for y in range(8)]
+    surface = spark.createDataFrame(rows, "gvkey string, datadate date, fyear int, horizon_years int, feature_date date, fold int, predicted_survival double")
+    frame = Y.motion(Y.frontier_position(surface)).cache()
+    read = lambda df: {r.check: (r.rows, r.violations) for r in A.dynamics_gate(df).collect()}
+    clean = read(frame)
+    assert all(v == 0 for _, v in clean.values()) and clean["velocity_inside_a_vintage"][0] == 12 * 5 and clean["velocity_across_vintages"][0] == 12 * 3
+    first = (F.col("gvkey") == "3") & (F.col("fyear") == 2001)
+    for column, check in (("viability_log_odds", "log_odds"), ("frontier_margin", "frontier_margin"), ("constant_hazard", "constant_hazard"), ("velocity_log_odds", "velocity_inside_a_vintage")):
+        bad = read(frame.withColumn(column, F.when(first, F.col(column) + 1e-3).otherwise(F.col(column))))
+        assert {k for k, (_, v) in bad.items() if v} == {check} and bad[check][1] == 1
+    across = read(frame.withColumn("velocity_log_odds", F.when(F.col("fyear") == 2003, F.lit(0.1)).otherwise(F.col("velocity_log_odds"))))
+    assert across["velocity_across_vintages"][1] == 12
+
+
+def test_eligibility_gates_joins_and_blindness(spark, tmp_path):
+    rnd = random.Random(6)
+    rows = []
+    for i in range(800):
+        t = rnd.gauss(0, 1)
+        rows.append((f"e{i}", 2002 + i % 17, t + rnd.gauss(0, 1), None if i % 50 == 0 else t + rnd.gauss(0, 4), t, 6, i % 10 != 0, rnd.gauss(0, 1)))
+    df = spark.createDataFrame(rows, "event_id string, fyear int, good double, bench double, truth double, horizon_months int, target_valid boolean, forward_total_return double")
+    candidates, truth, targets = df.select("event_id", "fyear", "good", "bench"), df.select("event_id", "truth"), df.select("event_id", "horizon_months", "target_valid", "forward_total_return")
+    out = {r.candidate: r for r in U.proxy_eligibility(candidates, targets, truth, ["event_id"], "good", "bench", 6).collect()}
+    good, bench = out["good"], out["bench"]
+    assert all(good[g] is True for g in ("overall_gate", "improvement_gate", "period_gate", "block_gate", "coverage_gate")) and bench.overall_gate is None
+    used = [r for r in rows if r[6] and r[3] is not None]
+    assert good.eligible_rows == len(used) == bench.eligible_rows
+    import pandas as pd
+
+    p = pd.DataFrame(used).rename(columns={1: "y", 2: "g", 4: "t"})
+    assert math.isclose(good.held_out_spearman, p[p["y"] >= 2013][["g", "t"]].corr("spearman").iloc[0, 1], abs_tol=1e-12)
+    with pytest.raises(Exception, match="an eligible key has no truth"):
+        U.proxy_eligibility(candidates, targets, truth.where("event_id <> 'e1'"), ["event_id"], "good", "bench", 6).collect()
+    with pytest.raises(Exception, match="repeats a key"):
+        U.proxy_eligibility(candidates.union(candidates.limit(1)), targets, truth, ["event_id"], "good", "bench", 6).collect()
+    with pytest.raises(Exception, match="no eligible row"):
+        U.proxy_eligibility(candidates, targets.where("false"), truth, ["event_id"], "good", "bench", 6).collect()
+    targets.write.parquet(f"{tmp_path}/targets.parquet")
+    saved = spark.read.parquet(f"{tmp_path}/targets.parquet")
+    build = lambda t: lambda: U.proxy_eligibility(candidates, t, truth, ["event_id"], "good", "bench", 6)
+    for table, leaks in ((saved, False), (saved.withColumn("target_valid", F.col("forward_total_return") > 0), True)):
+        lineage = G.Lineage()
+        with lineage.recording():
+            columns, used_rows = lineage.of(build(table)())
+        assert ("targets.forward_total_return" in frozenset().union(used_rows, *columns.values())) == leaks
