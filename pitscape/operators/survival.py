@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Mapping, Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -11,8 +12,9 @@ from pyspark.sql.window import Window as W
 
 from pitscape.functions import scalars as S
 from pitscape.functions.ordering import cumulate, quantiles
-from pitscape.operators.describe import spearman
+from pitscape.operators.describe import fit_logit_line, prediction_metrics, spearman
 from pitscape.params import DEFAULT, Params
+from pitscape.session import cut
 from pitscape.sources.derived import EXIT_CATEGORIES
 
 
@@ -110,12 +112,18 @@ def interval_concordance(intervals: DataFrame, risk: str, event: str, firm: str
     return counted.join(own).select(F.try_divide(good, pairs).alias("concordance"), pairs.alias("pairs"))
 
 
-def fit_hazard(intervals: DataFrame, features: Sequence[str], event: str, cluster: str = "gvkey", iterations: int = 30, ridge: float = 0.0) -> dict:
+#: A standardised coefficient beyond this, or a curvature this small against its largest, means a likelihood without a maximum.
+MONOTONE, FLAT = 15.0, 1e-9
+
+
+def fit_hazard(intervals: DataFrame, features: Sequence[str], event: str, cluster: str = "gvkey", iterations: int = 30, ridge: float = 0.0, min_events: int = 1) -> dict:
     """Cause-specific proportional hazards with delayed entry and Breslow ties.
 
     Each row adds its weight and moments on its entry day and removes them after its
     stop day; the risk-set sums at every event day are running sums over the calendar.
-    One Newton step is one aggregate over the rows and a p x p solve on the driver.
+    One aggregate over the rows gives the log partial likelihood, its gradient and its curvature; a Newton step that
+    lowers the likelihood is halved.  ``status``: ``fitted``; ``too_few_events`` (nothing is fitted); ``monotone_likelihood``, when some
+    direction only ever raises it, as with separable events; ``not_converged``.  Without ``fitted`` coefficients and errors are NaN.
     """
     features = list(features)
     k = len(features)
@@ -129,22 +137,45 @@ def fit_hazard(intervals: DataFrame, features: Sequence[str], event: str, cluste
     mean = [stats[f"m{i}"] for i in range(k)]
     scale = [stats[f"s{i}"] if stats[f"s{i}"] and stats[f"s{i}"] > 1e-12 else 1.0 for i in range(k)]
     rows = filled.withColumns({f"x{i}": (F.col(f"x{i}") - mean[i]) / scale[i] for i in range(k)}).persist()
-    beta = np.zeros(k)
+    counts = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("event").alias("e"), F.countDistinct("cluster").alias("g")).first()
+    out = {
+        "features": features, "beta": np.full(k, np.nan), "covariance": np.full((k, k), np.nan), "mean": mean, "scale": scale, "medians": medians,
+        "rows": counts["n"], "events": counts["e"] or 0, "issuers": counts["g"], "covariance_kind": None, "log_likelihood": float("nan"),
+    }
+    if out["events"] < max(1, min_events):
+        rows.unpersist()
+        return {**out, "status": "too_few_events"}
+    beta, trial, best, status = np.zeros(k), np.zeros(k), -np.inf, "not_converged"
     for _ in range(iterations):
-        grad, hess = _newton_terms(rows, beta, k)
-        step = np.linalg.solve(hess + ridge * np.eye(k), grad - ridge * beta)
-        beta = beta + step
-        if np.abs(step).max() < 1e-9:
+        value, grad, hess = _newton_terms(rows, trial, k)
+        value -= 0.5 * ridge * float(trial @ trial)
+        if not value >= best - 1e-12 * abs(best) and np.isfinite(best):
+            trial = (beta + trial) / 2
+            if np.abs(trial - beta).max() < 1e-12:
+                break
+            continue
+        gained, beta, best = value - best, trial, value
+        curvature = hess + ridge * np.eye(k)
+        spread = np.linalg.eigvalsh(curvature)
+        if np.abs(beta).max() > MONOTONE or spread[0] <= FLAT * max(spread[-1], 1e-300):
+            status = "monotone_likelihood"
+            break
+        step = np.linalg.solve(curvature, grad - ridge * beta)
+        if np.abs(step).max() < 1e-9 or 0 <= gained < 1e-13 * (1 + abs(best)):
+            status = "fitted"
             break
-    _, hess = _newton_terms(rows, beta, k)
+        trial = beta + step
+    if status != "fitted":
+        rows.unpersist()
+        return {**out, "status": status}
     bread = np.linalg.inv(hess)
     meat, clusters, n = _cluster_meat(rows, beta, k)
     correction = clusters / (clusters - 1.0) * (n - 1.0) / max(n - k, 1.0) if clusters > 1 else 1.0
-    covariance = bread @ meat @ bread * correction
+    covariance, kind = bread @ meat @ bread * correction, "issuer_clustered_sandwich"
     if not np.isfinite(covariance).all() or (np.diag(covariance) < 0).any():
-        covariance = bread
+        covariance, kind = bread, "unclustered_fallback"
     rows.unpersist()
-    return {"features": features, "beta": beta, "covariance": covariance, "mean": mean, "scale": scale, "medians": medians, "rows": n}
+    return {**out, "beta": beta, "covariance": covariance, "covariance_kind": kind, "log_likelihood": best, "status": status}
 
 
 def _linear(beta: np.ndarray) -> Column:
@@ -171,7 +202,8 @@ def _risk_days(rows: DataFrame, beta: np.ndarray, k: int, second: bool) -> DataF
     return net.select("day", "d", *[f"e{i}" for i in range(k)], *[F.sum(n).over(before).alias(n) for n in terms])
 
 
-def _newton_terms(rows: DataFrame, beta: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+def _newton_terms(rows: DataFrame, beta: np.ndarray, k: int) -> tuple[float, np.ndarray, np.ndarray]:
+    """Log partial likelihood, gradient and curvature."""
     days = _risk_days(rows, beta, k, True).filter(F.col("d") > 0)
     c = F.col
     out = [F.sum(c(f"e{i}") - c("d") * c(f"S1_{i}") / c("S0")).alias(f"g{i}") for i in range(k)]
@@ -179,12 +211,14 @@ def _newton_terms(rows: DataFrame, beta: np.ndarray, k: int) -> tuple[np.ndarray
         F.sum(c("d") * (c(f"S2_{i}_{j}") / c("S0") - c(f"S1_{i}") * c(f"S1_{j}") / (c("S0") * c("S0")))).alias(f"h{i}_{j}")
         for i in range(k) for j in range(i, k)
     ]
+    out += [F.sum(c("d") * F.log("S0")).alias("log_risk"), *[F.sum(f"e{i}").alias(f"x{i}") for i in range(k)]]
     row = days.agg(*out).first()
     hess = np.zeros((k, k))
     for i in range(k):
         for j in range(i, k):
             hess[i, j] = hess[j, i] = row[f"h{i}_{j}"]
-    return np.array([row[f"g{i}"] for i in range(k)]), hess
+    value = sum(float(beta[i]) * row[f"x{i}"] for i in range(k)) - row["log_risk"]
+    return value, np.array([row[f"g{i}"] for i in range(k)]), hess
 
 
 def _score_rows(rows: DataFrame, beta: np.ndarray, k: int) -> DataFrame:
@@ -222,12 +256,69 @@ def _cluster_meat(rows: DataFrame, beta: np.ndarray, k: int) -> tuple[np.ndarray
 
 
 def hazard_table(spark, fit: dict, cause: str) -> DataFrame:
-    """Coefficient, hazard ratio and 95 % interval per standardised feature."""
+    """Coefficient, z, p, hazard ratio and 95 % interval per standardised feature, with what was fitted on; null without a fit."""
     rows = []
+    known = lambda v: None if not np.isfinite(v) else float(v)
     for i, name in enumerate(fit["features"]):
-        b, se = float(fit["beta"][i]), float(np.sqrt(fit["covariance"][i, i]))
-        rows.append((cause, name, b, se, float(np.exp(b)), float(np.exp(b - 1.959963984540054 * se)), float(np.exp(b + 1.959963984540054 * se))))
-    return spark.createDataFrame(rows, "cause string, feature string, coefficient double, robust_se double, hazard_ratio double, ci_low double, ci_high double")
+        b, se = float(fit["beta"][i]), float(np.sqrt(max(fit["covariance"][i, i], 0.0))) if np.isfinite(fit["covariance"][i, i]) else float("nan")
+        z = b / se if se > 0 else float("nan")
+        low, high = b - 1.959963984540054 * se, b + 1.959963984540054 * se
+        rows.append((cause, name, known(b), known(se), known(z), known(math.erfc(abs(z) / math.sqrt(2.0))), *(known(np.exp(v)) for v in (b, low, high)),
+                     fit["covariance_kind"], fit["rows"], fit["issuers"], fit["events"], fit["status"]))
+    return spark.createDataFrame(
+        rows, "cause string, feature string, coefficient double, robust_se double, z double, p_value double, hazard_ratio double, ci_low double, ci_high double, "
+        "covariance_kind string, intervals long, issuers long, events long, status string",
+    )
+
+
+def hazard_folds(
+    intervals: DataFrame, features: Sequence[str], causes: Mapping[str, str], windows: Sequence[tuple[int, int]],
+    min_intervals: int = 5000, min_train_events: int = 20, min_test_events: int = 5,
+) -> tuple[DataFrame, DataFrame]:
+    """Hazards fitted before each window and judged on it: metrics per cause and fold, and the scored intervals.
+
+    Trained on intervals that stop before the window's first day, tested on those that start in its years. The risk score becomes the
+    probability of an event inside the interval by a logistic line learnt on the train rows; all lines, metrics and test recalibrations are
+    grouped jobs over all folds. ``causes`` names the event column of each. A fold below a minimum, or whose likelihood has no maximum, has a
+    row with its ``status`` and no metrics.
+    """
+    spark = intervals.sparkSession
+    keys, parts, table = ["cause", "fold"], [], []
+    for fold, (first, last) in enumerate(windows, 1):
+        train = intervals.filter(F.col("interval_stop_date") < F.make_date(F.lit(first), F.lit(1), F.lit(1)))
+        test = intervals.filter(F.year("feature_date").between(first, last))
+        size = lambda df: df.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("gvkey").alias("g"), F.max("interval_stop_date").alias("to"), *[F.sum(c).alias(k) for k, c in causes.items()]).first()
+        a, b = size(train), size(test)
+        for cause, event in causes.items():
+            counts = (cause, fold, first, last, a["n"], a["g"], a[cause] or 0, a["to"], b["n"], b["g"], b[cause] or 0)
+            few = [n for n, low in (("train intervals", a["n"] < min_intervals), ("test intervals", b["n"] == 0), ("train events", (a[cause] or 0) < min_train_events), ("test events", (b[cause] or 0) < min_test_events)) if low]
+            fit = None if few else fit_hazard(train, features, event)
+            status = "too few " + ", ".join(few) if few else fit["status"]
+            concordance, pairs = None, None
+            if status == "fitted":
+                for role, df in (("train", train), ("test", test)):
+                    parts.append(with_risk(df, fit).select(F.lit(cause).alias("cause"), F.lit(fold).alias("fold"), F.lit(role).alias("role"), "interval_id", "gvkey", "feature_date", "interval_stop_date", "entry_day", "stop_day", F.col(event).cast("int").alias("event"), F.col("risk").alias("risk_score")))
+                concordance, pairs = interval_concordance(parts[-1], "risk_score", "event").first()
+            table.append((*counts, concordance, pairs, status))
+    schema = (
+        "cause string, fold int, test_start_year int, test_end_year int, train_intervals long, train_issuers long, train_events long, train_max_stop_date date, "
+        "test_intervals long, test_issuers long, test_events long, concordance double, comparable_pairs long, status string"
+    )
+    report = spark.createDataFrame(table, schema)  # a row per cause and fold
+    if not parts:
+        return report, None
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part)
+    rows = cut(rows)
+    line = fit_logit_line(rows.filter("role = 'train'"), keys, "risk_score", "event")
+    z = F.col("intercept") + F.col("slope") * F.col("risk_score")
+    scored = rows.filter("role = 'test'").join(F.broadcast(line), keys).withColumn("predicted_interval_event_probability", 1 / (1 + F.exp(-z))).drop("intercept", "slope", "role")
+    scored = cut(scored)
+    metrics = prediction_metrics(scored, keys, "predicted_interval_event_probability", "event").select(*keys, "roc_auc", "average_precision", "brier_score")
+    again = fit_logit_line(scored.withColumn("__z", S.logit("predicted_interval_event_probability", 1e-6)), keys, "__z", "event")
+    again = again.select(*keys, F.col("intercept").alias("calibration_intercept"), F.col("slope").alias("calibration_slope"))
+    return report.join(metrics, keys, "left").join(again, keys, "left"), scored
 
 
 def with_risk(df: DataFrame, fit: dict, out: str = "risk") -> DataFrame:

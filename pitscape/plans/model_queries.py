@@ -161,6 +161,26 @@ def cause_specific_hazards(spark, d):
     return out
 
 
+CAUSES = {"performance_failure": "performance_failure_event", "merger": "merger_event"}
+
+
+def hazard_fold_frames(spark, d):
+    """Two windows of the seven years; both causes, minimums to match."""
+    return V.hazard_folds(interval_frame(spark, d), FEATURES, CAUSES, ((1999, 1999), (2000, 2001)), min_intervals=100, min_train_events=5, min_test_events=2)
+
+
+@query("hazard_fold_metrics")
+def hazard_fold_metrics(spark, d):
+    """Concordance, discrimination and calibration of both causes on each window; checked against numpy in the tests."""
+    return hazard_fold_frames(spark, d)[0]
+
+
+@query("hazard_fold_predictions")
+def hazard_fold_predictions(spark, d):
+    out = hazard_fold_frames(spark, d)[1]
+    return out.select("cause", "fold", "interval_id", "gvkey", "event", r("risk_score").alias("risk_score"), r("predicted_interval_event_probability").alias("probability"))
+
+
 @query("hazard_proportionality")
 def hazard_proportionality(spark, d):
     rows = interval_frame(spark, d)
