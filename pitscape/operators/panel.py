@@ -193,6 +193,42 @@ def map_links(months: DataFrame, links: DataFrame, p: Params = DEFAULT, check: b
     )
 
 
+def link_segments(links: DataFrame, p: Params = DEFAULT) -> DataFrame:
+    """(permno, seg_from, seg_to, gvkey): the allowed links of each security swept into disjoint spans with one firm each.
+
+    A span begins where some link begins or has just ended; the best link that covers its first day holds for all of it. ``seg_to`` is null
+    where a link is open and nothing follows. Two firms at the same best priority come as ``tied``, an error only for a month inside. Adjacent spans of one firm are kept
+    apart; days no link covers are in no span.
+    """
+    rank = F.when(F.col("linkprim") == "P", 0).otherwise(10) + F.when(F.col("linktype") == "LC", 0).when(F.col("linktype") == "LU", 1).otherwise(2)
+    allowed = links.filter(F.col("linktype").isin(*p.link_types) & F.col("linkprim").isin(*p.link_primary) & (F.col("linkdt") <= F.coalesce("linkenddt", F.col("linkdt")))).withColumn("link_rank", rank)
+    edges = allowed.select(F.col("lpermno").alias("permno"), F.explode(F.array("linkdt", F.date_add("linkenddt", 1))).alias("seg_from")).filter(F.col("seg_from").isNotNull()).distinct()
+    order = W.partitionBy("permno").orderBy("seg_from")  # the link dates of one security
+    spans = edges.withColumn("seg_to", F.date_sub(F.lead("seg_from").over(order), 1))
+    covered = interval_join(spans, allowed, "permno", "lpermno", "seg_from", "linkdt", "linkenddt")
+    per_rank = covered.groupBy("permno", "seg_from", "seg_to", "link_rank").agg(F.min("gvkey").alias("gvkey"), F.max("gvkey").alias("other"))
+    best = per_rank.groupBy("permno", "seg_from", "seg_to").agg(F.min(F.struct("link_rank", "gvkey", "other")).alias("b"))
+    return best.select("permno", "seg_from", "seg_to", F.col("b.gvkey").alias("gvkey"), (F.col("b.gvkey") != F.col("b.other")).alias("tied"))
+
+
+def dated_return_history(months: DataFrame, exits: DataFrame, links: DataFrame, p: Params = DEFAULT) -> DataFrame:
+    """One return per firm and month, stitched from whatever securities it had: the path of a firm goes on when its security changes.
+
+    Only share class and exchange are filtered, nothing that depends on later prices. Of several securities of a firm in a month the one of
+    the largest capitalisation counts, then the smaller number; ``candidates`` says how many there were.
+    """
+    kept = compound_exit_returns(months, exits).filter(F.col("shrcd").isin(*p.share_codes) & F.col("exchcd").isin(*p.exchanges))
+    inside = interval_join(kept, link_segments(links, p).withColumnRenamed("permno", "lpermno"), "permno", "lpermno", "date", "seg_from", "seg_to")
+    columns = ["permno", "total_return", "has_delist", "delist_return_missing", "market_cap_millions"]
+    first = F.min(F.struct(F.col("market_cap_millions").isNull(), -F.col("market_cap_millions"), *[F.col(c).alias(f"s_{c}") for c in columns]))
+    tied = F.min(F.when(F.col("tied"), F.col("permno"))).alias("tied")
+    chosen = inside.groupBy("gvkey", "date").agg(first.alias("c"), F.count(F.lit(1)).alias("candidates"), tied)
+    # raised behind the aggregate, so that no filter carries it into the join, where months outside a span would meet it
+    tie = F.raise_error(F.concat(F.lit("two firms share the best link of security "), F.col("tied").cast("string"))).cast("bigint")
+    permno = F.when(F.col("tied").isNotNull(), tie).otherwise(F.col("c.s_permno")).alias("permno")
+    return chosen.select("gvkey", "date", permno, *[F.col(f"c.s_{c}").alias(c) for c in columns[1:]], "candidates")
+
+
 def dated_link_join(observations: DataFrame, links: DataFrame, date: str) -> DataFrame:
     """Firms linked to a security on a date, whatever the link type; one row per firm."""
     joined = interval_join(observations, links, "permno", "lpermno", date, "linkdt", "linkenddt")

@@ -12,7 +12,8 @@ from pyspark.sql.window import Window as W
 
 from pitscape.functions import scalars as S
 from pitscape.functions.ordering import cumulate, quantiles
-from pitscape.operators.describe import fit_logit_line, prediction_metrics, spearman
+from pitscape.operators.describe import prediction_metrics, spearman
+from pitscape.operators.ladder import logit_lines
 from pitscape.params import DEFAULT, Params
 from pitscape.session import cut
 from pitscape.sources.derived import EXIT_CATEGORIES
@@ -311,12 +312,12 @@ def hazard_folds(
     for part in parts[1:]:
         rows = rows.unionByName(part)
     rows = cut(rows)
-    line = fit_logit_line(rows.filter("role = 'train'"), keys, "risk_score", "event")
+    line = logit_lines(rows.filter("role = 'train'"), keys, "risk_score", "event")
     z = F.col("intercept") + F.col("slope") * F.col("risk_score")
     scored = rows.filter("role = 'test'").join(F.broadcast(line), keys).withColumn("predicted_interval_event_probability", 1 / (1 + F.exp(-z))).drop("intercept", "slope", "role")
     scored = cut(scored)
     metrics = prediction_metrics(scored, keys, "predicted_interval_event_probability", "event").select(*keys, "roc_auc", "average_precision", "brier_score")
-    again = fit_logit_line(scored.withColumn("__z", S.logit("predicted_interval_event_probability", 1e-6)), keys, "__z", "event")
+    again = logit_lines(scored.withColumn("__z", S.logit("predicted_interval_event_probability", 1e-6)), keys, "__z", "event")
     again = again.select(*keys, F.col("intercept").alias("calibration_intercept"), F.col("slope").alias("calibration_slope"))
     return report.join(metrics, keys, "left").join(again, keys, "left"), scored
 

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window as W
 from pitscape.operators import audit as U
 from pitscape.operators import dynamics as Y
 from pitscape.operators import lineage as G
+from pitscape.operators import panel as P
 from pitscape.operators import recompute as A
 from pitscape.operators import returns as N
 from pitscape.params import DEFAULT
@@ -208,3 +209,53 @@ def power_calibration(spark, d):
     rows = targets.filter("target_valid and horizon_months = 6").select("gvkey", F.col("migration_surprise").alias("observable"), ((F.col("migration_surprise") + noise) / 20).alias("injected"), "forward_excess_return")
     share = U.expected_fraction()
     return U.calibrate_power(rows.withColumn("outcome", F.col("forward_excess_return") + share * F.col("injected")), [1.0, 2.0, 4.0, 6.0, 8.0, 10.0], 100, 50, share)
+
+
+CTES["dh"] = """select gvkey, date, permno, total_return, coalesce(has_delist, false) hd, coalesce(delist_return_missing, false) drm, market_cap_millions cap, count(*) over (partition by gvkey, date) candidates,
+ row_number() over (partition by gvkey, date order by market_cap_millions desc nulls last, permno) rn from (
+ select c.*, l.gvkey, row_number() over (partition by c.permno, c.date order by case when linkprim = 'P' then 0 else 10 end + case linktype when 'LC' then 0 when 'LU' then 1 else 2 end, linkdt) ln
+ from compounded c join links l on l.lpermno = c.permno and c.date between l.linkdt and coalesce(l.linkenddt, date '9999-12-31') where c.shrcd in (10, 11) and c.exchcd in (1, 2, 3)) where ln = 1"""
+
+
+def firm_history(spark, d):
+    return P.dated_return_history(D.security_months(spark, d), D.delistings(spark, d), D.links(spark, d))
+
+
+@query(
+    "dated_return_history",
+    "select gvkey, date, permno, round(total_return, 9) total_return, hd has_delist, drm delist_return_missing, candidates from dh where rn = 1",
+    CTES,
+)
+def dated_return_history(spark, d):
+    return firm_history(spark, d).select("gvkey", "date", "permno", r("total_return", 9).alias("total_return"), "has_delist", "delist_return_missing", "candidates")
+
+
+CTES["dhe"] = "select gvkey || '|' || strftime(date, '%Y-%m-%d') event_id, gvkey, date feature_date from dh where rn = 1 and month(date) % 3 = 0"
+CTES["dhp"] = f"""select e.event_id, e.gvkey, o.k holding_offset, h.permno, h.total_return ret, coalesce(h.hd, false) hd, coalesce(h.drm, false) drm, f.rf, last_day(e.feature_date + to_months(cast(o.k as int))) > (select max(date) from factors) bey
+ from dhe e cross join (select unnest(generate_series(1, 12)) k) o left join (select * from dh where rn = 1) h on h.gvkey = e.gvkey and h.date = last_day(e.feature_date + to_months(cast(o.k as int)))
+ left join factors f on f.date = last_day(e.feature_date + to_months(cast(o.k as int)))"""
+CTES["dhq"] = """select *, coalesce(bool_or(hd and not drm and ret is not null) over (partition by event_id order by holding_offset rows between unbounded preceding and 1 preceding), false) cash from dhp"""
+CTES["dhs"] = """select event_id, h.h horizon_months, bool_and(not bey and (cash or (ret is not null and not drm))) ok, count(distinct permno) securities, product(1 + case when cash then rf when not bey then ret end) - 1 g
+ from dhq join (values (1),(3),(6),(12)) h(h) on holding_offset <= h.h group by 1, 2"""
+
+
+@query(
+    "firm_targets",
+    "select horizon_months, count(*) events, count(*) filter (ok) valid, count(*) filter (ok and securities > 1) valid_across_securities, round(avg(case when ok then g end), 9) mean_return from dhs group by 1",
+    CTES,
+)
+def firm_targets(spark, d):
+    """Forward targets of firms rather than securities, from prefixes of the stitched histories; how many cross a change of security."""
+    months = cut(firm_history(spark, d))
+    key = F.concat_ws("|", "gvkey", F.date_format("date", "yyyy-MM-dd"))
+    events = months.filter(F.month("date") % 3 == 0).select(key.alias("event_id"), "gvkey", F.col("date").alias("feature_date"))
+    targets = A.targets_by_prefix(events, months, D.factors(spark, d))
+    held = events.select("event_id", "gvkey", A.month_number("feature_date").alias("m"), F.explode(F.sequence(F.lit(1), F.lit(12))).alias("k"))
+    used = held.join(months.select("gvkey", A.month_number("date").alias("t"), "permno"), (held["gvkey"] == months["gvkey"]) & (F.col("m") + F.col("k") == F.col("t")))
+    near = F.explode(F.filter(F.array(*[F.lit(h) for h in DEFAULT.return_horizons]), lambda h: F.col("k") <= h))
+    several = used.select("event_id", near.alias("horizon_months"), "permno").groupBy("event_id", "horizon_months").agg(F.countDistinct("permno").alias("securities"))
+    ok = F.col("target_valid")
+    return targets.join(several, ["event_id", "horizon_months"], "left").groupBy("horizon_months").agg(
+        F.count(F.lit(1)).alias("events"), F.count(F.when(ok, 1)).alias("valid"), F.count(F.when(ok & (F.col("securities") > 1), 1)).alias("valid_across_securities"),
+        r(F.avg(F.when(ok, F.col("forward_total_return"))), 9).alias("mean_return"),
+    )

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pitscape.operators import audit as U
 from pitscape.operators import dynamics as Y
 from pitscape.operators import lineage as G
+from pitscape.operators import panel as P
 from pitscape.operators import recompute as A
 from pitscape.operators import returns as N
 
@@ -157,3 +158,37 @@ def test_eligibility_gates_joins_and_blindness(spark, tmp_path):
         with lineage.recording():
             columns, used_rows = lineage.of(build(table)())
         assert ("targets.forward_total_return" in frozenset().union(used_rows, *columns.values())) == leaks
+
+
+def test_a_firm_that_changes_its_security_keeps_its_path(spark):
+    d = dt.date
+    links = spark.createDataFrame([
+        ("f", 1, d(2000, 1, 1), d(2000, 6, 30), "LC", "P"), ("f", 2, d(2000, 7, 1), None, "LC", "P"), ("g", 2, d(2000, 3, 1), None, "LU", "C"),
+        ("g", 1, d(2000, 7, 1), d(2001, 12, 31), "LS", "C"), ("x", 3, d(2000, 1, 1), None, "XX", "P"), ("h", 4, d(2000, 9, 1), d(2000, 3, 1), "LC", "P"),
+    ], "gvkey string, lpermno long, linkdt date, linkenddt date, linktype string, linkprim string")
+    got = sorted((r.permno, r.seg_from, r.seg_to, r.gvkey) for r in P.link_segments(links).collect())
+    assert got == [(1, d(2000, 1, 1), d(2000, 6, 30), "f"), (1, d(2000, 7, 1), d(2001, 12, 31), "g"), (2, d(2000, 3, 1), d(2000, 6, 30), "g"), (2, d(2000, 7, 1), None, "f")]
+    rows = [(s, month(k), 0.01 * (k + 1) * s, 5.0 * s, 11, 1) for s in (1, 2, 3) for k in range(18)] + [(2, month(18), 0.5, 1.0, 11, 9)]
+    months = spark.createDataFrame(rows, "permno long, date date, ret double, market_cap_millions double, shrcd int, exchcd int")
+    exits = spark.createDataFrame([], "permno long, dlstdt date, dlret double")
+    history = P.dated_return_history(months, exits, links).cache()
+    f = {r.date: r for r in history.where("gvkey = 'f'").collect()}
+    assert [f[month(k)].permno for k in range(18)] == [1] * 6 + [2] * 12 and month(18) not in f
+    g = {r.date: r.permno for r in history.where("gvkey = 'g'").collect()}
+    assert [g[month(k)] for k in range(2, 18)] == [2] * 4 + [1] * 12 and history.where("gvkey in ('x', 'h')").isEmpty()
+    events = spark.createDataFrame([("e", "f", month(2))], "event_id string, gvkey string, feature_date date")
+    factors = spark.createDataFrame([(month(k), 0.0) for k in range(18)], "date date, rf double")
+    target = A.targets_by_prefix(events, history, factors, [12]).first()
+    assert target.target_valid and math.isclose(target.forward_total_return, math.prod(1 + 0.01 * (k + 1) * (1 if k < 6 else 2) for k in range(3, 15)) - 1)
+    both = spark.createDataFrame([("a", 1, d(2000, 1, 1), None, "LC", "P"), ("b", 1, d(2000, 5, 1), d(2000, 5, 10), "LC", "P")], links.schema)
+    assert P.dated_return_history(months, exits, both).where("gvkey = 'a'").count() == 18  # the tie holds for no month end
+    with pytest.raises(Exception, match="two firms share the best link of security 1"):
+        P.dated_return_history(months, exits, both.withColumn("linkenddt", F.lit(None).cast("date"))).collect()
+
+
+def test_the_larger_security_counts(spark):
+    links = spark.createDataFrame([("f", s, dt.date(2000, 1, 1), None, "LC", "P") for s in (1, 2, 3)], "gvkey string, lpermno long, linkdt date, linkenddt date, linktype string, linkprim string")
+    rows = [(1, month(0), 0.1, 5.0, 11, 1), (2, month(0), 0.2, 9.0, 11, 1), (3, month(0), 0.3, None, 11, 1), (1, month(1), 0.1, 5.0, 11, 1), (2, month(1), 0.2, 5.0, 11, 1)]
+    months = spark.createDataFrame(rows, "permno long, date date, ret double, market_cap_millions double, shrcd int, exchcd int")
+    out = P.dated_return_history(months, spark.createDataFrame([], "permno long, dlstdt date, dlret double"), links)
+    assert sorted((r.date, r.permno, r.candidates) for r in out.collect()) == [(month(0), 2, 3), (month(1), 1, 2)]
