@@ -12,7 +12,7 @@ from pyspark.sql.window import Window as W
 
 from pitscape.functions import scalars as S
 from pitscape.functions.ordering import quantiles, with_row_number
-from pitscape.operators.describe import spearman
+from pitscape.operators.describe import holm, newey_west_mean, normal_two_sided_p, spearman
 from pitscape.params import DEFAULT, Params
 
 STRATEGY = ["horizon_months", "signal", "weighting", "industry_neutral"]
@@ -301,15 +301,18 @@ def hac_regression(monthly: DataFrame, keys: Sequence[str], date: str, y: str, r
 
 
 def winsorize_standardize(df: DataFrame, keys: Sequence[str], columns: Sequence[str], lower=DEFAULT.winsor_lower, upper=DEFAULT.winsor_upper) -> DataFrame:
-    """Per cross-section: clip to two quantiles, then centre and scale (population std)."""
+    """Per cross-section: clip to two quantiles, fill with the median, then centre and scale (population std).
+
+    Clipping keeps the median, so that the three order statistics are one pass; a column without any value stays missing.
+    """
     keys = list(keys)
     from pitscape.operators.robust import zscore_within
 
     long = df.select(*keys, *columns).unpivot(keys, list(columns), "component", "value")
-    bounds = quantiles(long, [*keys, "component"], "value", {"lo": lower, "hi": upper})
-    wide = bounds.groupBy(*keys).agg(*[F.max(F.when(F.col("component") == c, F.struct("lo", "hi"))).alias(f"__{c}") for c in columns])
+    bounds = quantiles(long, [*keys, "component"], "value", {"lo": lower, "hi": upper, "mid": 0.5})
+    wide = bounds.groupBy(*keys).agg(*[F.max(F.when(F.col("component") == c, F.struct("lo", "hi", "mid"))).alias(f"__{c}") for c in columns])
     clipped = df.join(wide, keys).withColumns(
-        {c: F.when(F.col(c).isNotNull(), F.greatest(F.least(F.col(c).cast("double"), F.col(f"__{c}.hi")), F.col(f"__{c}.lo"))) for c in columns}
+        {c: F.coalesce(F.when(F.col(c).isNotNull(), F.greatest(F.least(F.col(c).cast("double"), F.col(f"__{c}.hi")), F.col(f"__{c}.lo"))), F.col(f"__{c}.mid")) for c in columns}
     ).drop(*[f"__{c}" for c in columns])
     return zscore_within(clipped, keys, columns)
 
@@ -322,6 +325,8 @@ def cross_section_regressions(
     The design (standardised signal and controls, industry dummies, first one dropped)
     enters through its moments: X'X, X'y and y'y are plain grouped sums over the rows,
     whatever the size of a cross-section; only the small solves run per cross-section.
+    ``rank_ic``, on the signal's row, is the rank correlation of signal and return.  A cross-section that cannot be fitted is one row
+    whose ``status`` says why: ``too_few_rows``, ``no_degrees_of_freedom`` or ``rank_deficient``; all others are ``fitted``.
     """
     eligible = targets.filter(S.when_all(F.col("target_valid"), F.col("forward_excess_return").isNotNull(), F.col("sic1").isNotNull()))
     pairs = F.array(*[F.struct(F.lit(s).alias("signal"), F.col(s).cast("double").alias("x_signal")) for s in signals])
@@ -330,7 +335,7 @@ def cross_section_regressions(
                            *[F.col(c).cast("double").alias(f"x_{c}") for c in others], F.inline(pairs)).filter(F.col("x_signal").isNotNull())
     section = ["horizon_months", "signal", "feature_date"]
     terms = ["x_signal", *[f"x_{c}" for c in others]]
-    scaled = winsorize_standardize(long, section, terms).fillna(0.0, terms)  # a missing control sits at its mean
+    scaled = winsorize_standardize(long, section, terms).fillna(0.0, terms)  # a control without any value
     # per (cross-section, industry) moments; dummies need only these sums
     cols = [*terms, "forward_excess_return"]
     moments = [F.count(F.lit(1)).alias("n"), F.min("fold").alias("fold0"), *[F.sum(c).alias(f"s_{i}") for i, c in enumerate(cols)]]
@@ -344,9 +349,13 @@ def cross_section_regressions(
         pdf = pdf.sort_values("sic1")
         n, m = int(pdf["n"].sum()), len(pdf)
         size = 1 + (k - 1) + (m - 1)
-        empty = pd.DataFrame({c: [] for c in ("horizon_months", "signal", "feature_date", "term", "coefficient", "r_squared", "cross_section_rows", "fold")})
-        if n < minimum or n <= size + 5:
-            return empty
+        first = pdf.iloc[0]
+        head = {"horizon_months": int(first["horizon_months"]), "signal": first["signal"], "feature_date": first["feature_date"]}
+        refuse = lambda why: pd.DataFrame([{**head, "term": None, "coefficient": None, "r_squared": None, "cross_section_rows": n, "fold": int(pdf["fold0"].min()), "status": why}])
+        if n < minimum:
+            return refuse("too_few_rows")
+        if n <= size + 5:
+            return refuse("no_degrees_of_freedom")
         sums = pdf[[f"s_{i}" for i in range(k)]].to_numpy(float)
         xx, xy = np.zeros((size, size)), np.zeros(size)
         total = sums.sum(axis=0)
@@ -363,17 +372,38 @@ def cross_section_regressions(
         xx = np.triu(xx) + np.triu(xx, 1).T
         scale = np.sqrt(np.clip(np.diag(xx), 1e-300, None))
         if np.linalg.matrix_rank(xx / np.outer(scale, scale), tol=1e-10) < size:
-            return empty
+            return refuse("rank_deficient")
         beta = np.linalg.solve(xx, xy)
         yy = pdf[f"q_{k - 1}_{k - 1}"].sum()
         spread = yy - total[k - 1] ** 2 / n
         r2 = 1 - (yy - beta @ xy) / spread if spread > 0 else np.nan
         names = ["intercept", *[c[2:] for c in cols[:-1]]]
-        first = pdf.iloc[0]
-        return pd.DataFrame(
-            {"horizon_months": int(first["horizon_months"]), "signal": first["signal"], "feature_date": first["feature_date"],
-             "term": names, "coefficient": beta[:k], "r_squared": r2, "cross_section_rows": n, "fold": int(pdf["fold0"].min())}
-        )
+        return pd.DataFrame({**head, "term": names, "coefficient": beta[:k], "r_squared": r2, "cross_section_rows": n, "fold": int(pdf["fold0"].min()), "status": "fitted"})
 
-    schema = "horizon_months int, signal string, feature_date date, term string, coefficient double, r_squared double, cross_section_rows long, fold int"
-    return grouped.groupBy(*section).applyInPandas(solve, schema)
+    schema = "horizon_months int, signal string, feature_date date, term string, coefficient double, r_squared double, cross_section_rows long, fold int, status string"
+    fitted = grouped.groupBy(*section).applyInPandas(solve, schema)
+    ic = spearman(long, section, "x_signal", "forward_excess_return").select(*section, F.col("spearman").alias("__ic"))
+    return fitted.join(ic, section, "left").withColumn("rank_ic", F.when(F.col("term") == "signal", F.col("__ic"))).drop("__ic")
+
+
+def cross_section_summary(monthly: DataFrame, minimum_months: int = 24, primary: tuple[int, str] | None = None) -> DataFrame:
+    """Mean coefficient and mean rank IC of every horizon and signal with HAC errors of horizon - 1 lags, and Holm's adjustment over all of them.
+
+    A series of fewer than ``minimum_months`` fitted cross-sections has a row with its ``status`` and no inference, and is no test of the family.
+    """
+    keys = ["horizon_months", "signal"]
+    lags = F.col("horizon_months") - 1
+    fitted = monthly.filter("term = 'signal'")
+    sizes = monthly.groupBy(*keys).agg(
+        F.count(F.when(F.col("term") == "signal", 1)).alias("months"), F.sum(F.when(F.col("term") == "signal", F.col("cross_section_rows"))).alias("observations"),
+        F.countDistinct(F.when(F.col("status") != "fitted", F.col("feature_date"))).alias("skipped_months"),
+    )
+    enough = sizes.filter(F.col("months") >= minimum_months).select(*keys)
+    rows = fitted.join(enough, keys, "left_semi")
+    series = lambda c, name: newey_west_mean(rows, keys, "feature_date", c, lags).select(*keys, F.col("mean").alias(f"mean_{name}"), F.col("se").alias(f"{name}_hac_se"), F.col("t").alias(f"{name}_t")).withColumn(f"{name}_p_value", normal_two_sided_p(f"{name}_t"))
+    folds = rows.groupBy(*keys, "fold").agg(F.avg("coefficient").alias("c")).groupBy(*keys).agg(F.avg((F.col("c") > 0).cast("double")).alias("positive_fold_share"))
+    tested = series("coefficient", "coefficient").join(series("rank_ic", "rank_ic"), keys, "left").join(folds, keys)
+    tested = holm(tested.withColumns({"__test": F.concat_ws("|", *keys), "__all": F.lit(1)}), ["__all"], "coefficient_p_value", "__test").drop("__all", "__test")
+    own = (F.col("horizon_months") == primary[0]) & (F.col("signal") == primary[1]) if primary else F.lit(False)
+    status = F.when(F.col("mean_coefficient").isNull(), "too_few_months").otherwise("tested")
+    return sizes.join(tested, keys, "left").withColumns({"holm_reject_5pct": F.col("holm_p") < 0.05, "is_primary": own, "status": status})

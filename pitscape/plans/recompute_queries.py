@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from pitscape.operators import audit as U
+from pitscape.operators import components as C
 from pitscape.operators import dynamics as Y
 from pitscape.operators import lineage as G
+from pitscape.operators import models as M
 from pitscape.operators import panel as P
 from pitscape.operators import recompute as A
 from pitscape.operators import returns as N
@@ -259,3 +261,47 @@ def firm_targets(spark, d):
         F.count(F.lit(1)).alias("events"), F.count(F.when(ok, 1)).alias("valid"), F.count(F.when(ok & (F.col("securities") > 1), 1)).alias("valid_across_securities"),
         r(F.avg(F.when(ok, F.col("forward_total_return"))), 9).alias("mean_return"),
     )
+
+
+#: The thirteen controls of the full cross-section.
+CONTROLS = [
+    "log_market_cap", "book_to_market", "momentum_12_2", "operating_margin", "asset_growth", "leverage", "working_capital", "operating_income",
+    "equity_to_liabilities", "sales_to_assets", "log_dollar_volume_12m", "realized_volatility_12m", "equity_beta_24m",
+]
+
+
+def firm_cross_sections(spark, d):
+    """Quarter-end events of securities with market controls and those of the last report of the firm that they are linked to; targets of all horizons."""
+    months = cut(history(spark, d))
+    factors = D.factors(spark, d)
+    market = Y.rolling_market_controls(months, factors).select("permno", "date", "momentum_12_2", "log_dollar_volume_12m", "realized_volatility_12m", "equity_beta_24m")
+    events = D.signal_events(spark, d, months)
+    links = P.map_links(months.select("permno", "date"), D.links(spark, d)).select("permno", F.col("date").alias("feature_date"), F.col("gvkey").alias("firm"))
+    base = D.reports(spark, d)
+    known = P.report_availability(cut(base), D.filings(spark, d, base))
+    accounts = M.model_controls(C.asset_growth(report_components(spark, d)).select("gvkey", "fyear", "operating_margin", "asset_growth").join(
+        known.withColumn("market_cap_millions", F.lit(None).cast("double")), ["gvkey", "fyear"]))
+    carried = ["operating_margin", "asset_growth", "leverage", "working_capital", "operating_income", "equity_to_liabilities", "sales_to_assets", "ceq"]
+    asked = events.join(links, ["permno", "feature_date"], "left").withColumnRenamed("gvkey", "security").withColumnRenamed("firm", "gvkey")
+    linked = P.asof_join(asked.filter(F.col("gvkey").isNotNull()), accounts, "gvkey", "feature_date", "formation_date", carried, ["datadate", "fyear"])
+    alone = asked.filter(F.col("gvkey").isNull()).withColumns({c: F.lit(None).cast("double") for c in carried})
+    both = linked.select(*alone.columns).unionByName(alone).drop("gvkey").withColumnRenamed("security", "gvkey")
+    cap = F.col("market_cap_millions")
+    full = both.join(market.withColumnRenamed("date", "feature_date"), ["permno", "feature_date"], "left").withColumns(
+        {"log_market_cap": F.when(cap > 0, F.log(F.when(cap > 0, cap))), "book_to_market": F.when(cap > 0, F.col("ceq") / F.when(cap > 0, cap) / 1e6)})
+    targets = A.targets_by_prefix(events, months, factors).select("event_id", "horizon_months", "target_valid", "forward_excess_return")
+    return cut(targets.join(full.select("event_id", "feature_date", "fold", "sic1", *SIGNALS, *CONTROLS), "event_id"))
+
+
+@query("full_cross_sections")
+def full_cross_sections(spark, d):
+    """Regressions on the signal, thirteen controls and industries per date, with rank ICs; a date that is not fitted says why."""
+    out = N.cross_section_regressions(firm_cross_sections(spark, d), SIGNALS, CONTROLS)
+    return out.select("horizon_months", "signal", "feature_date", "term", r("coefficient", 8).alias("coefficient"), r("rank_ic", 8).alias("rank_ic"), r("r_squared", 8).alias("r_squared"), "cross_section_rows", "fold", "status")
+
+
+@query("full_cross_section_summary")
+def full_cross_section_summary(spark, d):
+    """HAC inference on the monthly coefficients and rank ICs; the quarters here are at most 26, so the minimum is 8."""
+    monthly = cut(N.cross_section_regressions(firm_cross_sections(spark, d), SIGNALS, CONTROLS))
+    return N.cross_section_summary(monthly, 8, (6, SIGNALS[0]))
