@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from pitscape.functions import scalars as S
 from pitscape.functions.ordering import quantiles
-from pitscape.operators.returns import STRATEGY, cohort_positions
+from pitscape.operators.inference import alpha_columns, hac_lines
+from pitscape.operators.returns import STRATEGY, cohort_positions, portfolio_summary
 from pitscape.params import DEFAULT, Params
 
 
@@ -196,3 +199,29 @@ def delay_sensitivity(waterfall: DataFrame) -> DataFrame:
     now = waterfall.filter("delay_months = 0").select(*keys, F.col("net").alias("base_net"))
     late = waterfall.filter("delay_months > 0").select(*keys, "delay_months", F.col("net").alias("delayed_net"))
     return now.join(late, keys).withColumn("net_difference", F.col("delayed_net") - F.col("base_net"))
+
+
+def net_summary(months: DataFrame, factors: DataFrame, factor_columns: Sequence[str], p: Params = DEFAULT) -> DataFrame:
+    """Gross and net performance per strategy, delay and cost case, with costs, exposures and the factor line of the net returns.
+
+    Every case is reported; ``factors`` must cover every month. The errors reach back the primary horizon less one month.
+    """
+    keys = [*STRATEGY, "delay_months", "cost_case"]
+    means = months.groupBy(*keys).agg(
+        F.min("holding_date").alias("first_month"), F.max("holding_date").alias("last_month"), F.avg("gross_return").alias("mean_monthly_gross_return"),
+        F.avg("net_return").alias("mean_monthly_net_return"), F.avg("turnover").alias("average_turnover"), F.avg("costed_turnover").alias("average_costed_turnover"),
+        (12 * F.avg("transaction_cost")).alias("annualized_transaction_cost"), (12 * F.avg("borrow_cost")).alias("annualized_borrow_cost"),
+        F.avg((F.col("long_exposure") + F.col("short_exposure")) / 2).alias("average_capacity_fill_ratio"),
+        F.avg("long_exposure").alias("average_long_gross_exposure"), F.avg("short_exposure").alias("average_short_gross_exposure"),
+    )
+    gross = portfolio_summary(months, keys, "holding_date", "gross_return").select(
+        *keys, "months", F.col("annual_mean").alias("annualized_gross_return"), F.col("sharpe").alias("annualized_gross_sharpe")
+    )
+    net = portfolio_summary(months, keys, "holding_date", "net_return").select(
+        *keys, F.col("annual_mean").alias("annualized_net_return"), F.col("sharpe").alias("annualized_net_sharpe"),
+        F.col("maximum_drawdown").alias("net_maximum_drawdown"), F.col("hit_rate").alias("net_hit_rate"),
+    )
+    known = months.join(factors.select(F.col("date").alias("holding_date"), *factor_columns), "holding_date", "left")
+    reach = p.primary_return_horizon - 1
+    lines = hac_lines(known, keys, "holding_date", "net_return", factor_columns, reach, reach)
+    return gross.join(net, keys).join(means, keys).join(alpha_columns(lines, keys, "net_"), keys)

@@ -13,6 +13,7 @@ from pyspark.sql.window import Window as W
 from pitscape.functions import scalars as S
 from pitscape.functions.ordering import quantiles, with_row_number
 from pitscape.operators.describe import holm, newey_west_mean, normal_two_sided_p, spearman
+from pitscape.operators.inference import alpha_columns, hac_lines
 from pitscape.params import DEFAULT, Params
 
 STRATEGY = ["horizon_months", "signal", "weighting", "industry_neutral"]
@@ -249,12 +250,41 @@ def cohort_spreads(quantile_table: DataFrame, p: Params = DEFAULT) -> DataFrame:
     top, bottom = F.col("quantile") == p.quantiles, F.col("quantile") == 1
     spread = quantile_table.groupBy(*cohort).agg(
         (F.max(F.when(top, F.col("forward_excess_return"))) - F.max(F.when(bottom, F.col("forward_excess_return")))).alias("long_short_excess_return"),
+        (F.max(F.when(top, F.col("forward_total_return"))) - F.max(F.when(bottom, F.col("forward_total_return")))).alias("long_short_total_return"),
         F.max(F.when(top, F.col("fold"))).alias("fold"),
     )
     mono = spearman(quantile_table.withColumn("__q", F.col("quantile").cast("double")), cohort, "__q", "forward_excess_return")
     return spread.filter(F.col("long_short_excess_return").isNotNull()).join(mono.select(*cohort, F.col("spearman").alias("monotonicity")), cohort)
 
 
+def fold_spreads(spreads: DataFrame, p: Params = DEFAULT) -> DataFrame:
+    """Mean cohort spread of each strategy and fold with an error for the overlap of its horizon: one row per strategy and fold.
+
+    A fold of a single cohort has a mean and no error.
+    """
+    keys = [*STRATEGY, "fold"]
+    lines = hac_lines(spreads, keys, "feature_date", "long_short_excess_return", [], F.col("horizon_months") - 1, max(p.return_horizons) - 1)
+    means = spreads.groupBy(*keys).agg(F.avg("long_short_total_return").alias("mean_long_short_total_return"), F.avg("monotonicity").alias("mean_monotonicity"))
+    return lines.select(
+        *keys, F.col("months").alias("formation_cohorts"), F.col("coefficient").alias("mean_long_short_excess_return"), F.col("se").alias("hac_standard_error"), F.col("t").alias("t_stat"), "p_value",
+    ).join(means, keys)
+
+
+def factor_summary(monthly: DataFrame, factors: DataFrame, factor_columns: Sequence[str], p: Params = DEFAULT) -> DataFrame:
+    """Gross performance of every strategy over its months, with its factor line: one row per strategy.
+
+    ``factors`` (date, factor columns) must cover every month; turnover and cohorts are means over the months.
+    """
+    known = monthly.join(factors.select(F.col("date").alias("holding_date"), *factor_columns), "holding_date", "left")
+    span = monthly.groupBy(*STRATEGY).agg(
+        F.min("holding_date").alias("first_month"), F.max("holding_date").alias("last_month"), F.avg("long_short_return").alias("mean_monthly_gross_return"),
+        F.avg("turnover").alias("average_turnover"), F.avg("active_cohorts").alias("average_active_cohorts"),
+    )
+    earned = portfolio_summary(monthly, STRATEGY, "holding_date", "long_short_return")
+    lines = hac_lines(known, STRATEGY, "holding_date", "long_short_return", factor_columns, F.col("horizon_months") - 1, max(p.return_horizons) - 1)
+    return earned.join(span, STRATEGY).join(alpha_columns(lines, STRATEGY), STRATEGY)
+
+
 def portfolio_summary(monthly: DataFrame, keys: Sequence[str], date: str, value: str) -> DataFrame:
     """Annualised mean, volatility, Sharpe, drawdown and hit rate of a monthly series."""
     keys = list(keys)
