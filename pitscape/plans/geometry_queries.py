@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from pitscape.functions import ordering as O
 from pitscape.functions import scalars as S
@@ -234,6 +235,56 @@ def radius_gated_assignment(spark, d):
     return out.select("vec_id", "label", r("confidence", 8).alias("confidence"), r("distance", 8).alias("distance"))
 
 
+def _label_clusters(rows):
+    """Median centroid and 95 % radius of each label."""
+    mid = O.quantiles(rows.select("label", F.posexplode("v").alias("axis", "x")), ["label", "axis"], "x", {"c": 0.5})
+    centroid = mid.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("axis", "c"))), lambda s: s["c"]).alias("centroid"))
+    placed = rows.join(centroid, "label").withColumn("d", T.distance("v", "centroid"))
+    return centroid.join(O.quantiles(placed, ["label"], "d", {"radius": 0.95}), "label").withColumn("radius", F.greatest("radius", F.lit(1e-9)))
+
+
+@query(
+    "soft_membership",
+    """select * from (with e as (select label, vec_id, unnest(embedding)::double x, generate_subscripts(embedding,1) i from embeddings),
+ m as (select label, i, median(x) x from e group by 1,2), c as (select label, list(x order by i) c from m group by 1),
+ dd as (select e.vec_id, c.label, e.label own, list_distance(e.embedding::double[], c.c) d from embeddings e cross join c),
+ rr as (select label, greatest(quantile_cont(d, 0.95::double), 1e-9) r from dd where own=label group by 1),
+ nn as (select vec_id, dd.label, d, r, greatest(1-d/r,0) w, row_number() over (partition by vec_id order by d, dd.label) rn from dd join rr on rr.label=dd.label qualify rn <= 3),
+ ms as (select vec_id, max(case when rn=1 and d<=r then w else 0 end) mass, sum(w) tot from nn group by 1)
+ select vec_id, label::int as label, round(case when mass > 0 then mass*w/tot else 0 end,8) probability from nn join ms using (vec_id)
+ union all select vec_id, -1, round(1-mass,8) from ms)""",
+)
+def soft_membership(spark, d):
+    """Shares of each vector in the labels of its three nearest centroids, and of noise (-1)."""
+    rows = cut(scan(spark, d, "embeddings", ["vec_id", "embedding", "label"]).select("vec_id", F.col("label").cast("int").alias("label"), F.col("embedding").cast("array<double>").alias("v")))
+    out = T.soft_membership(rows.select("vec_id", F.col("vec_id").alias("id"), "v"), cut(_label_clusters(rows)), 3)
+    noise = F.array(F.struct(F.lit(-1).alias("label"), F.col("noise_probability").alias("probability")))
+    return out.select("vec_id", F.explode(F.concat("memberships", noise)).alias("m")).select("vec_id", "m.label", r("m.probability", 8).alias("probability"))
+
+
+def _sourced(spark, d):
+    points = _scaled_points(spark, d)
+    labels, clusters = T.density_clusters(_training(points), 10, 20)
+    return points, clusters, cut(T.sourced_assignments(points, cut(labels), clusters, 1998))
+
+
+@query("sourced_assignments")
+def sourced_assignments(spark, d):
+    """Every report's archetype, from the fit itself or by the nearest centroid, with its share of noise."""
+    _, _, out = _sourced(spark, d)
+    return out.select("gvkey", "fyear", "archetype", "role", "used_to_fit", "assignment_source", "is_noise", r("confidence").alias("confidence"), r("noise_probability").alias("noise_probability"), F.size("memberships").alias("memberships"))
+
+
+@query("archetype_gate")
+def archetype_gate(spark, d):
+    """Checks of the assignments and of the moves between them; the refits are counted by ``archetype_stability``."""
+    points, clusters, out = _sourced(spark, d)
+    order = W.partitionBy("gvkey").orderBy("fyear")  # reports of one firm, one a year
+    moved = out.withColumns({"__from": F.concat_ws("|", "role", F.lag("archetype").over(order)), "__had": F.lag("archetype").over(order).isNotNull(), "__gap": F.col("fyear") - F.lag("fyear").over(order)})
+    moves = T.transitions(moved.withColumn("__from", F.when(F.col("__had"), F.col("__from"))), "archetype", "__from", F.col("__gap"))
+    return T.archetype_gate(points, out, clusters, 1998, moves)
+
+
 @query(
     "state_transitions",
     """select from_state, to_state, count(*) n, round(count(*)/sum(count(*)) over (partition by from_state),9) probability, round(median(gap),6) median_gap, from_state=to_state persists
