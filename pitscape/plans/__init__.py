@@ -6,7 +6,7 @@ import importlib
 
 MODULES = (
     "panel_queries", "score_queries", "label_queries", "return_queries", "geometry_queries", "model_queries", "audit_queries",
-    "recompute_queries", "ladder_queries", "summary_queries", "relabel_queries",
+    "recompute_queries", "ladder_queries", "summary_queries", "relabel_queries", "null_queries",
 )
 
 
