@@ -1,23 +1,27 @@
 """Near-duplicate vectors by iterative quantisation and multi-index Hamming tables.
 
-Directions are collapsed first: rows with equal vectors are one class, however many there are. On a bounded sample
-of classes a rotation is learned that makes the signs of the rotated, centred vectors balanced binary codes (alternating sign
-codes and the orthogonal Procrustes solution). ``ROTATIONS`` such rotations give one code each. A code is cut into substrings, one
-table each; a class is stored under its substring and looked up under it and under every substring one bit away.
-Pairs that meet in a table and whose codes are near as a whole are compared by the original vectors in double precision.
-
-The substring length follows the logarithm of the number of classes, so that the entries of a bucket stay about
-constant. Buckets have no cap: the meeting is an ordinary equi-join, which the engine splits where it is skewed.
-
-Defined cases: vectors that are null, empty, of another length than most, zero, or hold null or non-finite components link
-with nothing and are their own component; rows with a null id are left out of the links and returned with 0 links and a null component; an
-empty table gives an empty result. Repeated ids with equal vectors count as one vector.
+Directions are collapsed first: rows with equal vectors are one class, however many there are. Every vector length has
+codes of its own. On a bounded sample of its classes rotations are learned that make the signs of the rotated, centred vectors
+balanced binary codes (alternating sign codes and the orthogonal Procrustes solution). The codes of all rotations, one
+behind the other, are cut into substrings of equal length, one table each; classes that agree in a substring meet in its
+table, and pairs whose first ``CHECK`` bits are near are compared by the original vectors in double precision.
+
+Substrings grow with the logarithm of the number of classes, so that the entries of a bucket stay about constant.
+Rotations are added until ``RECALL`` of partners planted at exactly the cosine asked for are found; where ``MOST_BITS`` do not
+reach it, substrings get shorter until they do. So recall does not depend on the size of the table or the vectors' length.
+A pair that agrees in one of the first substrings is passed on by the first such table alone. Buckets have no cap: where a
+sample shows many entries, the bucket's meeting is cut into parts of bounded size.
+
+Defined cases: vectors that are null, empty, zero, or hold null or non-finite components link
+with nothing and are their own component; vectors of different lengths never link; rows with a null id are left out of the links and returned with 0 links
+and a null component; an empty table gives an empty result. Repeated ids with equal vectors count as one vector.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -27,9 +31,10 @@ from pyspark.sql import functions as F
 from pitscape.llm.common import columns, components, saved
 
 COSINE = 0.9
-SAMPLE, ROTATIONS, ROUNDS = 5000, 2, 30
-#: Codes whose differing bits are a larger share are not compared; at the cosine asked for the expected share is 0.144.
-NEAR = 0.34
+SAMPLE, PLANTED, ROUNDS = 5000, 2000, 30
+RECALL, CHECK, MOST_BITS, MOST_A_ROTATION = 0.97, 64, 16_384, 512
+#: Entries of a bucket that meet in one part; one class of SHARE is counted to find larger buckets.
+PART, SHARE = 2048, 8
 
 
 def learn(sample: np.ndarray, bits: int, seed: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
@@ -60,49 +65,133 @@ def unit_classes(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     return member, saved(reps)
 
 
-def _tables(reps: DataFrame, projections: list[tuple[np.ndarray, np.ndarray]], width: int, dims: int) -> DataFrame:
-    """rep, codes and one (table, key) per substring."""
-    shared = reps.sparkSession.sparkContext.broadcast(projections)
+@dataclass(frozen=True)
+class Codes:
+    """Codes of one vector length: signs of ``x @ project - bar``, cut into substrings of ``width``; ``near``: check bits that may differ."""
+
+    project: np.ndarray
+    bar: np.ndarray
+    width: int
+    near: int
+
+    def signs(self, x: np.ndarray) -> np.ndarray:
+        return x @ self.project >= self.bar
+
+    @property
+    def tables(self) -> int:
+        return self.project.shape[1] // self.width
+
+
+def _met(differ: np.ndarray, width: int) -> np.ndarray:
+    """Which rows of differing bits have a substring without any."""
+    tables = differ.shape[1] // width
+    return (~differ[:, : tables * width].reshape(len(differ), tables, width).any(axis=2)).any(axis=1)
+
+
+def learn_codes(sample: np.ndarray, classes: int, cosine: float = COSINE, recall: float = RECALL) -> Codes:
+    """Rotations and substring length that find ``recall`` of the partners planted at ``cosine`` around rows of ``sample``.
+
+    Half of the partners lie in a random direction, half in that of another row.
+    """
+    rng = np.random.default_rng(11)
+    dims = sample.shape[1]
+    width = min(48, max(8, math.ceil(math.log2(max(classes, 2)))))
+    x = sample[rng.integers(0, len(sample), PLANTED)]
+    aside = np.where(np.arange(PLANTED)[:, None] % 2 == 0, rng.standard_normal((PLANTED, dims)), sample[rng.integers(0, len(sample), PLANTED)])
+    aside += 1e-9 * rng.standard_normal((PLANTED, dims))
+    aside -= (aside * x).sum(axis=1, keepdims=True) * x
+    size = np.linalg.norm(aside, axis=1, keepdims=True)
+    y = cosine * x + math.sqrt(max(0.0, 1 - cosine * cosine)) * aside / np.where(size > 0, size, 1.0)
+    parts, bars, differ = [], [], np.zeros((PLANTED, 0), bool)
+    while True:
+        # in few dimensions the solution is nearly unique: fewer rounds keep the rotations different
+        mean, project = learn(sample, min(dims, MOST_A_ROTATION), len(parts), ROUNDS if dims >= 8 else 2)
+        parts.append(project)
+        bars.append(mean @ project)
+        differ = np.hstack([differ, (x @ project >= bars[-1]) != (y @ project >= bars[-1])])
+        enough = differ.shape[1] >= MOST_BITS
+        apart = differ[:, :CHECK].sum(axis=1)
+        near = int(np.quantile(apart, 0.999, method="higher"))
+        found = _met(differ, width) & (apart <= near)
+        while enough and found.mean() < recall and width > 1:
+            width -= 1
+            found = _met(differ, width) & (apart <= near)
+        if enough or (differ.shape[1] >= CHECK and found.mean() >= recall):
+            return Codes(np.hstack(parts), np.concatenate(bars), width, near)
+
+
+def _entries(reps: DataFrame, codes: dict[int, Codes]) -> DataFrame:
+    """slot, rep, code and rule (table, substring length, check bits that may differ) per class and table."""
+    first, at = {}, 0
+    for dims, c in codes.items():
+        first[dims], at = at, at + (c.tables << c.width)
+    shared = reps.sparkSession.sparkContext.broadcast((codes, first))  # at most MOST_BITS columns a length
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        codes, first = shared.value
+        for batch in (b.slice(i, 1000) for b in batches for i in range(0, b.num_rows, 1000)):
             values = batch.column(1)
             sizes = values.value_lengths().to_numpy(zero_copy_only=False)
-            keep = np.flatnonzero(sizes == dims)
-            if not len(keep):
-                continue
-            x = np.array(values.take(pa.array(keep)).flatten().to_numpy(zero_copy_only=False)).reshape(-1, dims)
-            codes = [((x - mean) @ p >= 0) for mean, p in shared.value]
-            whole = [np.packbits(np.pad(c, ((0, 0), (0, 64 - c.shape[1]))), axis=1).view(">i8").ravel().astype(np.int64) for c in codes]
-            keys = np.concatenate([[c[:, a : a + width] @ (1 << np.arange(width)) for a in range(0, c.shape[1] - width + 1, width)] for c in codes])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(keep)), *[pa.array(w) for w in whole], pa.array(list(keys.T.astype(np.int64)))],
-                ["rep", *[f"code{k}" for k in range(len(codes))], "keys"],
-            )
-
-    return reps.mapInArrow(run, "rep long, " + "".join(f"code{k} long, " for k in range(len(projections))) + "keys array<long>")
+            for dims in np.unique(sizes):
+                if int(dims) not in codes:
+                    continue
+                c = codes[int(dims)]
+                keep = pa.array(np.flatnonzero(sizes == dims))
+                signs = c.signs(np.array(values.take(keep).flatten().to_numpy(zero_copy_only=False)).reshape(-1, dims))
+                head = np.pad(signs[:, :CHECK], ((0, 0), (0, CHECK - min(CHECK, signs.shape[1]))))
+                whole = np.packbits(head, axis=1).view(">i8").ravel().astype(np.int64)
+                weight = 1 << np.arange(c.width, dtype=np.int64)
+                keys = signs[:, : c.tables * c.width].reshape(len(keep), c.tables, c.width) @ weight
+                table = np.arange(c.tables)
+                slots = keys + (first[int(dims)] + (table << c.width))
+                rules = (table << 16) | (c.width << 8) | c.near
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(slots.ravel()),
+                        pa.array(np.repeat(batch.column(0).take(keep).to_numpy(), c.tables)),
+                        pa.array(np.repeat(whole, c.tables)),
+                        pa.array(np.tile(rules, len(keep)).astype(np.int32)),
+                    ],
+                    ["slot", "rep", "code", "rule"],
+                )
+
+    return reps.select("rep", "v").mapInArrow(run, "slot long, rep long, code long, rule int")
+
+
+def _meet(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """Pairs a < b of entries in one bucket, near in their check bits, from the first table where those bits show one."""
+    sides = [side.withColumnsRenamed({"rep": name, "code": f"code_{name}"}) for side, name in ((left, "a"), (right, "b"))]
+    met = sides[0].join(sides[1].drop("rule"), on).where("a < b").withColumn("x", F.expr("code_a ^ code_b"))
+    met = met.where("bit_count(x) <= (rule & 255)").withColumn("w", F.expr("shiftright(rule, 8) & 255"))
+    steps = " ".join(
+        f"when w * {g + 1} <= {CHECK} and (shiftrightunsigned(x, {CHECK} - w * {g + 1}) & (shiftleft(1L, w) - 1)) = 0 then {g}" for g in range(CHECK // 8)
+    )
+    return met.where(f"coalesce(shiftright(rule, 16) = (case {steps} end), true)").select("a", "b")
 
 
 def near_pairs(reps: DataFrame, cosine: float = COSINE) -> DataFrame:
     """(a, b), a < b, of classes found with a cosine of at least ``cosine``."""
     spark = reps.sparkSession
-    n = reps.count()
-    sample = [r["v"] for r in reps.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("v").collect()]  # SAMPLE rows at most
-    lengths = [len(v) for v in sample]
-    if n < 2:
+    sizes = {r["d"]: r["n"] for r in reps.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).where("n > 1").collect()}  # a row per length
+    if not sizes:
         return spark.createDataFrame([], "a long, b long")
-    dims = max(set(lengths), key=lengths.count)
-    x = np.array([v for v in sample if len(v) == dims])
-    bits = min(64, dims)
-    width = min(bits, max(8, min(16, math.ceil(math.log2(n)))))
-    coded = saved(_tables(reps, [learn(x, bits, seed) for seed in range(ROTATIONS)], width, dims))
-    codes = [f"code{k}" for k in range(ROTATIONS)]
-    placed = coded.select("rep", *codes, F.posexplode("keys").alias("table", "key"))
-    flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << i).cast("long") for i in range(width)])
-    probes = placed.select(F.col("rep").alias("b"), *[F.col(c).alias(f"b_{c}") for c in codes], "table", F.explode(F.transform(flips, lambda f: F.col("key").bitwiseXOR(f))).alias("key"))
-    met = placed.withColumnRenamed("rep", "a").join(probes, ["table", "key"]).where("a < b")
-    apart = sum(F.bit_count(F.col(c).bitwiseXOR(F.col(f"b_{c}"))) for c in codes)
-    pairs = met.where(apart <= int(NEAR * bits * ROTATIONS)).select("a", "b").distinct()
+    spread = 1 << 30
+    bars = F.create_map(*[F.lit(x) for d, n in sizes.items() for x in (d, min(spread, math.ceil(spread * SAMPLE / n)))])
+    some = reps.where(F.pmod(F.xxhash64("rep", F.lit(5)), F.lit(spread)) < F.coalesce(bars[F.size("v")], F.lit(0))).select("v").collect()  # about SAMPLE a length
+    by_length: dict[int, list] = {}
+    for r in some:
+        by_length.setdefault(len(r["v"]), []).append(r["v"])
+    codes = {d: learn_codes(np.array(v), sizes[d], cosine) for d, v in sorted(by_length.items())}
+    entries = saved(_entries(reps, codes))
+    hot = entries.where(F.pmod(F.xxhash64("rep", F.lit(9)), F.lit(SHARE)) == 0).groupBy("slot").agg(F.count("*").alias("n")).where(f"n > {PART // SHARE}")
+    hot = saved(hot.select("slot", F.ceil(F.col("n") * SHARE / PART).cast("int").alias("parts")))
+    pairs = _meet(entries.join(hot, "slot", "left_anti"), entries.join(hot, "slot", "left_anti"), ["slot"])
+    if not hot.isEmpty():
+        busy = entries.join(hot, "slot")
+        one = busy.withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")).drop("parts")
+        every = busy.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+        pairs = pairs.union(_meet(one, every, ["slot", "part"]))
+    pairs = pairs.distinct()
     left = reps.select(F.col("rep").alias("a"), F.col("v").alias("va"))
     right = reps.select(F.col("rep").alias("b"), F.col("v").alias("vb"))
     dot = F.aggregate(F.zip_with("va", "vb", lambda p, q: p * q), F.lit(0.0), lambda s, t: s + t)

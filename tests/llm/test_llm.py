@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import pathlib
 import random
 import sys
@@ -221,6 +222,45 @@ def test_vectors_match_all_pairs(spark):
     assert all(links[i] == 0 for i in (900, 901, 902, 903, 904))
 
 
+def test_vector_recall_at_every_length(spark, monkeypatch):
+    """Planted pairs at cosine 0.91 among 36,500 vectors of four lengths; a family larger than a part of a bucket."""
+    monkeypatch.setattr(quantised, "PART", 128)
+    rnd = np.random.default_rng(3)
+    rows, planted = [], []
+
+    def put(v):
+        rows.append((len(rows), v.tolist()))
+        return len(rows) - 1
+
+    for dims in (16, 32, 64):
+        for v in rnd.standard_normal((8000, dims)):
+            put(v)
+        a = rnd.standard_normal((2000, dims))
+        u = rnd.standard_normal((2000, dims))
+        u -= (u * a).sum(axis=1, keepdims=True) / (a * a).sum(axis=1, keepdims=True) * a
+        u *= np.linalg.norm(a, axis=1, keepdims=True) / np.linalg.norm(u, axis=1, keepdims=True)
+        for x, y in zip(a, 0.91 * a + math.sqrt(1 - 0.91**2) * u, strict=True):
+            planted.append((dims, put(x), put(y)))
+    centre = rnd.standard_normal(48)
+    family = [put(centre + 0.02 * rnd.standard_normal(48)) for _ in range(500)]
+    got = {r.vec_id: r for r in quantised.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    for dims in (16, 32, 64):
+        pairs = [(a, b) for d, a, b in planted if d == dims]
+        assert sum(got[a].component_id == got[b].component_id for a, b in pairs) >= 0.95 * len(pairs), dims
+    assert all(got[i].component_id == family[0] for i in family)
+    assert sum(got[i].n_links for i in family) >= 0.99 * 500 * 499
+    assert not any(got[i].n_links for i in range(24_000, 32_000)), "unrelated vectors of 64 dimensions"
+
+
+def test_pairs_at_the_bar_and_of_short_vectors(spark):
+    """A cosine of exactly 0.9 links, just below does not; vectors of one and two components have codes of their own."""
+    rows = [(0, [0.0, 1.0]), (1, [0.9, 0.1**0.5]), (2, [2.0]), (3, [5.0]), (4, [-5.0]), (5, [1.0, 0.0]), (6, [0.8999, math.sqrt(1 - 0.8999**2)])]
+    vectors = [np.array(v) / np.linalg.norm(v) for _, v in rows]
+    want = {i: sum(j != i and len(rows[j][1]) == len(rows[i][1]) and float(vectors[i] @ vectors[j]) >= 0.9 for j in range(len(rows))) for i in range(len(rows))}
+    got = {r.vec_id: r.n_links for r in quantised.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == want
+
+
 def test_scores_learn_quality(spark):
     rnd = random.Random(2)
     good = lambda: " ".join(rnd.choice(["the", "river", "stone", "walks", "quiet", "light", "under"]) for _ in range(60))
