@@ -8,7 +8,7 @@ table, and pairs whose first ``CHECK`` bits are near are compared by the origina
 
 Substrings grow with the logarithm of the number of classes, so that the entries of a bucket stay about constant.
 Rotations are added until ``RECALL`` of partners planted at exactly the cosine asked for are found; where ``MOST_BITS`` do not
-reach it, substrings get shorter until they do. So recall does not depend on the size of the table or the vectors' length.
+reach it, or fewer than 8 sample rows a dimension leave nothing to learn, rotations are random ones, and substrings get shorter until they do. So recall does not depend on the size of the table or the vectors' length.
 A pair that agrees in one of the first substrings is passed on by the first such table alone. Buckets have no cap: where a
 sample shows many entries, the bucket's meeting is cut into parts of bounded size.
 
@@ -32,14 +32,14 @@ from pitscape.llm.common import columns, components, saved
 
 COSINE = 0.9
 SAMPLE, PLANTED, ROUNDS = 5000, 2000, 30
-RECALL, CHECK, MOST_BITS, MOST_A_ROTATION = 0.97, 64, 16_384, 512
+RECALL, CHECK, MOST_BITS, MOST_A_ROTATION = 0.97, 64, 4096, 512
 #: Entries of a bucket that meet in one part; one class of SHARE is counted to find larger buckets.
 PART, SHARE = 2048, 8
 
 
 def learn(sample: np.ndarray, bits: int, seed: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and projection (dimensions x bits) of iterative quantisation."""
-    mean = sample.mean(axis=0)
+    """Mean and projection (dimensions x bits) of iterative quantisation; without rounds a random rotation of the uncentred rows."""
+    mean = sample.mean(axis=0) if rounds else np.zeros(sample.shape[1])
     x = sample - mean
     values, vectors = np.linalg.eigh(x.T @ x)
     project = vectors[:, ::-1][:, :bits]
@@ -102,21 +102,30 @@ def learn_codes(sample: np.ndarray, classes: int, cosine: float = COSINE, recall
     aside -= (aside * x).sum(axis=1, keepdims=True) * x
     size = np.linalg.norm(aside, axis=1, keepdims=True)
     y = cosine * x + math.sqrt(max(0.0, 1 - cosine * cosine)) * aside / np.where(size > 0, size, 1.0)
-    parts, bars, differ = [], [], np.zeros((PLANTED, 0), bool)
+    bits = min(dims, MOST_A_ROTATION)
+    learned = len(sample) >= 8 * dims
+    parts, bars, differs = [], [], []
     while True:
         # in few dimensions the solution is nearly unique: fewer rounds keep the rotations different
-        mean, project = learn(sample, min(dims, MOST_A_ROTATION), len(parts), ROUNDS if dims >= 8 else 2)
+        mean, project = learn(sample, bits, len(parts), (ROUNDS if dims >= 8 else 2) if learned else 0)
         parts.append(project)
         bars.append(mean @ project)
-        differ = np.hstack([differ, (x @ project >= bars[-1]) != (y @ project >= bars[-1])])
-        enough = differ.shape[1] >= MOST_BITS
+        differs.append((x @ project >= bars[-1]) != (y @ project >= bars[-1]))
+        made = bits * len(parts)
+        enough = made >= MOST_BITS
+        if not enough and (made < CHECK or len(parts) % max(1, len(parts) // 8)):
+            continue
+        differ = np.hstack(differs)
         apart = differ[:, :CHECK].sum(axis=1)
         near = int(np.quantile(apart, 0.999, method="higher"))
         found = _met(differ, width) & (apart <= near)
+        if enough and learned and found.mean() < recall:
+            learned, parts, bars, differs = False, [], [], []
+            continue
         while enough and found.mean() < recall and width > 1:
             width -= 1
             found = _met(differ, width) & (apart <= near)
-        if enough or (differ.shape[1] >= CHECK and found.mean() >= recall):
+        if enough or found.mean() >= recall:
             return Codes(np.hstack(parts), np.concatenate(bars), width, near)
 
 

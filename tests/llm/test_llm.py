@@ -254,7 +254,7 @@ def test_vector_recall_at_every_length(spark, monkeypatch):
 
 def test_pairs_at_the_bar_and_of_short_vectors(spark):
     """A cosine of exactly 0.9 links, just below does not; vectors of one and two components have codes of their own."""
-    rows = [(0, [0.0, 1.0]), (1, [0.9, 0.1**0.5]), (2, [2.0]), (3, [5.0]), (4, [-5.0]), (5, [1.0, 0.0]), (6, [0.8999, math.sqrt(1 - 0.8999**2)])]
+    rows = [(0, [1.0, 0.0, 0.0, 0.0]), (1, [9.0, 3.0, 3.0, 1.0]), (2, [2.0]), (3, [5.0]), (4, [-5.0]), (5, [8.99, 3.0, 3.0, 1.04]), (6, [0.0, 1.0]), (7, [0.3, 1.0])]
     vectors = [np.array(v) / np.linalg.norm(v) for _, v in rows]
     want = {i: sum(j != i and len(rows[j][1]) == len(rows[i][1]) and float(vectors[i] @ vectors[j]) >= 0.9 for j in range(len(rows))) for i in range(len(rows))}
     got = {r.vec_id: r.n_links for r in quantised.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
