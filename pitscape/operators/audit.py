@@ -229,16 +229,17 @@ def proxy_eligibility(
     )
 
 
-def subgroup_metrics(predictions: DataFrame, probability: str, event: str, firm: str = "gvkey") -> DataFrame:
-    """Discrimination and Brier score by decade and by broad industry."""
+def subgroup_metrics(predictions: DataFrame, probability: str, event: str, firm: str = "gvkey", groups: Sequence[str] = ()) -> DataFrame:
+    """Discrimination and Brier score by decade and by broad industry, within ``groups`` such as the cause of an exit."""
     dims = F.array(
         F.struct(F.lit("decade").alias("dimension"), (F.floor(F.col("year") / 10) * 10).cast("string").alias("value")),
         F.struct(F.lit("sic1").alias("dimension"), F.col("sic1").cast("string").alias("value")),
     )
+    keys = [*groups, "dimension", "value"]
     long = predictions.filter(F.col(probability).isNotNull() & F.col(event).isNotNull()).select("*", F.inline(dims))
-    m = prediction_metrics(long, ["dimension", "value"], probability, event)
-    firms = long.groupBy("dimension", "value").agg(F.countDistinct(firm).alias("issuers"))
-    return m.join(firms, ["dimension", "value"]).select("dimension", "value", "rows", "issuers", "events", "roc_auc", "brier_score")
+    m = prediction_metrics(long, keys, probability, event)
+    firms = long.groupBy(*keys).agg(F.countDistinct(firm).alias("issuers"))
+    return m.join(firms, keys).select(*keys, "rows", "issuers", "events", "roc_auc", "brier_score")
 
 
 def _numbered_clusters(sums: DataFrame, cluster: str) -> tuple[DataFrame, int]:

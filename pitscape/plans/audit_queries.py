@@ -202,6 +202,30 @@ def subgroup_metrics(spark, d):
     return out.withColumns({"roc_auc": r("roc_auc", 8), "brier_score": r("brier_score", 8)})
 
 
+@query(
+    "subgroup_metrics_by_cause",
+    """select cause, dimension, value, count(*) as "rows", count(distinct gvkey) issuers, sum(y) events, round((sum(rk) filter (y=1) - sum(y)*(sum(y)+1)/2.0::double)/(sum(y)*(count(*)-sum(y))),8) roc_auc, round(avg((y-p)*(y-p)),8) brier_score
+ from (select *, %s rk from (select cause, 'decade' dimension, cast(cast(floor(fyear/10)*10 as int) as varchar) as value, gvkey, p, y from sgc union all select cause, 'sic1', cast(sic1 as varchar), gvkey, p, y from sgc)) group by 1,2,3"""
+    % Q.avg_rank("p", "cause, dimension, value"),
+    {
+        **CTES,
+        "sgc": """select gvkey, fyear, sic1, 'growth' cause, least(greatest(ext_f/sale,1e-6::double),1-1e-6::double) p, case when truth_value > 0 then 1 else 0 end y from chg where sale > 0 and truth_value is not null
+ union all select gvkey, fyear, sic1, 'decline', 1-least(greatest(ext_f/sale,1e-6::double),1-1e-6::double), case when truth_value < 0 then 1 else 0 end from chg where sale > 0 and truth_value is not null""",
+    },
+)
+def subgroup_metrics_by_cause(spark, d):
+    """Two competing outcomes of the same reports, each with a probability of its own."""
+    rows = change_frame(spark, d).filter(F.col("truth_value").isNotNull()).select(
+        "gvkey", F.col("fyear").alias("year"), "sic1", S.positive_ratio("ext_f", "sale").alias("q"), "truth_value"
+    )
+    causes = F.array(
+        F.struct(F.lit("growth").alias("cause"), F.col("q").alias("p"), (F.col("truth_value") > 0).cast("int").alias("y")),
+        F.struct(F.lit("decline").alias("cause"), (1 - F.col("q")).alias("p"), (F.col("truth_value") < 0).cast("int").alias("y")),
+    )
+    out = U.subgroup_metrics(rows.select("gvkey", "year", "sic1", F.inline(causes)), "p", "y", groups=["cause"])
+    return out.withColumns({"roc_auc": r("roc_auc", 8), "brier_score": r("brier_score", 8)})
+
+
 @query(
     "utility_gate",
     """select * from (with c as (select l_returnflag scenario, cast(l_linestatus='F' as int) horizon_years, cast(year(l_shipdate) as int) fold, avg(l_discount)-0.049::double a, avg(l_tax)-0.04::double b from lineitem group by 1,2,3),
@@ -297,7 +321,13 @@ def panel_gate(spark, d):
 
 @query(
     "recomputed_differences",
-    "select 0::bigint only_left, 0::bigint only_right, 0::bigint diff_total_return, 0::bigint diff_has_delist",
+    """select count(*) filter (b.k is null) only_left, count(*) filter (a.k is null) only_right,
+ count(*) filter (a.k and b.k and (coalesce(abs(a.tr-b.tr) > 1e-12::double, false) or (a.tr is null) <> (b.tr is null))) diff_total_return,
+ count(*) filter (a.k and b.k and a.hd <> b.hd) diff_has_delist
+from (select permno, date, total_return tr, has_delist hd, true k from compounded) a
+full join (select m.permno, m.date, case when ret is not null and dlret is not null then ret+dlret+ret*dlret else coalesce(ret,dlret) end tr, x.permno is not null hd, true k
+ from months m left join (select permno, last_day(dlstdt) date, dlret from delistings) x on x.permno=m.permno and x.date=m.date) b on a.permno=b.permno and a.date=b.date""",
+    CTES,
 )
 def recomputed_differences(spark, d):
     """Exit returns recomputed from a formula of their own against the operator's output."""
