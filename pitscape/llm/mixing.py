@@ -112,18 +112,21 @@ def _taken(sizes: DataFrame) -> DataFrame:
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the mix takes at all, with ``times`` (1 or 2), the number of times it takes them.
 
-    A row of size 0 adds nothing to a mix and is left out.
+    A row of size 0 adds nothing to a mix and is left out. Other columns may have any name; one named ``times`` is replaced.
     """
-    flat = docs.withColumns({"mix_key": source_key(docs["source"]), "mix_h": document_hash()})
-    sizes = saved(flat.select(F.col("mix_key").alias("key"), F.col("mix_h").alias("h"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")))
+    places = [f"c{i}" for i in range(len(docs.columns))]
+    plain = docs.select("*", source_key(docs["source"]), document_hash()).toDF(*places, "mix_key", "mix_h")
+    text = F.col(places[docs.columns.index("text")])
+    sizes = saved(plain.select(F.col("mix_key").alias("key"), F.col("mix_h").alias("h"), F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size")))
     goal = saved(targets(sizes))
     over = F.col("target") > F.col("source_size")
     goal = goal.withColumns({"copies": over.cast("int"), "budget": F.when(over, F.col("target") - F.col("source_size")).otherwise(F.col("target"))})
     bars = thresholds(sizes, goal.select("key", "budget")).join(goal.select("key", "copies"), "key")
     bars = bars.select(F.col("key").alias("mix_key"), "bar", "copies")
     times = F.col("copies") + (F.col("mix_h") < F.col("bar")).cast("int")
-    taken = flat.join(bars, "mix_key").withColumn("times", times).where((F.col("times") > 0) & (F.regexp_count("text", F.lit(WORD)) > 0))
-    return taken.select(*[F.col(f"`{c}`") for c in docs.columns], "times")
+    taken = plain.join(bars, "mix_key").withColumn("times", times).where((F.col("times") > 0) & (F.regexp_count(text, F.lit(WORD)) > 0))
+    kept = [(p, c) for p, c in zip(places, docs.columns, strict=True) if c != "times"]
+    return taken.select(*[F.col(p).alias(c) for p, c in kept], "times")
 
 
 ORACLE = """

@@ -168,6 +168,17 @@ def test_mix_meets_targets(spark):
     assert mixing.mixture(table(spark, rows)).orderBy("doc_id").collect() == mixing.mixture(table(spark, rows).repartition(5)).orderBy("doc_id").collect()
 
 
+def test_mix_keeps_columns_named_like_its_own(spark):
+    rows = [(i, f"w{i} " * (1 + i % 7), "en", "ab"[i % 2], 5, "x", i, -i, "k", 9) for i in range(60)]
+    shape = "doc_id long, text string, lang string, source string, n_chars long, mix_key string, bar int, copies int, mix_h string, times int"
+    docs = spark.createDataFrame(rows, shape)
+    out = mixing.mixed_documents(docs)
+    taken = {r.doc_id: r.taken // r.size for r in mixing.mixture(docs).collect() if r.taken}
+    assert out.columns == docs.columns
+    assert {r.doc_id: r.times for r in out.collect()} == taken
+    assert all((r.mix_key, r.bar, r.copies, r.mix_h) == ("x", r.doc_id, -r.doc_id, "k") for r in out.collect())
+
+
 def test_archives_come_back(spark):
     fake = "WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
     rows = [(0, "http://a/", "<p>x</p>"), (1, None, None), (2, "http://b/WARC/1.1", ""), (3, "http://c/\r\nX: y", "<p>x</p>"), (4, "u", fake + "tail"), (5, "u", "é😀\r\n\r\n" + fake * 3), (6, "u", "z" * 300_000 + fake)]
