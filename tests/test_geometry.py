@@ -165,3 +165,23 @@ def test_survival_interval_reasons(spark):
     out = V.survival_intervals(events, exits, replace(DEFAULT))
     assert sorted(r["terminal_reason"] for r in out.collect()) == ["administrative_right_censor", "covariate_update", "merger", "performance_failure"]
     assert {r["difference"] for r in V.exit_reconciliation(out).collect()} == {0}
+
+
+def test_a_query_visits_few_cells(spark, monkeypatch):
+    """The rows that a search compares, queries times the cells they visit, stay a few times the queries."""
+    monkeypatch.setattr(X, "LEAF", 128)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(3000, 4)) * rng.lognormal(0, 1, size=(3000, 1))
+    ids = np.array([f"{i:04d}" for i in range(len(x))])
+    df = spark.createDataFrame([("a", i, [float(a) for a in v]) for i, v in zip(ids, x)], "g string, id string, v array<double>")
+    asked, search = [], X._search
+
+    def counted(refs, asks, k):
+        asked.append(asks.count())
+        return search(refs, asks, k)
+
+    monkeypatch.setattr(X, "_search", counted)
+    got = X.nearest(df, df, 5, True).toPandas().sort_values(["id", "rank"])
+    assert sum(asked) <= 12 * len(x)
+    brute = _brute(ids, x, 5)
+    assert {i: list(p["peer"]) for i, p in got.groupby("id")} == {i: [p for p, _ in brute[i]] for i in ids}
