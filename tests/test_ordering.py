@@ -143,3 +143,22 @@ def test_vif_of_independent_columns(spark):
     df = spark.createDataFrame(pd.DataFrame({"a": x[:, 0], "b": x[:, 1], "c": x[:, 0] + 0.1 * x[:, 1]}))
     out = E.variance_inflation(df, ["a", "b"], "s").toPandas()
     assert (out["vif"] < 1.05).all()
+
+
+def test_statistics_of_few_groups_write_no_rows(spark, monkeypatch):
+    """Where groups are few, what is written is a table of the groups, and the code counts decide which rows move."""
+    rng = np.random.default_rng(12)
+    x = np.concatenate([rng.lognormal(0, 3, 3000) * rng.choice([-1, 1], 3000), np.repeat([0.0, 2.5], 400)])
+    df = spark.createDataFrame([(f"g{i % 2}", float(a)) for i, a in enumerate(x)], "g string, v double")
+    written, cut = [], R.cut
+    monkeypatch.setattr(R, "cut", lambda frame: written.append(frame.count()) or cut(frame))
+    few = R.group_statistics(df, ["g"], "v").toPandas().set_index("g")
+    assert max(written) == 2
+    monkeypatch.setattr(R, "FEW_GROUPS", 1)  # the other way, for many groups
+    many = R.group_statistics(df, ["g"], "v").toPandas().set_index("g")
+    for i in range(2):
+        part = x[i::2]
+        want = {"n": len(part), "median": np.median(part), "lower": np.quantile(part, 0.01), "upper": np.quantile(part, 0.99),
+                "std": part.std(), "mad": np.median(np.abs(part - np.median(part)))}
+        for name, value in want.items():
+            assert few.loc[f"g{i}", name] == pytest.approx(value) == many.loc[f"g{i}", name]
