@@ -185,3 +185,11 @@ def test_a_query_visits_few_cells(spark, monkeypatch):
     assert sum(asked) <= 12 * len(x)
     brute = _brute(ids, x, 5)
     assert {i: list(p["peer"]) for i, p in got.groupby("id")} == {i: [p for p, _ in brute[i]] for i in ids}
+
+
+def test_rows_of_one_id_share_its_places(spark):
+    rows = [("a", f"{i % 20:02d}", [float(i % 20), 0.0]) for i in range(40)]  # every row twice
+    df = spark.createDataFrame(rows, "g string, id string, v array<double>")
+    got = X.nearest(df, df, 3, True).toPandas()
+    assert got.groupby("id").size().tolist() == [3] * 20
+    assert got[got["id"] == "00"].sort_values("rank")["peer"].tolist() == ["01", "01", "01"]
