@@ -118,7 +118,7 @@ def executed_positions(
     one_return = F.when(F.col("return_used") == F.col("__r1"), F.col("return_used")).otherwise(
         F.raise_error("one security-month has two returns").cast("double")
     )
-    joined = held.withColumn("return_used", one_return).join(calendar, at).join(lagged, ["permno", "holding_date"], "left")
+    joined = held.withColumn("return_used", one_return).join(F.broadcast(calendar), at).join(lagged, ["permno", "holding_date"], "left")
     target = F.col("__w") / F.col("active_cohorts")
     limit = F.greatest(F.coalesce("capacity_weight_limit", F.lit(0.0)), F.lit(0.0))
     short_ok = F.coalesce("short_available", F.lit(False))
@@ -147,7 +147,11 @@ def costed_months(positions: DataFrame, calendar: DataFrame, p: Params = DEFAULT
     group = [*STRATEGY, "delay_months"]
     following = F.lead("holding_date").over(W.partitionBy(*group).orderBy("holding_date"))
     cal = calendar.withColumn("__next", following)
-    held = positions.drop("rf").join(cal.select(*group, "holding_date", "__next"), [*group, "holding_date"])
+    # a position moves once, to its security; both its sides and the sums by month follow there
+    dealt = positions.select(*group, "holding_date", "permno", "actual_weight", "half_spread", "forced_exit").repartition(
+        int(positions.sparkSession.conf.get("spark.sql.shuffle.partitions")), "permno"
+    )
+    held = dealt.join(F.broadcast(cal.select(*group, "holding_date", "__next")), [*group, "holding_date"])
     sides = F.array(
         F.struct(F.col("holding_date").alias("m"), F.col("actual_weight").alias("d"), F.lit(True).alias("now"), F.col("half_spread").alias("sp"), F.lit(False).alias("forced")),
         F.struct(F.col("__next").alias("m"), (-F.col("actual_weight")).alias("d"), F.lit(False).alias("now"), F.col("half_spread").alias("sp"), F.col("forced_exit").alias("forced")),

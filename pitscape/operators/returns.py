@@ -15,6 +15,7 @@ from pitscape.functions.ordering import quantiles, with_row_number
 from pitscape.operators.describe import holm, newey_west_mean, normal_two_sided_p, spearman
 from pitscape.operators.inference import alpha_columns, hac_lines
 from pitscape.params import DEFAULT, Params
+from pitscape.session import cut
 
 STRATEGY = ["horizon_months", "signal", "weighting", "industry_neutral"]
 
@@ -25,21 +26,27 @@ def forward_paths(events: DataFrame, history: DataFrame, factors: DataFrame, p:
     After a valid exit the path earns the risk-free rate; a month without a usable
     return breaks it.  Months after the last factor row are kept, ``beyond_calendar`` and not
     valid; a gap inside the calendar is an error.  Path windows hold one row per holding month.
+
+    The months of a name meet its events as one map, which the calendar bounds, and stay with them: an event is
+    shuffled once, by its name and not yet unfolded. An event belongs to one name.
     """
     longest = max(p.return_horizons)
-    exploded = events.withColumn("holding_offset", F.explode(F.sequence(F.lit(lag), F.lit(longest)))).withColumn(
-        "holding_date", F.last_day(F.add_months(F.last_day("feature_date"), F.col("holding_offset")))
-    )
-    past = history.select(
-        "gvkey", F.col("date").alias("holding_date"), F.col("total_return").alias("ret_total"), "has_delist", "delist_return_missing"
+    month = history.filter(F.col("gvkey").isNotNull() & F.col("date").isNotNull()).repartition("gvkey").groupBy("gvkey", "date").agg(
+        F.collect_list(F.struct(F.col("total_return").alias("ret_total"), "has_delist", "delist_return_missing")).alias("__r")
     )
+    past = month.groupBy("gvkey").agg(F.map_from_entries(F.collect_list(F.struct("date", "__r"))).alias("__past"))
     rates = factors.select(F.col("date").alias("holding_date"), "rf")
     last = factors.agg(F.max("date").alias("__last"))  # one row
-    joined = exploded.join(past, ["gvkey", "holding_date"], "left").join(rates, "holding_date", "left").join(F.broadcast(last))
+    exploded = events.join(past, "gvkey", "left").withColumn("holding_offset", F.explode(F.sequence(F.lit(lag), F.lit(longest)))).withColumn(
+        "holding_date", F.last_day(F.add_months(F.last_day("feature_date"), F.col("holding_offset")))
+    )
+    known = exploded.withColumn("__r", F.try_element_at("__past", F.col("holding_date"))).drop("__past")
+    found = known.select("gvkey", "holding_date", *[c for c in known.columns if c not in ("gvkey", "holding_date", "__r")], F.inline_outer("__r"))
+    joined = found.join(F.broadcast(rates), "holding_date", "left").join(F.broadcast(last))
     beyond = F.coalesce(F.col("holding_date") > F.col("__last"), F.lit(True))
     missing_exit = F.coalesce("delist_return_missing", F.lit(False))
     valid_exit = F.coalesce("has_delist", F.lit(False)) & ~missing_exit & F.col("ret_total").isNotNull()
-    path = W.partitionBy("event_id").orderBy("holding_offset")
+    path = W.partitionBy("gvkey", "event_id").orderBy("holding_offset")
     before, upto = path.rowsBetween(W.unboundedPreceding, -1), path.rowsBetween(W.unboundedPreceding, 0)
     rf = F.coalesce("rf", F.raise_error(F.concat(F.lit("no factor row for "), F.col("holding_date").cast("string"))).cast("double"))
     out = (
@@ -104,22 +111,27 @@ def quantile_bin(row_number: Column, rows: Column, bins: int) -> Column:
     return F.greatest(F.lit(1), F.coalesce(raw, F.lit(1))).cast("int")
 
 
-def portfolio_sorts(targets: DataFrame, signals: Sequence[str], p: Params = DEFAULT) -> DataFrame:
-    """Every event's quantile and weight in each horizon x signal x neutrality x weighting cell."""
+def portfolio_sorts(targets: DataFrame, signals: Sequence[str], p: Params = DEFAULT, carried: Sequence[str] | None = None) -> DataFrame:
+    """Every event's quantile and weight in each horizon x signal x neutrality x weighting cell.
+
+    ``carried``: the columns of ``targets`` that come along with the keys, the industry and the cell (default: all); an event
+    is ranked twice in every horizon and signal, so that each column is moved many times.
+    """
     eligible = targets.filter(
         S.when_all(F.col("target_valid"), F.col("forward_excess_return").isNotNull(), F.col("market_cap_millions") > 0, F.col("sic1").isNotNull())
     )
     pairs = F.array(*[F.struct(F.lit(s).alias("signal"), F.col(s).cast("double").alias("signal_value")) for s in signals])
-    long = eligible.select("*", F.inline(pairs)).filter(F.col("signal_value").isNotNull())
     section = ["horizon_months", "signal", "feature_date"]
+    kept = ["*"] if carried is None else list(dict.fromkeys(["horizon_months", "feature_date", "event_id", "sic1", "market_cap_millions", *carried]))
+    long = eligible.select(*kept, F.inline(pairs)).filter(F.col("signal_value").isNotNull())
     wide_enough = long.groupBy(*section).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") >= p.min_cross_section)
-    long = long.join(wide_enough.drop("__n"), section, "left_semi")
+    long = long.join(F.broadcast(wide_enough.drop("__n")), section, "left_semi")
     modes = F.array(
         F.struct(F.lit(False).alias("industry_neutral"), F.lit("all").alias("__grp")),
         F.struct(F.lit(True).alias("industry_neutral"), F.col("sic1").cast("string").alias("__grp")),
     )
     both = long.select("*", F.inline(modes))
-    numbered = with_row_number(both, [*section, "industry_neutral", "__grp"], F.col("signal_value"), "event_id", "__rn", "__gn")
+    numbered = with_row_number(both, [*section, "industry_neutral", "__grp"], F.col("signal_value"), "event_id", "__rn", "__gn", few=True)
     ranked = numbered.filter(~F.col("industry_neutral") | (F.col("__gn") >= p.min_industry_group)).withColumn(
         "quantile", quantile_bin(F.col("__rn"), F.col("__gn"), p.quantiles)
     )
@@ -140,7 +152,7 @@ def leg_weights(df: DataFrame, leg: Sequence[str], base: str, industry: str, neu
     leg = list(leg)
     per_industry = df.groupBy(*leg, industry).agg(F.sum(base).alias("__ind"))
     per_leg = per_industry.groupBy(*leg).agg(F.sum("__ind").alias("__leg"), F.count(F.lit(1)).alias("__k"))
-    joined = df.join(per_industry.join(per_leg, leg), [*leg, industry])
+    joined = df.join(F.broadcast(per_industry.join(per_leg, leg)), [*leg, industry])
     plain = F.when(F.col("__leg") > 0, F.col(base) / F.col("__leg"))
     split = F.when(F.col("__ind") > 0, F.col(base) / F.col("__ind") / F.col("__k")).otherwise(0.0)
     return joined.withColumn("weight", F.when(F.col(neutral), split).otherwise(plain)).drop("__ind", "__leg", "__k")
@@ -183,10 +195,22 @@ def cohort_positions(assigned: DataFrame, paths: DataFrame, low: int = 1, high:
     An assignment without any path is an error, and so is a broken one, unless ``broken_path`` is "close": then
     months beyond the calendar are left out and the others come with ``closed`` from the first broken month on.
     Nothing that happens later decides whether a position is opened.
+
+    Where both sides name their security, assignments and months of an event meet in the partition of ``gvkey`` and are
+    unfolded there, so that sums by security follow without another shuffle.
     """
     high = F.col("horizon_months") if high is None else high
     columns = ["event_id", "holding_offset", "holding_date", "return_used", "path_valid_through_month", "cash_after_delist", "valid_delist_event", "rf", "beyond_calendar"]
-    joined = assigned.join(paths.select(*columns), "event_id", "left")
+    if "gvkey" in assigned.columns and "gvkey" in paths.columns:
+        event = ["gvkey", "event_id"]
+        rest, step = [c for c in assigned.columns if c not in event], columns[1:]
+        sides = assigned.select(*event, F.struct(*rest).alias("__a")).unionByName(paths.select(*event, F.struct(*step).alias("__s")), True)
+        # by number: the partitions grow tenfold when unfolded, so small ones are not put together
+        dealt = sides.repartition(int(assigned.sparkSession.conf.get("spark.sql.shuffle.partitions")), "gvkey")
+        met = dealt.groupBy(*event).agg(F.collect_list("__a").alias("__a"), F.collect_list("__s").alias("__s"))
+        joined = met.select(*event, F.inline("__a"), "__s").select(*event, *rest, F.inline_outer("__s"))
+    else:
+        joined = assigned.join(paths.select(*columns), "event_id", "left")
     offset = F.coalesce("holding_offset", F.raise_error("an assignment has no return path").cast("int"))
     joined = joined.withColumn("holding_offset", offset).filter((F.col("holding_offset") >= low) & (F.col("holding_offset") <= high))
     broken = F.col("return_used").isNull() | ~F.col("path_valid_through_month")
@@ -209,23 +233,25 @@ def monthly_portfolios(positions: DataFrame) -> DataFrame:
         F.avg(F.col("long") - F.col("short")).alias("long_short_return"), F.count(F.lit(1)).alias("active_cohorts"),
     )
     signed = F.when(F.col("leg") == "long", F.col("weight")).otherwise(-F.col("weight"))
+    calendar = cut(calendar)  # a row per strategy and month
     names = positions.groupBy(*STRATEGY, "holding_date", "gvkey").agg(F.sum(signed).alias("w")).join(
-        calendar.select(*STRATEGY, "holding_date", "active_cohorts"), [*STRATEGY, "holding_date"]
+        F.broadcast(calendar.select(*STRATEGY, "holding_date", "active_cohorts")), [*STRATEGY, "holding_date"]
     )
-    turnover = weight_turnover(names.withColumn("w", F.col("w") / F.col("active_cohorts")), STRATEGY, "holding_date", "gvkey", "w")
+    months = calendar.select(*STRATEGY, "holding_date")
+    turnover = weight_turnover(names.withColumn("w", F.col("w") / F.col("active_cohorts")), STRATEGY, "holding_date", "gvkey", "w", months)
     return calendar.join(turnover, [*STRATEGY, "holding_date"])
 
 
-def weight_turnover(names: DataFrame, strategy: Sequence[str], month: str, name: str, weight: str) -> DataFrame:
-    """Half the absolute weight change against the previous month present.
+def weight_turnover(names: DataFrame, strategy: Sequence[str], month: str, name: str, weight: str, months: DataFrame | None = None) -> DataFrame:
+    """Half the absolute weight change against the previous month present (``months``: those of each strategy, if known).
 
     Each weight counts positive in its month and negative in the strategy's next one,
     so entering and leaving names need no outer join.
     """
     strategy = list(strategy)
-    months = names.select(*strategy, month).distinct()
+    months = names.select(*strategy, month).distinct() if months is None else months
     following = F.lead(month).over(W.partitionBy(*strategy).orderBy(month))
-    held = names.join(months.withColumn("__next", following), [*strategy, month])
+    held = names.join(F.broadcast(months.withColumn("__next", following)), [*strategy, month])
     sides = F.array(
         F.struct(F.col(month).alias("m"), F.col(weight).alias("d")), F.struct(F.col("__next").alias("m"), (-F.col(weight)).alias("d"))
     )

@@ -8,10 +8,11 @@ from pitscape.operators import costs as K
 from pitscape.operators import describe as E
 from pitscape.operators import panel as P
 from pitscape.operators import returns as N
+from pitscape.params import DEFAULT
 from pitscape.plans import oracle_parts as Q
 from pitscape.plans.panel_queries import CTES as PANEL
 from pitscape.plans.registry import query, r
-from pitscape.session import cut
+from pitscape.session import cut, stored
 from pitscape.sources import derived as D
 
 SIGNALS = ["migration_surprise", "viability_velocity", "historical_success_density"]
@@ -94,18 +95,21 @@ def history(spark, d):
     return out.withColumn("gvkey", F.col("permno").cast("string"))
 
 
-def paths_frame(spark, d):
+def paths_frame(spark, d, months=None):
     """Holding paths, written once for targets, portfolios and costs."""
-    months = cut(history(spark, d))
+    months = stored(history(spark, d)) if months is None else months
     events = D.signal_events(spark, d, months)
-    return cut(N.forward_paths(events, months, D.factors(spark, d)))
+    return stored(N.forward_paths(events, months, cut(D.factors(spark, d))))
 
 
 CARRIED = ["gvkey", "permno", "feature_date", "fold", "sic1", "market_cap_millions", *SIGNALS]
 
 
-def sorts_frame(spark, d, paths):
-    return cut(N.portfolio_sorts(N.forward_targets(paths, CARRIED), SIGNALS))
+RETURNS = ["fold", "forward_total_return", "forward_excess_return"]
+
+
+def sorts_frame(spark, d, paths, carried=("gvkey", "permno", *RETURNS)):
+    return N.portfolio_sorts(N.forward_targets(paths, CARRIED), SIGNALS, carried=carried)
 
 
 @query(
@@ -114,7 +118,7 @@ def sorts_frame(spark, d, paths):
     CTES,
 )
 def forward_paths(spark, d):
-    months = cut(history(spark, d))
+    months = stored(history(spark, d))
     events = D.signal_events(spark, d, months)
     return N.forward_paths(events, months, D.factors(spark, d)).select(
         "event_id", "holding_offset", "holding_date", "valid_delist_event", "cash_after_delist", "path_valid_through_month",
@@ -184,8 +188,8 @@ def cohort_spreads(spark, d):
 
 def monthly_frame(spark, d):
     paths = paths_frame(spark, d)
-    positions = cut(N.cohort_positions(N.assignments(sorts_frame(spark, d, paths)), paths))
-    return N.monthly_portfolios(positions)
+    legs = N.assignments(sorts_frame(spark, d, paths, ["gvkey"])).select(*N.STRATEGY, "event_id", "gvkey", "feature_date", "leg", "weight")
+    return N.monthly_portfolios(N.cohort_positions(stored(legs), paths))
 
 
 @query(
@@ -277,15 +281,18 @@ def capacity_diagnostics(spark, d):
 
 
 def costed_frame(spark, d, signals=SIGNALS):
-    paths = paths_frame(spark, d)
-    months = cut(D.security_months(spark, d))
-    sorts = cut(N.portfolio_sorts(N.forward_targets(paths, CARRIED), list(signals)))
-    assigned = cut(K.cost_assignments(N.assignments(sorts), months))
+    months = stored(D.security_months(spark, d))
+    past = P.compound_exit_returns(months, D.delistings(spark, d)).withColumn("gvkey", F.col("permno").cast("string"))
+    paths = paths_frame(spark, d, stored(past))
+    # costs are those of the primary horizon, and each horizon is sorted by itself
+    targets = N.forward_targets(paths, CARRIED).filter(F.col("horizon_months") == DEFAULT.primary_return_horizon)
+    sorts = N.portfolio_sorts(targets, list(signals), carried=["gvkey", "permno"])
+    assigned = stored(K.cost_assignments(N.assignments(sorts), months))
     lagged = K.lagged_liquidity(months)
     p0, c0 = K.executed_positions(assigned, paths, lagged, 0)
     # a late entry may leave the calendar or lose its returns: it is closed then, and opened all the same
     p1, c1 = K.executed_positions(assigned, paths, lagged, 1, broken_path="close")
-    return cut(p0.unionByName(p1)), cut(c0.unionByName(c1))
+    return stored(p0.unionByName(p1)), cut(c0.unionByName(c1))
 
 
 @query(
