@@ -303,10 +303,17 @@ def panel_stages(p: Params = DEFAULT) -> dict[str, Column]:
 
 def firm_month_panel(
     months: DataFrame, exits: DataFrame, links: DataFrame, reports: DataFrame, filings: DataFrame | None,
-    p: Params = DEFAULT, filtered: bool = True,
+    p: Params = DEFAULT, filtered: bool = True, columns: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Security-months joined to their firm and to the latest report known at the time."""
+    """Security-months joined to their firm and to the latest report known at the time.
+
+    ``columns``: those of the report that come along with its key, dates and running number (default: all); the as-of join carries
+    each of them with every day. Of reports that agree in key and dates the one with the larger columns counts.
+    """
     known = report_history(report_availability(reports, filings, p.fallback_days))
+    if columns is not None:
+        wanted = {*REPORT_KEY, "formation_date", "reporting_history", *columns}
+        known = known.select(*[c for c in known.columns if c in wanted])
     universe = apply_universe(compound_exit_returns(months, exits), p)
     linked = universe.join(map_links(universe, links, p), ["permno", "date"])
     values = [c for c in known.columns if c != "gvkey" and c not in linked.columns]
