@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from pitscape.session import checkpoint_folder, cut
 
-__all__ = ["cut", "saved", "columns", "Words", "chunks", "mix", "doc_sets", "components", "packed_text", "unpack", "tasks_for"]
+__all__ = ["cut", "saved", "columns", "Words", "chunks", "mix", "doc_sets", "components", "packed_text", "unpack", "unpacked", "release", "tasks_for"]
 
 #: Text bytes that a task holds as arrays at a time; longer single texts are still taken whole.
 CHUNK = 1_000_000
@@ -170,6 +171,26 @@ def unpack(values: Iterable) -> list[bytes]:
     return [read.decompress(v.as_py() if hasattr(v, "as_py") else v) for v in values]
 
 
+def unpacked(batch: pa.RecordBatch, column: int, limit: int = CHUNK // 4) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Slices of the batch with about ``limit`` bytes of unpacked text each, and the texts of ``column``."""
+    read = zstandard.ZstdDecompressor()
+    begin, size, held = 0, 0, []
+    for i, value in enumerate(batch.column(column)):
+        held.append(read.decompress(value.as_py()))
+        size += len(held[-1])
+        if size >= limit:
+            yield batch.slice(begin, i + 1 - begin), held
+            begin, size, held = i + 1, 0, []
+    if held:
+        yield batch.slice(begin), held
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffles of steps that are over; it only hears of them when the driver collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 # --- connected components -------------------------------------------------------------------
 
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pitscape.llm.common import chunks, columns, components, doc_sets, mix, packed_text, saved, small_batches, tasks_for, unpack
+from pitscape.llm.common import CHUNK, chunks, columns, components, doc_sets, mix, packed_text, release, saved, small_batches, tasks_for, unpacked
 
 WIDTH = 5
 BANDS, ROWS = 6, 3
@@ -50,7 +50,7 @@ def _linked(common: int, n: int, m: int) -> bool:
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part, texts in chunks(batches, "text"):
+    for part, texts in chunks(batches, "text", CHUNK // 4):
         sets = doc_sets(texts, WIDTH)
         n = np.array([len(x) for x in sets], np.int64)
         some = np.flatnonzero(n)
@@ -81,10 +81,9 @@ def _compare_with_leader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
     """Rows in the order of (leader, salt, follower last): links of followers with their leader."""
     key, own = None, None
     for batch in batches:
-        for begin in range(0, batch.num_rows, 256):
-            part = batch.slice(begin, 256)
+        for part, texts in unpacked(batch, 4):
             lead, salt, ids = (part.column(k).to_pylist() for k in range(3))
-            sets = doc_sets(unpack(part.column(4)), WIDTH)
+            sets = doc_sets(texts, WIDTH)
             out = []
             for i, s in enumerate(sets):
                 if ids[i] == lead[i]:
@@ -105,6 +104,7 @@ def star_links(docs: DataFrame, reps: DataFrame) -> DataFrame:
     follower = pairs.join(shares, "lead").select("lead", F.pmod(F.xxhash64("doc_id"), F.col("shares")).cast("int").alias("salt"), "doc_id", F.lit(1).alias("turn"))
     leader = shares.select("lead", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("salt"), F.col("lead").alias("doc_id"), F.lit(0).alias("turn"))
     wanted = saved(follower.union(leader))
+    release(docs.sparkSession)
     rows = wanted.join(packed_text(docs), "doc_id").select("lead", "salt", "doc_id", "turn", "packed")
     tasks = tasks_for(docs.sparkSession, wanted.count(), 20_000)
     return rows.repartition(tasks, "lead", "salt").sortWithinPartitions("lead", "salt", "turn").mapInArrow(_compare_with_leader, "a long, b long")
@@ -255,11 +255,10 @@ def open_classes(docs: DataFrame, grouped: DataFrame) -> DataFrame:
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = _Prefixes(buckets)
         for batch in batches:
-            for begin in range(0, batch.num_rows, 512):
-                part = batch.slice(begin, 512)
+            for part, texts in unpacked(batch, 3):
                 ids, groups, members = (part.column(k).to_pylist() for k in range(3))
-                for d, g, m, s in zip(ids, groups, members, doc_sets(unpack(part.column(3)), WIDTH), strict=True):
-                    made.add(s[: prefix_size(len(s))], d, g, m > GIANT)
+                for d, g, m, s in zip(ids, groups, members, doc_sets(texts, WIDTH), strict=True):
+                    made.add(s[: prefix_size(len(s))].copy(), d, g, m > GIANT)
                 if made.held >= FLUSH:
                     yield made.rows()
         if made.held:
@@ -278,9 +277,8 @@ def open_classes(docs: DataFrame, grouped: DataFrame) -> DataFrame:
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for begin in range(0, batch.num_rows, 256):
-            part = batch.slice(begin, 256)
-            sets = doc_sets(unpack(part.column(2)), WIDTH)
+        for part, texts in unpacked(batch, 2):
+            sets = doc_sets(texts, WIDTH)
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["doc_id", "group", "tokens"])
 
 
@@ -341,6 +339,7 @@ def matrix_links(docs: DataFrame, may: DataFrame) -> DataFrame:
     held = held.where(4 * F.size("t") >= 3 * F.col("n"))
     plain = F.transform(F.array_sort("t"), lambda x: x["token"])
     held = saved(held.select("doc_id", "group", "n", plain.alias("tokens"), F.array_min(F.transform("t", lambda x: F.xxhash64(x["token"]))).alias("key")))
+    release(docs.sparkSession)
     # similar classes share the least hash with the probability of their similarity; blocks are bounded in members and tokens
     load = held.groupBy("key").agg(F.ceil(F.greatest(F.count("*") / F.lit(BLOCK), F.sum(F.size("tokens")) / F.lit(BLOCK_TOKENS))).alias("shares"))
     row = saved(held.join(load, "key").withColumn("block", F.xxhash64("key", F.pmod(F.xxhash64("doc_id"), "shares"))).select("doc_id", "group", "n", "tokens", "block"))
@@ -373,12 +372,15 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     member = saved(usable.select("doc_id", "n", "low", "high").distinct().join(classes, ["n", "low", "high"]).select("doc_id", "rep"))
     reps = saved(usable.join(member.where("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
     links = saved(star_links(docs, reps).distinct())
+    release(docs.sparkSession)
     group = components(links)
     grouped = reps.select("doc_id", "n").join(group.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", "n", F.coalesce("component", "doc_id").alias("group"))
     sizes = grouped.groupBy("group").agg(F.count("*").alias("members"))
     grouped = saved(grouped.join(sizes, "group").select("doc_id", "n", "group", "members"))
     may = saved(open_classes(docs, grouped))
+    release(docs.sparkSession)
     more = saved(matrix_links(docs, may))
+    release(docs.sparkSession)
     everything = links.union(more).union(member.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
     final = components(everything).withColumnRenamed("id", "of")
     out = own.select("doc_id", "n").join(final, F.col("doc_id") == F.col("of"), "left")
