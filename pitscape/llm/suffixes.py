@@ -38,7 +38,7 @@ LENGTH, ANCHOR, STEP = 100, 32, 8
 #: Different entries of one bucket in a batch beyond which the batch passes its runs on directly.
 MANY = 2
 #: Entries held before a batch is dealt out; text bytes looked at at a time.
-FLUSH, CHUNK = 200_000, 700_000
+FLUSH, CHUNK = 200_000, 250_000
 _U = np.uint64
 _BASE_INVERSE = _U(pow(0x9E3779B97F4A7C15, -1, 2**64))
 _PLACE = np.random.default_rng(11).integers(1, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
@@ -95,13 +95,14 @@ def _windows_of_text(batches: Iterator[pa.RecordBatch], column: int, before: int
     """Texts as one buffer after the other: the batch, the rows, where each row's bytes begin and end in the buffer, and from which byte of its text on.
 
     A text of more than ``CHUNK`` bytes comes as several windows, each with ``before`` bytes more in front and ``behind`` bytes more at the end,
-    so that what is held does not grow with the text.
+    so that what is held does not grow with the text. A string column is read as it is, a binary one unpacked.
     """
+    read = lambda v: (v.as_buffer().to_pybytes() if v.is_valid else b"") if pa.types.is_string(v.type) or pa.types.is_large_string(v.type) else unpack([v])[0]
     pack = lambda held: (np.frombuffer(b"".join(held), np.uint8), np.concatenate([[0], np.cumsum([len(h) for h in held], dtype=np.int64)]))
     for batch in batches:
         rows, held, size = [], [], 0
         for i in range(batch.num_rows):
-            text = unpack([batch.column(column)[i]])[0]
+            text = read(batch.column(column)[i])
             if len(text) > CHUNK:
                 for begin in range(0, len(text), CHUNK):
                     low = max(0, begin - before)
@@ -345,7 +346,7 @@ def _explode_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             yield pa.RecordBatch.from_arrays([pa.array(w["class"]), pa.array(doc), pa.array(w["start"].astype(np.int64))], ["class", "doc_id", "start"])
 
 
-def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _finish(batches: Iterator[pa.RecordBatch], with_kept: bool = True) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for begin in range(0, batch.num_rows, 128):
             part = batch.slice(begin, 128)
@@ -360,9 +361,9 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 new = np.flatnonzero(np.concatenate([[True], begin_at[1:] > end_at[:-1]])) if len(order) else np.zeros(0, np.int64)
                 span_from, span_to = begin_at[new].tolist(), end_at[np.append(new[1:], len(order)) - 1].tolist() if len(order) else []
                 kept = b"".join(text[a:b] for a, b in zip([0, *span_to], [*span_from, len(text)], strict=True))
-                out.append((doc, len(text), len(text) - len(kept), len(span_from), hashlib.sha256(kept).hexdigest(), kept))
-            types = [pa.int64()] * 4 + [pa.string(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+                out.append((doc, len(text), len(text) - len(kept), len(span_from), hashlib.sha256(kept).hexdigest(), *([kept] if with_kept else [])))
+            types = [pa.int64()] * 4 + [pa.string()] + [pa.binary()] * with_kept
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: len(types)])
 
 
 def deduplicated(docs: DataFrame, with_kept: bool = True) -> DataFrame:
@@ -371,7 +372,8 @@ def deduplicated(docs: DataFrame, with_kept: bool = True) -> DataFrame:
     packed = packed_text(docs)
     total = columns(docs, "text").agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0
     parts = tasks_for(spark, total, 40_000_000)
-    first = packed.mapInArrow(_anchor_entries(4 * parts), _PACKED)
+    # texts as they are, since a task that packs and reads them again keeps two Python processes
+    first = columns(docs, "doc_id", "text").where("doc_id is not null").mapInArrow(_anchor_entries(4 * parts), _PACKED)
     first = saved(first.repartitionById(4 * parts, F.col("part").cast("int")).mapInArrow(_resolve(False), _OUT))
     look = first.where("open is not null").groupBy("doc_id").agg(F.collect_list("open").alias("open"))
     second = packed.join(look, "doc_id").select("doc_id", "packed", "open").mapInArrow(_slice_entries(4 * parts), _PACKED)
@@ -384,9 +386,12 @@ def deduplicated(docs: DataFrame, with_kept: bool = True) -> DataFrame:
     whole = whole.groupBy("doc_id").agg(F.collect_list("repeats").alias("repeats"))
     gone = whole.join(late, "doc_id", "full")
     out = packed.join(gone, "doc_id", "left").select("doc_id", "packed", "repeats", "starts")
-    out = out.mapInArrow(_finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    digests = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    if with_kept:
+        out = out.mapInArrow(_finish, f"{digests}, kept binary")
+    else:  # the bytes kept never leave Python
+        out = out.mapInArrow(lambda batches: _finish(batches, False), digests)
     text = F.coalesce("text", F.lit("")).cast("binary")
     loose = columns(docs, "doc_id", "text").where("doc_id is null")
-    loose = loose.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(text, 256).alias("kept_sha256"), text.alias("kept"))
-    out = out.union(loose)
-    return out if with_kept else out.drop("kept")
+    loose = loose.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(text, 256).alias("kept_sha256"), *([text.alias("kept")] if with_kept else []))
+    return out.union(loose)

@@ -120,6 +120,18 @@ def test_long_texts_come_in_windows(spark, monkeypatch):
     assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got} == want
 
 
+def test_digests_alone_leave_the_kept_bytes_in_python(spark):
+    # the digests need one Python process a task in the first step, and no kept text goes back to the JVM
+    docs = table(spark, corpus(3, 60) + [(501, None, "a"), (502, "é" * 300, "a")])
+    out = suffixes.deduplicated(docs, with_kept=False)
+    assert "kept#" not in out._jdf.queryExecution().analyzed().toString()
+    assert sorted(map(tuple, out.collect())) == sorted(tuple(r)[:5] for r in suffixes.deduplicated(docs).collect())
+    raw = docs.select("doc_id", "text").toArrow().to_batches()
+    packed = suffixes.packed_text(docs).toArrow().to_batches()
+    entries = lambda batches: sorted((r["entries"] or b"") + (r["repeats"] or b"") for b in suffixes._anchor_entries(1)(iter(batches)) for r in b.to_pylist())
+    assert entries(raw) == entries(packed)
+
+
 def test_negative_ids_keep_their_prefix_tokens(spark):
     # near copies in groups of their own: only the exchange of the prefixes finds that they share tokens
     rows = [(i, " ".join(f"w{k % 40}{k // 2 + i // 2 * 50}" for k in range(80)) + f" end{i}", "a") for i in range(-8, 8)]
