@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -12,7 +11,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitscape.session import checkpoint_folder, cut
+from pitscape.session import checkpoint_folder, cut, release
 
 __all__ = ["cut", "saved", "columns", "Words", "chunks", "mix", "doc_sets", "components", "packed_text", "unpack", "unpacked", "release", "tasks_for"]
 
@@ -185,12 +184,6 @@ def unpacked(batch: pa.RecordBatch, column: int, limit: int = CHUNK // 4) -> Ite
         yield batch.slice(begin), held
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffles of steps that are over; it only hears of them when the driver collects garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 # --- connected components -------------------------------------------------------------------
 
 

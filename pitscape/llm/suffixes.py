@@ -38,7 +38,7 @@ LENGTH, ANCHOR, STEP = 100, 32, 8
 #: Different entries of one bucket in a batch beyond which the batch passes its runs on directly.
 MANY = 2
 #: Entries held before a batch is dealt out; text bytes looked at at a time.
-FLUSH, CHUNK = 200_000, 250_000
+FLUSH, CHUNK = 100_000, 250_000
 _U = np.uint64
 _BASE_INVERSE = _U(pow(0x9E3779B97F4A7C15, -1, 2**64))
 _PLACE = np.random.default_rng(11).integers(1, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)

@@ -3,6 +3,8 @@
 A replicate draws clusters with return, so a row counts as often as its cluster was drawn. No row is ever copied: each carries the vector of
 its multiplicities, one entry a replicate. Slopes and clustered errors need two sums over clusters. Rank correlations need each variable sorted
 once: one running sum of the vectors along the sorted rows gives a row's average rank in every replicate at the same time.
+
+Rows that are sorted carry whole numbers of few bytes: multiplicities, and ranks as what they exceed the start of their range by, in halves.
 """
 
 from __future__ import annotations
@@ -14,10 +16,11 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, IntegerType, StructField, StructType
 
 from pitscape.operators.describe import student_two_sided
 from pitscape.operators.ladder import summed
-from pitscape.session import cut
+from pitscape.session import cut, release, stored
 
 #: Rows of a sorted partition, which a task holds with a few vectors each.
 ROWS = 8_000
@@ -25,10 +28,24 @@ MOMENTS = ["n", "so", "si", "se", "soo", "sii", "soe", "sie", "soi"]
 
 
 def _weights(taken: Sequence, replicates: int) -> np.ndarray:
-    w = np.zeros(replicates)
-    for t in taken:
-        w[t["replicate"]] = t["count"]
-    return w
+    return np.bincount(np.asarray(taken, np.int64), minlength=replicates).astype(float)
+
+
+def _small(values: np.ndarray) -> bytes:
+    """A vector of whole numbers, none negative, in the fewest of 1, 2, 4 or (as doubles) 8 bytes each that hold all of them."""
+    top = values.max(initial=0)
+    kind = np.uint8 if top < 2**8 else np.uint16 if top < 2**16 else np.uint32 if top < 2**32 else float
+    return values.astype(kind).tobytes()
+
+
+def _wide(packed: Sequence[bytes], replicates: int) -> np.ndarray:
+    """Packed vectors as a matrix of doubles; their length tells the bytes a number."""
+    out, kinds = np.empty((len(packed), replicates)), {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: float}
+    size = np.array([len(p) for p in packed]) // replicates
+    for n in np.unique(size):
+        at = np.flatnonzero(size == n)
+        out[at] = np.frombuffer(b"".join([packed[i] for i in at]), kinds[int(n)]).reshape(-1, replicates)
+    return out
 
 
 def drawn(numbered: DataFrame, clusters: int, replicates: int, seed: int) -> DataFrame:
@@ -39,14 +56,21 @@ def drawn(numbered: DataFrame, clusters: int, replicates: int, seed: int) -> Dat
     draws = numbered.sparkSession.range(replicates * clusters).select(
         F.floor(F.col("id") / clusters).cast("int").alias("replicate"), F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(clusters)).alias("idx")
     )
-    taken = draws.groupBy("idx", "replicate").count().groupBy("idx").agg(F.collect_list(F.struct("replicate", "count")).alias("taken"))  # a replicate once
+    taken = draws.repartition("idx").groupBy("idx").agg(F.collect_list("replicate").alias("taken"))  # about a draw a replicate
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             w = [_weights(t, replicates).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(w, pa.binary())], ["idx", "w"])
 
-    return cut(numbered.join(taken.mapInArrow(pack, "idx long, w binary"), "idx"))
+    return stored(numbered.join(taken.mapInArrow(pack, "idx long, w binary"), "idx"))
+
+
+def _narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Multiplicities in the last column as small numbers."""
+    for batch in batches:
+        w = [_small(np.frombuffer(v)) for v in batch.column(batch.num_columns - 1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(w, pa.binary())], batch.schema.names)
 
 
 def _line(kind: str, m: float, fraction: float, s: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -131,32 +155,36 @@ class _Sorted:
 
     def ranks(self, v: np.ndarray, w: np.ndarray) -> np.ndarray:
         """Average rank of each row in each replicate, less the replicate's mean rank; of this task's range."""
-        below, tied, later = self.edges[TaskContext.get().partitionId()]
+        return self.edges[TaskContext.get().partitionId()][0] + self.above(v, w) / 2 - (self.total + 1) / 2
+
+    def above(self, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Twice what each row's average rank in each replicate exceeds the weight before the range by: whole numbers."""
+        _, tied, later = self.edges[TaskContext.get().partitionId()]
         new = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
         size = np.add.reduceat(w, new, axis=0)
-        start = below + np.concatenate([np.zeros((1, w.shape[1])), np.cumsum(size, axis=0)[:-1]])
+        start = np.concatenate([np.zeros((1, w.shape[1])), np.cumsum(size, axis=0)[:-1]])
         start[1:] += tied
         size[0] += tied
         size[-1] += later
-        rank = start + (size + 1) / 2 - (self.total + 1) / 2
-        return np.repeat(rank, np.diff(np.append(new, len(v))), axis=0)
+        return np.repeat(2 * start + size + 1, np.diff(np.append(new, len(v))), axis=0)
 
 
 def _held(batches: Iterator[pa.RecordBatch], columns: Sequence[int], replicates: int) -> list[np.ndarray]:
-    """Columns of a whole range: doubles as they are, packed vectors as matrices."""
+    """Columns of a whole range: numbers as they are, packed vectors as matrices."""
     parts: list[list] = [[] for _ in columns]
     for batch in batches:
         for held, k in zip(parts, columns, strict=True):
             column = batch.column(k)
             if pa.types.is_binary(column.type):
-                held.append(np.frombuffer(b"".join(column.to_pylist())).reshape(-1, replicates))
+                held.append(_wide(column.to_pylist(), replicates))
             else:
                 held.append(column.to_numpy(zero_copy_only=False))
     return [np.concatenate(p) if p else np.zeros(0) for p in parts]
 
 
-def _with_ranks(rows: DataFrame, value: Column, name: str, parts: int, replicates: int) -> DataFrame:
-    """``rows`` with a packed vector of centred ranks of ``value``."""
+def _with_ranks(rows: DataFrame, value: Column, name: str, parts: int, replicates: int) -> tuple[DataFrame, dict[int, np.ndarray]]:
+    """``rows`` with a packed vector ``name`` of the ranks of ``value`` above the start of the range ``name``_at, and for each range what to add to
+    half of it for the rank less the replicate's mean rank."""
     ordered = _Sorted(rows, value, parts, replicates)
     v_at, w_at, keep = ordered.at("v"), ordered.at("w"), len(ordered.columns)
     shared = rows.sparkSession.sparkContext.broadcast((ordered.edges, ordered.total))
@@ -168,41 +196,53 @@ def _with_ranks(rows: DataFrame, value: Column, name: str, parts: int, replicate
         v, w = _held(iter(held), (v_at, w_at), replicates)
         state = _Sorted.__new__(_Sorted)
         state.edges, state.total = shared.value
-        rank, begin = state.ranks(v, w), 0
+        above, begin, part = state.above(v, w), 0, TaskContext.get().partitionId()
         for batch in held:
-            own = rank[begin : begin + batch.num_rows]
+            own = above[begin : begin + batch.num_rows]
             begin += batch.num_rows
-            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(keep)], pa.array([r.tobytes() for r in own], pa.binary())], [*ordered_columns, name])
+            added = [pa.array([_small(r) for r in own], pa.binary()), pa.array(np.full(len(own), part, np.int32))]
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(keep)], *added], [*ordered_columns, name, f"{name}_at"])
 
     ordered_columns = list(ordered.columns)
-    return ordered.rows.mapInArrow(run, rows.schema.add(name, "binary"))
+    schema = StructType([*rows.schema.fields, StructField(name, BinaryType()), StructField(f"{name}_at", IntegerType())])
+    starts = {part: below - (ordered.total + 1) / 2 for part, (below, _, _) in ordered.edges.items()}
+    return ordered.rows.mapInArrow(run, schema), starts
 
 
 def rank_correlations(rows: DataFrame, multipliers: Sequence[float], fraction: float, replicates: int) -> np.ndarray:
     """Spearman of (oracle, observable) with the outcome at each multiplier, in each replicate: array (2, multipliers, replicates).
 
     ``rows``: o, i, e and w. Two sorts rank o and i; one sort per multiplier ranks the outcome and sums the products as it goes.
+    The sorted rows of a multiplier are dropped before the next.
     """
     parts = max(1, -(-rows.count() // ROWS))
-    ranked = _with_ranks(rows.select("o", "i", "e", "w"), F.col("o"), "ro", parts, replicates)
-    ranked = cut(_with_ranks(ranked, F.col("i"), "ri", parts, replicates))
+    ranked, at_o = _with_ranks(rows.select("o", "i", "e", "w"), F.col("o"), "ro", parts, replicates)
+    ranked, at_i = _with_ranks(ranked, F.col("i"), "ri", parts, replicates)
+    ranked = stored(ranked.drop("o"))
+    starts = rows.sparkSession.sparkContext.broadcast((at_o, at_i))
     out = np.full((2, len(multipliers), replicates), np.nan)
     for k, m in enumerate(multipliers):
+        release(rows.sparkSession)
         ordered = _Sorted(ranked, F.col("e") + F.lit(fraction * float(m)) * F.col("i"), parts, replicates)
-        at = [ordered.at(c) for c in ("v", "w", "ro", "ri")]
+        at = [ordered.at(c) for c in ("v", "w", "ro", "ro_at", "ri", "ri_at")]
         shared = rows.sparkSession.sparkContext.broadcast((ordered.edges, ordered.total))
 
         def products(batches: Iterator[pa.RecordBatch], at=at, shared=shared) -> Iterator[pa.RecordBatch]:
-            v, w, ro, ri = _held(batches, at, replicates)
+            v, w, ro, ro_at, ri, ri_at = _held(batches, at, replicates)
             if len(v):
                 state = _Sorted.__new__(_Sorted)
                 state.edges, state.total = shared.value
                 ry = state.ranks(v, w)
+                for rank, where, begin in ((ro, ro_at, starts.value[0]), (ri, ri_at, starts.value[1])):
+                    rank /= 2
+                    for part in np.unique(where):
+                        rank[where == part] += begin[int(part)]
                 sums = [(w * a * b).sum(axis=0) for a, b in ((ri, ry), (ro, ry), (ri, ri), (ro, ro), (ry, ry))]
                 yield pa.RecordBatch.from_arrays([pa.array([np.concatenate(sums).tobytes()], pa.binary())], ["sums"])
 
         parts_of = ordered.rows.mapInArrow(products, "sums binary")
         total = summed(parts_of, parts > 16, lambda row: {0: np.frombuffer(row[0])})[0].reshape(5, replicates)
+        del ordered, parts_of
         with np.errstate(divide="ignore", invalid="ignore"):
             out[0, k] = total[0] / np.sqrt(total[2] * total[4])
             out[1, k] = total[1] / np.sqrt(total[3] * total[4])
@@ -218,7 +258,8 @@ def bootstrap(base: DataFrame, numbered: DataFrame, clusters: int, multipliers:
     taken = drawn(numbered, clusters, replicates, seed)
     lines = [("null", 0.0), *[(k, m) for m in multipliers for k in ("oracle", "observable")]]
     slope, t = slopes(taken, lines, fraction, replicates, clusters)
-    rows = cut(base.join(taken.select("cluster", "w"), "cluster").select("o", "i", "e", "w"))
+    narrow = taken.select("cluster", "w").mapInArrow(_narrow, taken.select("cluster", "w").schema)
+    rows = stored(base.join(narrow, "cluster").select("o", "i", "e", "w"))
     ic = rank_correlations(rows, multipliers, fraction, replicates)
     out = []
     for k, (kind, m) in enumerate(lines):

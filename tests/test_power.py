@@ -56,6 +56,22 @@ def test_every_replicate_equals_copied_rows(spark, monkeypatch, rows):
         assert np.isclose(out[kind, m]["median_slope"], np.median([s for s, _, _ in want]))
 
 
+def test_sorted_rows_carry_small_numbers(spark, monkeypatch):
+    # a multiplicity took 8 bytes a replicate, a rank 8 more: 24 bytes a row and replicate went through every sort
+    monkeypatch.setattr(P, "ROWS", 100)
+    seen, real, replicates = [], P._Sorted.__init__, 50
+    monkeypatch.setattr(P._Sorted, "__init__", lambda self, rows, *a: (seen.append(rows), real(self, rows, *a))[1])
+    U.bootstrap_power(spark.createDataFrame(frame()), [1.0, 3.0], replicates, 5, 0.4).collect()
+    held = [c for c in ("w", "ro", "ri") if c in seen[-1].columns]
+    assert len(held) == 3 and max(sum(len(r[c]) for c in held) for r in seen[-1].select(*held).collect()) <= 5 * replicates
+
+
+@pytest.mark.parametrize("top", [3, 300, 70_000, 2**33])
+def test_small_numbers_come_back(top):
+    v = np.array([0.0, top, 1.0])
+    assert P._wide([P._small(v), P._small(v % 2)], 3).tolist() == [v.tolist(), (v % 2).tolist()]
+
+
 def test_calibration_is_held_out_on_fresh_draws(spark):
     p = frame(600, 60, 4, 0.15)
     out = U.calibrate_power(spark.createDataFrame(p), [0.01, 4.0, 8.0], 12, 8, U.expected_fraction()).toPandas()
