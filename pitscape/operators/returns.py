@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from pitscape.functions import scalars as S
-from pitscape.functions.ordering import quantiles, with_row_number
+from pitscape.functions.ordering import FEW_GROUPS, quantiles, with_row_number
 from pitscape.operators.describe import holm, newey_west_mean, normal_two_sided_p, spearman
 from pitscape.operators.inference import alpha_columns, hac_lines
 from pitscape.params import DEFAULT, Params
@@ -365,7 +365,9 @@ def winsorize_standardize(df: DataFrame, keys: Sequence[str], columns: Sequence[
     from pitscape.operators.robust import zscore_within
 
     long = df.select(*keys, *columns).unpivot(keys, list(columns), "component", "value")
-    bounds = quantiles(long, [*keys, "component"], "value", {"lo": lower, "hi": upper, "mid": 0.5})
+    # few cross-sections: rows need not be shuffled a column each for their order statistics
+    few = df.select(*keys).distinct().limit(FEW_GROUPS + 1).count() * len(columns) <= FEW_GROUPS
+    bounds = quantiles(long, [*keys, "component"], "value", {"lo": lower, "hi": upper, "mid": 0.5}, few=few)
     wide = bounds.groupBy(*keys).agg(*[F.max(F.when(F.col("component") == c, F.struct("lo", "hi", "mid"))).alias(f"__{c}") for c in columns])
     clipped = df.join(wide, keys).withColumns(
         {c: F.coalesce(F.when(F.col(c).isNotNull(), F.greatest(F.least(F.col(c).cast("double"), F.col(f"__{c}.hi")), F.col(f"__{c}.lo"))), F.col(f"__{c}.mid")) for c in columns}

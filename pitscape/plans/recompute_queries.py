@@ -24,7 +24,7 @@ from pitscape.plans.registry import query, r
 from pitscape.plans.return_queries import CARRIED, CTES as RETURNS
 from pitscape.plans.return_queries import KEYS, SIGNALS, history, monthly_frame
 from pitscape.plans.score_queries import report_components
-from pitscape.session import checkpoint_folder, cut
+from pitscape.session import checkpoint_folder, cut, stored
 from pitscape.sources import derived as D
 
 CTES = dict(RETURNS)
@@ -290,7 +290,7 @@ def firm_cross_sections(spark, d):
     full = both.join(market.withColumnRenamed("date", "feature_date"), ["permno", "feature_date"], "left").withColumns(
         {"log_market_cap": F.when(cap > 0, F.log(F.when(cap > 0, cap))), "book_to_market": F.when(cap > 0, F.col("ceq") / F.when(cap > 0, cap) / 1e6)})
     targets = A.targets_by_prefix(events, months, factors).select("event_id", "horizon_months", "target_valid", "forward_excess_return")
-    return cut(targets.join(full.select("event_id", "feature_date", "fold", "sic1", *SIGNALS, *CONTROLS), "event_id"))
+    return stored(targets.join(full.select("event_id", "feature_date", "fold", "sic1", *SIGNALS, *CONTROLS), "event_id"))
 
 
 @query("full_cross_sections")

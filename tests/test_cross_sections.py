@@ -77,3 +77,15 @@ def test_summary_of_coefficients_and_rank_ics(spark):
     tested = out[out["status"] == "tested"].sort_values("coefficient_p_value")
     want = np.minimum(1, np.maximum.accumulate(tested["coefficient_p_value"].to_numpy() * np.arange(4, 0, -1)))
     assert np.allclose(tested["holm_p"], want)
+
+
+def test_few_cross_sections_do_not_shuffle_a_row_a_column(spark, monkeypatch):
+    p = pd.concat([section(np.random.default_rng(k), 70, dt.date(2001, 3 * k, 28)) for k in (1, 2, 3)])
+    seen, real = [], N.quantiles
+    monkeypatch.setattr(N, "quantiles", lambda *a, **b: (seen.append(b.get("few", False)), real(*a, **b))[1])
+    keys, columns = ["horizon_months", "feature_date"], ["s", *CONTROLS]
+    order = ["event_id"]
+    few = N.winsorize_standardize(load(spark, p), keys, columns).toPandas().sort_values(order)
+    monkeypatch.setattr(N, "FEW_GROUPS", 3 * len(columns) - 1)
+    many = N.winsorize_standardize(load(spark, p), keys, columns).toPandas().sort_values(order)
+    assert seen == [True, False] and np.allclose(few[columns].to_numpy(float), many[columns].to_numpy(float))
