@@ -54,6 +54,19 @@ def test_connected_components(spark):
     assert out.groupby("comp")["id"].count().to_dict() == {"00": 10, "10": 10, "20": 10}
 
 
+def test_connected_components_of_a_long_chain_stay_plannable(spark, monkeypatch):
+    """Rounds grow with the logarithm of a chain, and no round hands its constraints to the next one."""
+    order = np.random.default_rng(4).permutation(400)
+    chain = [(f"{a:03d}", f"{b:03d}") for a, b in zip(order[:-1], order[1:])]
+    nodes, edges = spark.createDataFrame([(f"{i:03d}",) for i in range(400)], "id string"), spark.createDataFrame(chain, "a string, b string")
+    written = []
+    monkeypatch.setattr(T, "stored", lambda df, keep=T.stored: written.append(1) or keep(df), raising=False)
+    out = T.connected_components(nodes, edges)
+    assert out.count() == 400 and {r["comp"] for r in out.collect()} == {"000"}
+    assert out._jdf.queryExecution().optimizedPlan().constraints().size() <= 2
+    assert 0 < len(written) <= 24
+
+
 def test_archetypes_find_separated_groups(spark):
     rng = np.random.default_rng(6)
     x = np.concatenate([rng.normal(0, 0.2, (150, 2)), rng.normal(5, 0.2, (90, 2)), rng.uniform(-20, 20, (30, 2))])
