@@ -78,3 +78,41 @@ def test_sorts_carry_the_columns_asked_for(spark):
     whole, part = N.portfolio_sorts(targets, ["s"]), N.portfolio_sorts(targets, ["s"], carried=["gvkey"])
     assert "note" in whole.columns and "note" not in part.columns and "gvkey" in part.columns
     assert sorted(map(tuple, whole.select(*keys).collect())) == sorted(map(tuple, part.select(*keys).collect())) and part.count() > 0
+
+
+def test_finished_shuffles_of_working_tables_are_dropped(spark):
+    from pitscape.session import cut, stored
+
+    tracker = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker()
+    plain = spark.range(1000).groupBy((F.col("id") % 10).alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    twice = plain.join(plain.withColumnRenamed("n", "m"), "k")
+    assert twice.count() == 10  # a plan that is still in use keeps its shuffles
+    held = tracker.shuffleStatuses().size()
+    for keep in (cut, stored):
+        assert keep(twice).count() == 10
+        left = tracker.shuffleStatuses().size() - held
+        assert left <= 1, f"{left} shuffles of {keep.__name__} are still there"  # of the count
+        held += left
+    assert twice.count() == 10
+
+
+def test_a_search_places_its_rows_without_moving_them(spark):
+    from pitscape.operators import neighbours as X
+
+    rows = spark.createDataFrame([("a", f"{i:04d}", [float(i), float(i * 7 % 13)]) for i in range(60)], "g string, id string, v array<double>")
+    trees = spark.createDataFrame([("a", [0, 1, 1], [29.0, 6.0, 6.0])], "g string, axis array<int>, at array<double>")
+    placed = X._placed(rows, trees)
+    assert {r["id"]: r["cell"] for r in placed.collect()} == {f"{i:04d}": 2 * (i > 29) + (i * 7 % 13 > 6) for i in range(60)}
+    assert not _moved(placed)
+
+
+def test_recall_of_lists_is_that_of_edges(spark):
+    from pitscape.operators import neighbours as X
+
+    rows = spark.createDataFrame([("a", f"{i:02d}", i * i % 17 / 3, i * 5 % 11 / 7) for i in range(30)], "g string, id string, x double, y double")
+    sizes = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    out = []
+    for lists in (False, True):
+        seen, true = (X.peer_edges(rows, "g", "id", c, 4, **({"lists": True} if lists else {})) for c in (["x"], ["x", "y"]))
+        out.append(sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in X.peer_recall(seen, true, sizes, 4).collect()))
+    assert len(out[0]) == 30 and out[0] == out[1]
